@@ -103,6 +103,11 @@ def _build(scheme: Column, netloc: Column, path: Column, params: Column, query:
     )
 
 
+def unsplit_url(p: Column) -> Column:
+    """Text of a struct made by ``split_url``."""
+    return _build(p.scheme, p.netloc, p.path, p.params, p.query, p.fragment)
+
+
 def _join_parts(b: Column, r: Column, ref: Column) -> Column:
     """Join from split parts; ``r`` is the split reference, its scheme '' when relative."""
     scheme = F.when(r.scheme == "", b.scheme).otherwise(r.scheme)
