@@ -23,8 +23,9 @@ _DOTTED = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 def dotted_to_long(ip: Column) -> Column:
     """Value of four decimal octets; NULL for any other text."""
-    octets = F.split(ip, r"\.")
-    value = reduce(lambda acc, i: acc * 256 + octets[i].cast("long"), range(1, 4), octets[0].cast("long"))
+    value = F.aggregate(
+        F.split(ip, r"\."), F.lit(0).cast("long"), lambda acc, octet: acc * 256 + octet.cast("long")
+    )
     return F.when(ip.rlike(_DOTTED), value)
 
 
@@ -60,8 +61,9 @@ def ipv4_literal(host: Column | str) -> Column:
 
 
 def ipv4_text(value: Column) -> Column:
+    """Dotted form of a value; NULL stays NULL."""
     octets = [F.shiftright(value, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]
-    return F.concat_ws(".", *octets) if value is None else F.when(value.isNotNull(), F.concat_ws(".", *octets))
+    return F.concat(octets[0], *[x for octet in octets[1:] for x in (F.lit("."), octet)])
 
 
 def looks_like_ipv6(host: Column) -> Column:
@@ -76,38 +78,42 @@ def ipv6_hex(ip: Column | str) -> Column:
     tail = F.regexp_extract(bare, r":([0-9.]*\.[0-9.]*)$", 1)
 
     def widen(t: Column) -> Column:
-        v4 = dotted_to_long(t)
-        pair = F.concat_ws(
-            ":",
-            F.lower(F.hex(F.shiftright(v4, 16))),
-            F.lower(F.hex(v4.bitwiseAND(65535))),
-        )
-        return F.when(t == "", bare).when(
-            v4.isNotNull(), F.concat(F.expr("''"), F.regexp_replace(bare, r"[0-9.]*\.[0-9.]*$", ""), pair)
-        )
+        def with_pair(v4: Column) -> Column:
+            high, low = F.shiftright(v4, 16), v4.bitwiseAND(65535)
+            head = F.regexp_replace(bare, r"[0-9.]*\.[0-9.]*$", "")
+            return F.concat(head, F.lower(F.hex(high)), F.lit(":"), F.lower(F.hex(low)))
+
+        return F.when(t == "", bare).otherwise(let(dotted_to_long(t), with_pair))
+
+    def groups(part: Column) -> Column:
+        return F.filter(F.split(F.coalesce(part, F.lit("")), ":", -1), lambda g: (g != "") | (part != ""))
+
+    def fill(halves: Column) -> Column:
+        short = F.size(halves["h"]) == 2
+        gap = F.lit(8) - F.size(halves["l"]) - F.size(halves["r"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))
+        whole = F.concat(halves["l"], zeros, halves["r"])
+        return F.when(F.when(short, gap >= 1).otherwise(gap == 0), whole)
 
     def expand(a: Column) -> Column:
-        halves = F.split(a, "::", 2)
-
-        def groups(part: Column) -> Column:
-            return F.when(F.coalesce(part, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-                F.split(part, ":")
-            )
-
-        left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-        gap = F.lit(8) - F.size(left) - F.size(right)
-        short = F.size(halves) == 2
-        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-        ok = (
-            F.when(short, gap >= 1).otherwise(gap == 0)
-            & ~F.exists(whole, lambda g: ~g.rlike("^[0-9a-f]{1,4}$"))
+        halves = let(
+            F.split(a, "::", 2),
+            lambda h: F.struct(
+                h.alias("h"), groups(F.get(h, F.lit(0))).alias("l"),
+                F.coalesce(groups(F.get(h, F.lit(1))), F.array().cast("array<string>")).alias("r"),
+            ),
+        )
+        digits = lambda gs: F.when(
+            F.forall(gs, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+            F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), ""),
         )
-        return F.when(ok, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+        return let(let(halves, fill), digits)
 
     return F.when((F.instr(text, ":") > 0) & scope_ok, let(let(tail, widen), expand))
 
 
-def _in_ipv4_nets(value: Column) -> Column:
+def in_ipv4_nets(value: Column) -> Column:
+    """Whether the value of an IPv4 address lies in a blocked network."""
     nets = [n for n in map(ipaddress.ip_network, BLOCKED_NETWORKS) if n.version == 4]
     tests = [value.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
     return reduce(lambda a, b: a | b, tests)
@@ -133,8 +139,8 @@ def ip_blocked(ip: Column | str, strict: bool = False) -> Column:
         hit = _in_ipv6_nets(digits)
         if strict:
             mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")
-            hit = F.when(digits.startswith("0" * 20 + "ffff"), _in_ipv4_nets(mapped)).otherwise(hit)
+            hit = F.when(digits.startswith("0" * 20 + "ffff"), let(mapped, in_ipv4_nets)).otherwise(hit)
         return F.coalesce(hit, F.lit(True))
 
-    v4 = F.coalesce(_in_ipv4_nets(dotted_to_long(ip)), F.lit(True))
+    v4 = F.coalesce(let(dotted_to_long(ip), in_ipv4_nets), F.lit(True))
     return F.when(F.coalesce(F.instr(ip, ":") > 0, F.lit(False)), let(ipv6_hex(ip), v6)).otherwise(v4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pageloom.functions.core import col, let
-from pageloom.functions.ips import ipv4_literal, ipv4_text, ip_blocked, looks_like_ipv6
+from pageloom.functions.ips import in_ipv4_nets, ip_blocked, ipv4_literal, ipv4_text, looks_like_ipv6
 from pageloom.functions.text import strip
 
 # Schemes and host names with a meaning of their own.
@@ -149,11 +149,6 @@ def url_host(url: Column | str) -> Column:
     return hostname(split_url(strip(col(url))).netloc)
 
 
-def literal_ip(host: Column) -> Column:
-    """Canonical address when the host is an address itself (short and hex forms too), else NULL."""
-    return F.when(looks_like_ipv6(host), host).otherwise(ipv4_text(ipv4_literal(host)))
-
-
 def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: bool = False) -> Column:
     """Reason of the safety verdict, checks in order.
 
@@ -167,16 +162,23 @@ def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: boo
         open_b, close_b = F.instr(netloc, "[") > 0, F.instr(netloc, "]") > 0
 
         def by_host(host: Column) -> Column:
-            literal = literal_ip(host)
+            def as_address(value: Column) -> Column:
+                address = F.when(looks_like_ipv6(host), host).otherwise(ipv4_text(value))
+                hit = F.when(looks_like_ipv6(host), ip_blocked(host, strict)).otherwise(in_ipv4_nets(value))
+                return F.when(hit, F.format_string(REASON_BLOCKED, host, address)).otherwise(REASON_SAFE)
+
+            by_name = (
+                F.when(~F.coalesce(resolved, F.lit(False)), F.format_string(REASON_UNRESOLVED, host))
+                .when(blocked.isNotNull(), F.format_string(REASON_BLOCKED, host, blocked))
+                .otherwise(F.lit(REASON_SAFE))
+            )
             return (
                 F.when(host == "", F.lit(REASON_NO_HOST))
                 .when(host.isin(LOCAL_NAMES), F.lit(REASON_LOCAL))
-                .when(literal.isNotNull() & ip_blocked(literal, strict),
-                      F.format_string(REASON_BLOCKED, host, literal))
-                .when(literal.isNotNull(), F.lit(REASON_SAFE))
-                .when(~F.coalesce(resolved, F.lit(False)), F.format_string(REASON_UNRESOLVED, host))
-                .when(blocked.isNotNull(), F.format_string(REASON_BLOCKED, host, blocked))
-                .otherwise(F.lit(REASON_SAFE))
+                .otherwise(let(
+                    ipv4_literal(host),
+                    lambda v: F.when(v.isNotNull() | looks_like_ipv6(host), as_address(v)).otherwise(by_name),
+                ))
             )
 
         return (

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.functions.core import col
 from pageloom.functions.urls import REASON_SAFE, join_url
 from pageloom.operators.safety import check_urls
+from pageloom.session import cut_lineage
 
 # Status codes and messages of an outcome.
 REDIRECT_CODES = [301, 302, 303, 307, 308]
@@ -62,8 +63,8 @@ def resolve_redirects(
 ) -> DataFrame:
     """Follow recorded redirects from ``seeds(url)`` over ``responses(url, status, reason, location)``.
 
-    Every URL that can be met is checked once, so a hop is one join on the URL with a table
-    of one row per URL. A finished seed keeps a join key of its own that matches nothing:
+    Every URL that can be met is checked once and kept in the shared folder, so a hop is one
+    join on the URL with a table of one row per URL. A finished seed keeps a join key of its own that matches nothing:
     the keys stay spread over all partitions, where NULL would put them into one.
     """
     recorded = responses.select(
@@ -74,7 +75,7 @@ def resolve_redirects(
         seeds.select("url").union(recorded.select("url"))
         .union(recorded.where(F.col("target").isNotNull()).select("target")).distinct()
     )
-    nodes = (
+    nodes = cut_lineage(
         check_urls(met, dns).select("url", "is_safe", "reason")
         .withColumnRenamed("reason", "verdict").join(recorded, "url", "left")
         .withColumnRenamed("url", "_at")

@@ -1,0 +1,7 @@
+"""Named queries, by subject."""
+
+from pageloom.plans.html import html
+from pageloom.plans.sites import sites
+from pageloom.plans.web import web
+
+CATALOGS = [sites, web, html]

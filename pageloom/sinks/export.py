@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # What stands for no records in Markdown.
 NO_ROWS_MARKDOWN = "*No data extracted.*"
 
-CSV_OPTIONS = {"header": True, "escape": '"', "emptyValue": "", "nullValue": ""}
+CSV_OPTIONS = {
+    "header": True, "escape": '"', "emptyValue": "", "nullValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_json(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -32,7 +35,7 @@ def write_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def read_csv(spark, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True, lineSep="\n").csv(path)
 
 
 def union_records(parts: list[DataFrame]) -> DataFrame:

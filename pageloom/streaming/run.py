@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.session import scratch_path
+from pageloom.session import DEFAULTS, scratch_path
 
 
 def stream_table(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -15,12 +15,17 @@ def stream_table(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return reader.parquet(path)
 
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input once, then read the result back.
 
-    Output and stream checkpoint go to the shared folder.
+    Output and stream checkpoint go to the shared folder. Keyed state needs the RocksDB
+    provider, which is set for the session.
     """
     spark = stream.sparkSession
+    spark.conf.set(STATE_PROVIDER, DEFAULTS[STATE_PROVIDER])
     out = scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
