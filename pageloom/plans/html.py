@@ -12,7 +12,7 @@ from pageloom.operators.extract import (
     extract_list, extract_single, page_links, records_per_page, rule_rows,
 )
 from pageloom.plans.catalog import Catalog, table
-from pageloom.session import scratch_path
+from pageloom.session import cut_lineage, scratch_path
 from pageloom.sinks.export import (
     markdown_rows, preview_records, read_csv, union_records, write_csv, write_json, write_text,
 )
@@ -83,7 +83,7 @@ def sanitize_tags(spark: SparkSession, folder: str) -> DataFrame:
 WITH {_LIVE_TAGS_SQL}, more AS (SELECT page_id, tag FROM tags UNION ALL SELECT page_id, 'p' FROM pages)
 SELECT page_id, tag, count(*) AS n FROM more GROUP BY page_id, tag""")
 def sanitize_no_images(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _pages(spark, folder, """concat('<p>a<img src="x.png">b</p><img/>', html)""")
+    pages = _pages(spark, folder, """concat('<p>a<img src="x.png">b<img></p>', html)""")
     return _tag_counts(pages, remove_images=True)
 
 
@@ -124,7 +124,7 @@ def sanitized(spark: SparkSession, folder: str) -> DataFrame:
 @html.query("sanitized_reparse", f"WITH {clean_text_sql()} SELECT page_id, clean_text FROM clean")
 def sanitized_reparse(spark: SparkSession, folder: str) -> DataFrame:
     rewritten = _pages(spark, folder).select("page_id", sanitized_html("dom").alias("html"))
-    return with_dom(rewritten).select("page_id", clean_text("dom").alias("clean_text"))
+    return with_dom(cut_lineage(rewritten)).select("page_id", clean_text("dom").alias("clean_text"))
 
 
 # text
@@ -137,7 +137,7 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
 @html.query("strip_invisible", r"""
 SELECT doc_id, regexp_replace(text, '[\x{200B}-\x{200D}\x{FEFF}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS visible FROM documents""")
 def strip_invisible(spark: SparkSession, folder: str) -> DataFrame:
-    marks = {"zw": "​", "zj": "‍", "bom": "﻿"}
+    marks = {"zw": "\u200b", "zj": "\u200d", "bom": "\ufeff"}
     marked = F.concat(
         F.lit(marks["zw"]), F.replace("text", F.lit(" "), F.lit(" " + marks["zj"])), F.lit(marks["bom"] + "\x07\x1f")
     )
