@@ -125,15 +125,19 @@ def _join_parts(b: Column, r: Column, ref: Column) -> Column:
 
 
 def join_url(base: Column | str, ref: Column | str) -> Column:
-    """Absolute form of ``ref`` seen from ``base``."""
-    base, ref = col(base), col(ref)
-    plain_root = ref.rlike(r"^/[A-Za-z0-9_\-][A-Za-z0-9_\-]*$") & base.rlike(r"^https?://[^/?#\x00-\x20]+")
-    return (
-        F.when(F.coalesce(base, F.lit("")) == "", ref)
-        .when(F.coalesce(ref, F.lit("")) == "", base)
-        .when(plain_root, F.concat(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), ref))
-        .otherwise(let(split_url(base), lambda b: let(split_url(ref), lambda r: _join_parts(b, r, ref))))
-    )
+    """Absolute form of ``ref`` seen from ``base``. Plain root paths take a short way."""
+    base = col(base)
+
+    def joined(ref: Column) -> Column:
+        plain_root = ref.rlike(r"^/[A-Za-z0-9_\-]+$") & base.rlike(r"^https?://[^/?#\x00-\x20]+")
+        return (
+            F.when(F.coalesce(base, F.lit("")) == "", ref)
+            .when(F.coalesce(ref, F.lit("")) == "", base)
+            .when(plain_root, F.concat(F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), ref))
+            .otherwise(let(split_url(base), lambda b: let(split_url(ref), lambda r: _join_parts(b, r, ref))))
+        )
+
+    return let(col(ref), joined)
 
 
 def valid_href(href: Column | str) -> Column:

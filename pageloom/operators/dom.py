@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.core import col
+from pageloom.session import ship_by_value
+
+ship_by_value(__name__)
 
 # Tags removed with their content.
 UNSAFE_TAGS = [

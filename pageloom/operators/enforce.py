@@ -28,10 +28,11 @@ def parse_response(text: Column | str) -> Column:
 
 
 def as_items(value: Column) -> Column:
-    """Array of VARIANT: the elements of a list, or the one value itself."""
-    is_list = F.schema_of_variant(value).startswith("ARRAY")
-    return F.when(is_list, F.try_variant_get(value, "$", "array<variant>")).when(
-        value.isNotNull(), F.array(value)
+    """Array of VARIANT: the elements of a list, or the one value itself; NULL for no value."""
+    return let(
+        value,
+        lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        .when(v.isNotNull(), F.array(v)),
     )
 
 
@@ -126,30 +127,36 @@ def _default(type_: str, default: str | None) -> Column:
     return F.lit(value).cast(SPARK_TYPES[type_])
 
 
-def enforce(items: DataFrame, fields: list, keys: tuple[str, ...] = ("page_id", "item_no"),
-            item: str = "item") -> DataFrame:
-    """Records of one schema: a typed column per field, and ``errors``.
+def checked_record(item: Column, fields: list) -> Column:
+    """Struct of a VARIANT record: a typed member per field, and ``errors``.
 
     ``fields``: the few registry rows of the schema (name, type, required, nullable, default),
-    by which the select list is built. Unknown keys of an item are dropped.
+    by which the struct is built. Unknown keys of the record are dropped.
     """
-    members = items.withColumn("_m", _members(F.col(item)))
-    checked = members.select(
-        *keys, F.col("_m").isNotNull().alias("_is_object"),
-        *[
-            _checked(F.col("_m"), f["name"], f["type"], F.lit(f["required"]), F.lit(f["nullable"]),
+    def collect(c: Column) -> Column:
+        parts = [c[f"_{i}"] for i in range(len(fields))]
+        errors = F.filter(F.array(*[part["error"] for part in parts]), lambda e: e.isNotNull())
+        return F.struct(*[part["value"].alias(f["name"]) for part, f in zip(parts, fields)], errors.alias("errors"))
+
+    def check(members: Column) -> Column:
+        fields_checked = F.struct(*[
+            _checked(members, f["name"], f["type"], F.lit(f["required"]), F.lit(f["nullable"]),
                      _default(f["type"], f["default"])).alias(f"_{i}")
             for i, f in enumerate(fields)
-        ],
-    )
-    errors = F.when(F.col("_is_object"), F.filter(
-        F.array(*[F.col(f"_{i}")["error"] for i in range(len(fields))]), lambda e: e.isNotNull()
-    )).otherwise(F.array(F.lit("not an object")))
-    return checked.select(
-        *keys,
-        *[F.when(F.col("_is_object"), F.col(f"_{i}")["value"]).alias(f["name"]) for i, f in enumerate(fields)],
-        errors.alias("errors"),
-    )
+        ])
+        refused = F.struct(
+            *[F.lit(None).cast(SPARK_TYPES[f["type"]]).alias(f["name"]) for f in fields],
+            F.array(F.lit("not an object")).alias("errors"),
+        )
+        return F.when(members.isNull(), refused).otherwise(let(fields_checked, collect))
+
+    return let(_members(item), check)
+
+
+def enforce(items: DataFrame, fields: list, keys: tuple[str, ...] = ("page_id", "item_no"),
+            item: str = "item") -> DataFrame:
+    """Records of one schema from item rows: a typed column per field, and ``errors``."""
+    return items.select(*keys, checked_record(F.col(item), fields).alias("_r")).select(*keys, "_r.*")
 
 
 def enforce_each(items: DataFrame, schema: str = "schema", item: str = "item") -> DataFrame:
@@ -198,10 +205,34 @@ def _json_text(value: Column, type_: str) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(text)
 
 
+def enforce_pages(parsed: DataFrame, fields: list, keys: tuple[str, ...] = ("page_id",),
+                  scope: str = "page", value: str = "value") -> DataFrame:
+    """Records of parsed answers, one row each, ``item_no`` from 0.
+
+    With ``scope="page"`` one bad record fails its page, which then gives no rows; with
+    ``scope="row"`` bad records stay, marked by ``errors``. The records of an answer are
+    checked inside its row, so the page-wide test needs no shuffle.
+    """
+    if scope not in ("page", "row"):
+        raise ValueError("scope must be 'page' or 'row'")
+    checked = F.transform(as_items(F.col(value)), lambda x: checked_record(x, fields))
+    if scope == "page":
+        checked = let(checked, lambda all_: F.when(F.forall(all_, lambda r: F.size(r["errors"]) == 0), all_))
+    return parsed.select(*keys, F.posexplode(checked).alias("item_no", "_r")).select(*keys, "item_no", "_r.*")
+
+
+def failed_pages(parsed: DataFrame, fields: list, keys: tuple[str, ...] = ("page_id",),
+                 value: str = "value") -> DataFrame:
+    """Pages whose answer cannot be used, with the first error."""
+    errors = F.flatten(F.transform(as_items(F.col(value)), lambda x: checked_record(x, fields)["errors"]))
+    first_error = F.coalesce(F.col("error"), F.get(errors, F.lit(0)))
+    return parsed.select(*keys, first_error.alias("error")).where("error IS NOT NULL")
+
+
 def page_scope(enforced: DataFrame, page: str = "page_id") -> DataFrame:
-    """Keep the records of pages on which every record is valid.
+    """Page scope for records that are rows already: one bad record fails its page.
 
-    One bad record fails its page. Only the ids of bad pages are shuffled against the rows.
+    Only the ids of bad pages are joined against the rows.
     """
     bad = enforced.where(F.size("errors") > 0).select(page).distinct()
     return enforced.join(bad, page, "left_anti").drop("errors")
@@ -213,10 +244,10 @@ def row_scope(enforced: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_answers(responses: DataFrame, fields: list, keys: tuple[str, ...] = ("page_id",),
-                    text: str = "text") -> DataFrame:
-    """Answers to typed records with ``errors``; answers that are no JSON give no rows."""
-    parsed = parse_responses(responses, text).where(F.col("error").isNull())
-    return enforce(normalize_records(parsed, keys), fields, (*keys, "item_no"))
+                    text: str = "text", scope: str = "page") -> DataFrame:
+    """Answers to typed records; answers that are no JSON give no rows."""
+    parsed = responses.select(*keys, parse_response(text).alias("value"))
+    return enforce_pages(parsed, fields, keys, scope)
 
 
 def records_json(record: Column | str) -> Column:

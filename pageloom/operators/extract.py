@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import first
+from pageloom.functions.core import first, let
 from pageloom.functions.nodes import element_text
 from pageloom.functions.selectors import Predicate, with_selector, with_selectors
 from pageloom.functions.text import strip
@@ -26,7 +26,7 @@ def _read_field(spec: str, txt: Column, base: Column | None) -> tuple[str, Value
         raw = F.element_at(e["attrs"], F.lit(attr))
         if base is None or attr.lower() not in URL_ATTRIBUTES:
             return raw
-        return F.when(raw != "", join_url(base, raw)).otherwise(raw)
+        return let(raw, lambda r: F.when(r != "", join_url(base, r)).otherwise(r))
 
     return selector, value
 
@@ -68,12 +68,12 @@ def extract_list(
     """Repeated records: keys, ``item_no`` from 0, one string column per field.
 
     Records are built as an array inside the page row, so that only they, not the page,
-    are copied when rows are made of them.
+    are copied when rows are made of them. The array goes straight into the explode: as a
+    column of its own it would be computed again for a filter on its size.
     """
     records = page_records(F.col("dom"), container, fields, F.col(base) if base else None)
     return (
-        pages.select(*keys, records.alias("records"))
-        .select(*keys, F.posexplode("records").alias("item_no", "r"))
+        pages.select(*keys, F.posexplode(records).alias("item_no", "r"))
         .select(*keys, "item_no", *[F.col("r")[name].alias(name) for name in fields])
     )
 
@@ -112,8 +112,7 @@ def page_links(pages: DataFrame, base: str = "url", keys: tuple[str, ...] = ("pa
         ),
     )
     return (
-        pages.select(*keys, links.alias("links"))
-        .select(*keys, F.posexplode("links").alias("link_no", "l"))
+        pages.select(*keys, F.posexplode(links).alias("link_no", "l"))
         .select(*keys, "link_no", "l.href", "l.text", join_url(F.col(base), F.col("l.href")).alias("target"))
     )
 

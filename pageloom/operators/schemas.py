@@ -210,6 +210,9 @@ def with_schema_files(specs: DataFrame, files: DataFrame) -> DataFrame:
     return specs.withColumn("path", strip("spec")).join(files, "path", "left").drop("path")
 
 
-def registry(specs: DataFrame, schema: str = "schema", keys: tuple[str, ...] = ("schema_id",)) -> DataFrame:
-    """Rows of a schema column: keys and one row per field."""
-    return specs.select(*keys, F.explode(schema).alias("f")).select(*keys, "f.*")
+def registry(specs: DataFrame, schema: Column | str = "schema", keys: tuple[str, ...] = ("schema_id",)) -> DataFrame:
+    """Rows of a schema column or expression: keys and one row per field.
+
+    An expression is best given here as such, so that it is computed only once.
+    """
+    return specs.select(*keys, F.explode(col(schema)).alias("f")).select(*keys, "f.*")

@@ -13,6 +13,7 @@ from pageloom.operators.extract import (
 )
 from pageloom.plans.catalog import Catalog, table
 from pageloom.session import cut_lineage, scratch_path
+from pageloom.sources.pages import spread
 from pageloom.sinks.export import (
     markdown_rows, preview_records, read_csv, union_records, write_csv, write_json, write_text,
 )
@@ -23,14 +24,14 @@ html = Catalog()
 def _pages(spark: SparkSession, folder: str, markup: str = "html") -> DataFrame:
     """Pages with their node column; ``markup`` is a SQL text over the page row."""
     pages = table(spark, folder, "pages").selectExpr("page_id", "url", f"{markup} AS html")
-    return with_dom(pages).drop("html")
+    return with_dom(spread(pages)).drop("html")
 
 
 # The corpus has no unsafe body tags but script and style, and four entities; an entity that
 # the end of a page cuts off stays as it is, but for a single letter, which loses its "&".
 def clean_text_sql(markup: str = "html") -> str:
     return rf"""
-a AS (SELECT page_id, regexp_replace(regexp_replace({markup}, '&([a-z])$', '\1'),
+a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({markup}, '&([a-z])$', '\1'), '&([a-z]+)$', '&amp;\1'),
     '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<meta[^>]*>', '', 'gs') AS h FROM pages),
 b AS (SELECT page_id, list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda s:
     trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s,
@@ -117,7 +118,7 @@ def sanitized(spark: SparkSession, folder: str) -> DataFrame:
         f"""concat('<div onclick="x()" CLASS="a  b" id=d', doc_id, '><script>s()</script>', {escaped}, """
         f"""'<br><img src="data:x" width=1></div><style>p</style><!--c', doc_id, '-->')"""
     )
-    docs = table(spark, folder, "documents").select("doc_id", parse_html(F.expr(markup)).alias("dom"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", parse_html(F.expr(markup)).alias("dom"))
     return docs.select("doc_id", sanitized_html("dom").alias("html"))
 
 
@@ -182,7 +183,7 @@ def extract_nav_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _decoded(value: str) -> str:
-    return rf"""replace(replace(replace(replace({value}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&')"""
+    return rf"""replace(replace(replace(regexp_replace({value}, '&amp;|&amp$', '&', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"')"""
 
 
 @html.query("extract_title_h1", rf"""

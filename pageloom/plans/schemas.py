@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.functions.text import is_blank
 from pageloom.operators.enforce import (
-    enforce, enforce_each, extract_answers, json_records, normalize_records, page_scope, parse_responses,
-    records_json,
+    enforce, enforce_each, extract_answers, json_records, normalize_records, parse_responses, records_json,
 )
 from pageloom.operators.prompts import (
     EXTRACTION_RULES, NO_CONTENT, QA_RULES, ask_all, extraction_prompts, qa_answers, qa_prompts, qa_requests,
@@ -18,19 +17,20 @@ from pageloom.operators.schemas import (
 from pageloom.plans.catalog import Catalog, sql_text, table
 from pageloom.plans.crawls import ANSWER, ITEMS_SQL, answers, page_texts
 from pageloom.plans.html import clean_text_sql
+from pageloom.sources.pages import spread
 
 schemas = Catalog()
 
 
 def preset_fields(spark: SparkSession, name: str) -> list:
     """The few registry rows of a preset."""
-    one = spark.range(1).select(F.lit(name).alias("schema_id"), preset_schema(F.lit(name)).alias("schema"))
-    return registry(one).orderBy("field_no").collect()
+    one = spark.range(1).select(F.lit(name).alias("schema_id"))
+    return registry(one, preset_schema("schema_id")).orderBy("field_no").collect()
 
 
 def spec_fields(spark: SparkSession, spec: str) -> list:
-    one = spark.range(1).select(F.lit(spec).alias("schema_id"), spec_schema(F.lit(spec)).alias("schema"))
-    return registry(one).orderBy("field_no").collect()
+    one = spark.range(1).select(F.lit(spec).alias("schema_id"))
+    return registry(one, spec_schema("schema_id")).orderBy("field_no").collect()
 
 
 # schemas
@@ -57,7 +57,7 @@ SELECT event_id AS schema_id, asked, field_no, name, type, required, nullable, "
   CASE WHEN event_id % 8 < 2 THEN 'product' WHEN event_id % 8 < 4 THEN 'article' WHEN event_id % 8 < 7 THEN 'job' END""")
 def schema_presets(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "events").select(F.col("event_id").alias("schema_id"), F.expr(_NAME).alias("asked"))
-    return registry(asked.withColumn("schema", preset_schema("asked")), keys=("schema_id", "asked"))
+    return registry(asked, preset_schema("asked"), ("schema_id", "asked"))
 
 
 _SPEC = """CASE event_id % 6 WHEN 0 THEN concat(' a', user_id, ' : STR , b:float?,,a', user_id, ':int') WHEN 1 THEN 'title:str,price'
@@ -73,10 +73,8 @@ UNION ALL SELECT event_id, 1, 'k' || user_id, 'float', true, false FROM e WHERE
 UNION ALL SELECT event_id, 2, '_y', 'bool', false, true FROM e WHERE event_id % 6 = 4
 UNION ALL SELECT event_id, 3, 'z', 'list[str]', true, false FROM e WHERE event_id % 6 = 4""")
 def schema_spec_rows(spark: SparkSession, folder: str) -> DataFrame:
-    specs = table(spark, folder, "events").select(
-        F.col("event_id").alias("schema_id"), spec_schema(F.expr(_SPEC)).alias("schema")
-    )
-    return registry(specs).drop("default")
+    specs = table(spark, folder, "events").select(F.col("event_id").alias("schema_id"), F.expr(_SPEC).alias("spec"))
+    return registry(specs, spec_schema("spec")).drop("default")
 
 
 _MAP = """CASE event_id % 5 WHEN 0 THEN concat('{"n ', user_id, '": "String", "q": " int? ", "w": "weird", "o": 5}')
@@ -92,10 +90,8 @@ UNION ALL SELECT event_id, 3, 'o', 'str', false, true FROM e WHERE event_id % 5
 UNION ALL SELECT event_id, 0, 'k', 'bool', true, false FROM e WHERE event_id % 5 = 4
 UNION ALL SELECT event_id, 1, 'v' || user_id, 'str', false, true FROM e WHERE event_id % 5 = 4""")
 def schema_map_rows(spark: SparkSession, folder: str) -> DataFrame:
-    specs = table(spark, folder, "events").select(
-        F.col("event_id").alias("schema_id"), map_schema(F.expr(_MAP)).alias("schema")
-    )
-    return registry(specs).drop("default")
+    specs = table(spark, folder, "events").select(F.col("event_id").alias("schema_id"), F.expr(_MAP).alias("spec"))
+    return registry(specs, map_schema("spec")).drop("default")
 
 
 _ANY = """CASE event_id % 9 WHEN 0 THEN ' Product' WHEN 1 THEN concat('f', user_id, '.json') WHEN 2 THEN concat(' {"a', user_id, '": "int"} ')
@@ -172,7 +168,8 @@ WITH r AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN 't' || event_id EN
 
 
 def _products(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", F.try_parse_json(F.expr(_PRODUCT)).alias("item"))
+    events = spread(table(spark, folder, "events"))
+    return events.select("event_id", F.try_parse_json(F.expr(_PRODUCT)).alias("item"))
 
 
 @schemas.query("enforce_product", _PRODUCT_SQL + """
@@ -189,7 +186,7 @@ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{"k":' || k || '}' WHEN event_
   CASE WHEN event_id % 4 = 2 AND k > 1 THEN 'k: not a valid bool' WHEN event_id % 4 = 3 THEN 'k: not a valid str; w: missing' ELSE '' END AS errors FROM r""")
 def enforced_each(spark: SparkSession, folder: str) -> DataFrame:
     spec = F.expr("CASE event_id % 4 WHEN 0 THEN 'k:int' WHEN 1 THEN 'k:float,z:str?' WHEN 2 THEN 'k:bool' ELSE 'k:str,w:int' END")
-    items = table(spark, folder, "events").select(
+    items = spread(table(spark, folder, "events")).select(
         "event_id", F.try_parse_json("props").alias("item"), spec_schema(spec).alias("schema")
     )
     return enforce_each(items).select("event_id", "record", F.concat_ws("; ", "errors").alias("errors"))
@@ -198,17 +195,21 @@ def enforced_each(spark: SparkSession, folder: str) -> DataFrame:
 @schemas.query("enforce_events_props", r"""
 SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, NULL::VARCHAR[] AS tags, '' AS errors FROM events""")
 def enforce_events_props(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "events").select("event_id", F.try_parse_json("props").alias("item"))
+    items = spread(table(spark, folder, "events")).select("event_id", F.try_parse_json("props").alias("item"))
     records = enforce(items, spec_fields(spark, "k:int,tags:list[str]?"), ("event_id",))
     return records.withColumn("errors", F.concat_ws("; ", "errors"))
 
 
-@schemas.query("enforce_page_scope", _PRODUCT_SQL.replace("FROM events)", "FROM events), p AS (SELECT event_id // 3 AS page_id FROM r GROUP BY 1 HAVING bool_and(errors = ''))") + """
-SELECT event_id // 3 AS page_id, event_id AS item_no, title, price FROM r JOIN p ON p.page_id = event_id // 3""")
+# Each event answers with its own record and that of the following event number.
+@schemas.query("enforce_page_scope", _PRODUCT_SQL.replace("FROM events)", "FROM (SELECT event_id FROM events UNION SELECT max(event_id) + 1 FROM events) x)") + """
+SELECT a.event_id AS page_id, i AS item_no, CASE i WHEN 0 THEN a.title ELSE b.title END AS title,
+  CASE i WHEN 0 THEN a.price ELSE b.price END AS price
+FROM r a JOIN r b ON b.event_id = a.event_id + 1 CROSS JOIN (VALUES (0), (1)) n(i) WHERE a.errors = '' AND b.errors = ''""")
 def enforce_page_scope(spark: SparkSession, folder: str) -> DataFrame:
-    items = _products(spark, folder).selectExpr("event_id div 3 AS page_id", "event_id AS item_no", "item")
-    records = enforce(items, preset_fields(spark, "product"))
-    return page_scope(records).select("page_id", "item_no", "title", "price")
+    both = f"concat('[', {_PRODUCT}, ',', {_PRODUCT.replace('event_id', '(event_id + 1)')}, ']')"
+    responses = spread(table(spark, folder, "events")).select(F.col("event_id").alias("page_id"), F.expr(both).alias("text"))
+    records = extract_answers(responses, preset_fields(spark, "product"))
+    return records.select("page_id", "item_no", "title", "price")
 
 
 @schemas.query("records_json", r"""

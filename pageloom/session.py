@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does three jobs here: it turns a join into a broadcast only once
@@ -58,3 +60,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_by_value(module: str) -> None:
+    """Send the functions of a module to Python workers as code, so that they need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pageloom.session import ship_by_value
+
+ship_by_value(__name__)
+
 SCHEDULE_SCHEMA = "domain string, request_id bigint, arrival_us bigint, start_us bigint"
 STATUS_SCHEMA = "task_id string, seq bigint, status string, url string, records_count int, live boolean"
 
