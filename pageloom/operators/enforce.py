@@ -61,8 +61,8 @@ def _coerced(v: Column, kind: Column, type_: str) -> Column:
         return text
     if type_ == "int":
         whole = F.when(
-            strip(text).rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*(?:\.0*)?$"),
-            F.regexp_replace(F.regexp_replace(strip(text), r"\.0*$", ""), "_", "").try_cast("bigint"),
+            strip(text).rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*(?:\.0+)?$"),
+            F.regexp_replace(F.regexp_replace(strip(text), r"\.0+$", ""), "_", "").try_cast("bigint"),
         )
         exact = F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
         rounded = F.when(number == F.floor(number), number.try_cast("bigint"))

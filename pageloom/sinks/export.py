@@ -56,10 +56,31 @@ def same_keys(parts: list[DataFrame]) -> DataFrame:
     return union_records(parts).select(*header)
 
 
+def _float_text(c: Column) -> Column:
+    """A float as 6.55, 10000000.0, 1e+16 or 2.5e-05: exponents from 1e16 up and below 1e-4."""
+    shown, size = c.cast("string"), F.abs(c)
+    mantissa = F.regexp_replace(F.regexp_extract(shown, "^([^E]*)", 1), r"\.0$", "")
+    power = F.regexp_extract(shown, r"E(-?\d+)$", 1).try_cast("int")
+    exponent = F.concat(
+        mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"),
+    )
+    digits = F.regexp_replace(shown.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return (
+        F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+        .when((size >= 1e16) | ((size < 1e-4) & (size > 0)), exponent)
+        .when((size >= 1e7) | ((size < 1e-3) & (size > 0)), plain)
+        .otherwise(shown)
+    )
+
+
 def _cell(name: str, field: T.StructField) -> Column:
     c = F.col(name)
     if isinstance(field.dataType, T.BooleanType):
         text = F.when(c, "True").otherwise("False")
+    elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        text = _float_text(c)
     else:
         text = c.cast("string")
     shown = F.when(c.isNull(), F.lit("None")).otherwise(text)
