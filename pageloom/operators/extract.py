@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.core import first, let
 from pageloom.functions.nodes import element_text
-from pageloom.functions.selectors import Predicate, with_selector, with_selectors
+from pageloom.functions.selectors import Predicate, select, with_selector, with_selectors
 from pageloom.functions.text import strip
 from pageloom.functions.urls import URL_ATTRIBUTES, join_url
 
@@ -117,8 +117,14 @@ def page_links(pages: DataFrame, base: str = "url", keys: tuple[str, ...] = ("pa
     )
 
 
+def record_counts(pages: DataFrame, container: str, key: str = "page_id") -> DataFrame:
+    """Number of records each page would give, 0 included; counted in the page row."""
+    found = select(container, F.col("dom")["els"])
+    return pages.select(key, F.size(found).cast("long").alias("record_count"))
+
+
 def records_per_page(pages: DataFrame, records: DataFrame, key: str = "page_id") -> DataFrame:
-    """Number of records of each page, 0 for pages without any."""
+    """Number of records of each page, 0 for pages without any, when the records are a table."""
     counts = records.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return pages.select(key).join(counts, key, "left").select(
         key, F.coalesce("n", F.lit(0)).cast("long").alias("record_count")
@@ -131,13 +137,16 @@ def rule_rows(specs: DataFrame) -> DataFrame:
     Pieces without ``=`` are ignored; of a repeated name the first place and the last selector stay.
     """
     pairs = F.transform(F.split("fields", ","), lambda p: F.split(p, "=", 2))
-    named = F.filter(pairs, lambda p: F.size(p) == 2)
-    rows = specs.select("rule_id", "container", F.posexplode(named).alias("pos", "pair")).select(
-        "rule_id", "container", "pos",
-        strip(F.col("pair")[0]).alias("name"), strip(F.col("pair")[1]).alias("selector"),
+    named = F.transform(
+        F.filter(pairs, lambda p: F.size(p) == 2),
+        lambda p: F.struct(strip(p[0]).alias("name"), strip(p[1]).alias("selector")),
     )
-    return rows.groupBy("rule_id", "container", "name").agg(
-        F.min("pos").alias("field_no"), F.max_by("selector", "pos").alias("selector")
+    last_of_each = let(named, lambda ps: F.transform(
+        F.array_distinct(F.transform(ps, lambda p: p["name"])),
+        lambda n: F.element_at(F.filter(ps, lambda p: p["name"] == n), -1),
+    ))
+    return specs.select("rule_id", "container", F.posexplode(last_of_each).alias("field_no", "f")).select(
+        "rule_id", "container", "f.name", "field_no", "f.selector"
     )
 
 

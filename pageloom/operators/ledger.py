@@ -20,8 +20,8 @@ LIST_LIMIT = 50
 SEQ_SPAN = 1_000_000
 
 
-def ledger_state(events: DataFrame) -> DataFrame:
-    """Current row of every live task.
+def ledger_state(events: DataFrame, include_records: bool = True) -> DataFrame:
+    """Current row of every live task; without records their column is not even read.
 
     After the last delete of a task, the first create begins its life; later creates are
     refused and updates before it hit nothing. The last update in that life overwrites
@@ -34,7 +34,8 @@ def ledger_state(events: DataFrame) -> DataFrame:
         .where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone")))
     )
     created = F.col("kind") == "create"
-    change = F.struct("seq", "status", "records_count", "records", "error_message", "at")
+    records = F.col("records") if include_records else F.lit(None).cast("string").alias("records")
+    change = F.struct("seq", "status", "records_count", records, "error_message", "at")
     found = alive.groupBy("task_id").agg(
         F.min_by(F.struct("seq", "url", "at"), F.when(created, F.col("seq"))).alias("born"),
         F.max_by(change, F.when(~created, F.col("seq"))).alias("latest"),
@@ -97,8 +98,9 @@ def get_task(state: DataFrame, task_id: str) -> DataFrame:
     return state.where(F.col("task_id") == task_id).drop("created_at", "updated_at")
 
 
-def list_tasks(state: DataFrame, limit: int = LIST_LIMIT, include_records: bool = False) -> DataFrame:
+def list_tasks(events: DataFrame, limit: int = LIST_LIMIT, include_records: bool = False) -> DataFrame:
     """Newest tasks first; equal times by id. Records are read only when asked for."""
+    state = ledger_state(events, include_records)
     newest = state.orderBy(F.col("created_at").desc(), "task_id").limit(limit)
     return newest if include_records else newest.drop("records")
 

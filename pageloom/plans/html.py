@@ -9,7 +9,7 @@ from pageloom.functions.nodes import clean_text, safe_elements, sanitized_html
 from pageloom.functions.selectors import select
 from pageloom.operators.dom import page_elements, parse_html, with_dom
 from pageloom.operators.extract import (
-    extract_list, extract_single, page_links, records_per_page, rule_rows,
+    extract_list, extract_single, page_links, record_counts, records_per_page, rule_rows,
 )
 from pageloom.plans.catalog import Catalog, table
 from pageloom.session import cut_lineage, scratch_path
@@ -41,7 +41,7 @@ clean AS (SELECT page_id, trim(regexp_replace(regexp_replace(array_to_string(l,
 
 
 NAV_SQL = r"""nav AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*')) AS m,
-    generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*'), 1) - 1 AS no FROM pages),
+    (generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*'), 1) - 1)::INTEGER AS no FROM pages),
 links AS (SELECT page_id, url, no, regexp_extract(m, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(m, '>([^<>]*)$', 1)) AS label,
     regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(m, 'href="([^"]*)"', 1) AS target FROM nav)"""
 
@@ -50,7 +50,7 @@ links AS (SELECT page_id, url, no, regexp_extract(m, 'href="([^"]*)"', 1) AS hre
 @html.query("page_elements", r"""
 WITH t AS (SELECT page_id, list_transform(regexp_extract_all(regexp_replace(html, '(<(script|style)[^>]*>).*?</(script|style)>', '\1', 'gs'),
     '<[a-z][a-z0-9]*[^>]*>'), lambda s: regexp_extract(s, '[a-z0-9]+')) AS l FROM pages)
-SELECT page_id, generate_subscripts(l, 1) - 1 AS element_no, unnest(l) AS tag FROM t""")
+SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS element_no, unnest(l) AS tag FROM t""")
 def elements(spark: SparkSession, folder: str) -> DataFrame:
     return page_elements(_pages(spark, folder)).select("page_id", "element_no", "tag")
 
@@ -197,12 +197,10 @@ def extract_title_h1(spark: SparkSession, folder: str) -> DataFrame:
 
 @html.query("extract_attr", f"""
 WITH {NAV_SQL}
-SELECT page_id, no AS item_no, href AS raw_href, target AS own_href, NULL::VARCHAR AS missing FROM links""")
+SELECT page_id, no AS item_no, href AS raw_href, href AS again, NULL::VARCHAR AS missing FROM links""")
 def extract_attr(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _pages(spark, folder)
-    joined = extract_list(pages, "nav a", {"own_href": "::attr(href)", "missing": "::attr(title)"})
-    raw = extract_list(pages, "nav a[href]", {"raw_href": "::attr(href)"}, base=None)
-    return joined.join(raw, ["page_id", "url", "item_no"]).drop("url")
+    fields = {"raw_href": "a::attr(href)", "again": "li > a[href]::attr(href)", "missing": "a::attr(title)"}
+    return extract_list(_pages(spark, folder), "nav li", fields, base=None).drop("url")
 
 
 @html.query("extract_text_join", f"""
@@ -265,6 +263,14 @@ def records_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     return records_per_page(pages, extract_list(pages, "nav li a[href*='e']", {"label": ""}))
 
 
+@html.query("record_counts", f"""
+WITH {NAV_SQL}
+SELECT p.page_id, count(l.no) AS record_count FROM pages p LEFT JOIN links l ON l.page_id = p.page_id AND l.href LIKE '%e%'
+GROUP BY p.page_id""")
+def counts_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return record_counts(_pages(spark, folder), "nav li a[href*='e']")
+
+
 @html.query("page_links", f"""
 WITH {NAV_SQL}
 SELECT page_id, no AS link_no, href, label AS text, target FROM links""")

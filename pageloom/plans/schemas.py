@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.functions.text import is_blank
 from pageloom.operators.enforce import (
     enforce, enforce_each, extract_answers, json_records, normalize_records, parse_responses, records_json,
 )
@@ -251,7 +250,7 @@ def _qa_prompt_sql(limit: int) -> str:
 
 @schemas.query("qa_prompts", f"""
 WITH {clean_text_sql()}, q(question_id, question) AS (VALUES (0, {sql_text(_QUESTIONS[0])}), (1, {sql_text(_QUESTIONS[1])}))
-SELECT page_id, question_id, {_qa_prompt_sql(100000)} AS prompt, length(left(clean_text, 100000)) AS content_length
+SELECT page_id, question_id, {_qa_prompt_sql(100000)} AS prompt, length(left(clean_text, 100000))::INTEGER AS content_length
 FROM clean CROSS JOIN q WHERE trim(clean_text) <> ''""")
 def prompts_for_questions(spark: SparkSession, folder: str) -> DataFrame:
     return qa_prompts(ask_all(page_texts(spark, folder), _QUESTIONS))
@@ -277,16 +276,10 @@ _REQUESTS_SQL = f"""{clean_text_sql()}, r AS (SELECT c.page_id, e.event_id AS qu
 
 @schemas.query("qa_guard", f"""
 WITH {_REQUESTS_SQL}
-SELECT page_id, question_id, page_id % 7 = 0 OR clean_text = '' AS blank,
-  CASE WHEN page_id % 7 <> 0 AND clean_text <> '' THEN length({_qa_prompt_sql(500)}) END AS prompt_length FROM r""")
+SELECT page_id, question_id, {_qa_prompt_sql(500)} AS prompt, length(left(clean_text, 500))::INTEGER AS content_length
+FROM r WHERE page_id % 7 <> 0 AND clean_text <> ''""")
 def qa_guard(spark: SparkSession, folder: str) -> DataFrame:
-    requests = _requests(spark, folder)
-    prompts = qa_prompts(requests, max_text=500).select(
-        "page_id", "question_id", F.length("prompt").cast("long").alias("prompt_length")
-    )
-    return requests.select("page_id", "question_id", is_blank("clean_text").alias("blank")).join(
-        prompts, ["page_id", "question_id"], "left"
-    )
+    return qa_prompts(_requests(spark, folder), max_text=500)
 
 
 @schemas.query("qa_answers", f"""
@@ -294,7 +287,7 @@ WITH {_REQUESTS_SQL}, g AS (SELECT *, page_id % 7 = 0 OR clean_text = '' AS blan
 m AS (SELECT *, CASE WHEN blank THEN NULL WHEN k = 1 THEN 'quota' WHEN k = 2 THEN 'No response was recorded.' END AS error_message FROM g)
 SELECT page_id, question_id, question, CASE WHEN blank THEN {sql_text(NO_CONTENT)} WHEN error_message IS NOT NULL THEN ''
     ELSE 'It is ' || question_id || '.' END AS answer, 'any-model' AS model,
-  CASE WHEN blank THEN 0 ELSE length(left(clean_text, 100000)) END AS content_length,
+  CASE WHEN blank THEN 0 ELSE length(left(clean_text, 100000))::INTEGER END AS content_length,
   error_message IS NULL AS success, error_message FROM m""")
 def answers_to_questions(spark: SparkSession, folder: str) -> DataFrame:
     responses = table(spark, folder, "events").where("event_id % 10 <> 2").selectExpr(

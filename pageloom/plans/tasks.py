@@ -86,7 +86,7 @@ def ledger_get(spark: SparkSession, folder: str) -> DataFrame:
 @tasks.query("ledger_list", _LEDGER_SQL + """
 SELECT task_id, status, url, records_count, error_message FROM state ORDER BY created_at DESC, task_id LIMIT 50""")
 def ledger_list(spark: SparkSession, folder: str) -> DataFrame:
-    return list_tasks(ledger_state(_ledger(spark, folder))).drop("created_at", "updated_at")
+    return list_tasks(_ledger(spark, folder)).drop("created_at", "updated_at")
 
 
 @tasks.query("ledger_records", _LEDGER_SQL + r"""
@@ -116,7 +116,7 @@ t AS (SELECT page_id AS task_no, 't' || page_id AS task_id, url, page_id % 17 =
 SELECT t.task_no * 3 AS seq, task_id, 'create' AS kind, 'pending' AS status, url, 0 AS records_count, NULL AS records, NULL AS error_message FROM t
 UNION ALL SELECT t.task_no * 3 + 1, task_id, 'update', 'running', url, 0, NULL, NULL FROM t
 UNION ALL SELECT t.task_no * 3 + 2, task_id, 'update', CASE WHEN refused THEN 'failed' ELSE 'completed' END, url,
-  CASE WHEN refused THEN 0 ELSE coalesce(r.n, 0) END, CASE WHEN NOT refused THEN coalesce(r.j, '[]') END,
+  (CASE WHEN refused THEN 0 ELSE coalesce(r.n, 0) END)::INTEGER, CASE WHEN NOT refused THEN coalesce(r.j, '[]') END,
   CASE WHEN refused THEN 'bad schema' END FROM t LEFT JOIN r USING (task_no)""")
 def ledger_from_crawl(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")

@@ -251,7 +251,7 @@ r(kind, group_no, agents, rule_no, path, allow, crawl_delay) AS (VALUES
   (1, 2, '*', 0, '/', false, NULL),
   (2, 2, '*', 0, '/%2A.pdf%24', false, 7), (2, 2, '*', 1, '', true, 7),
   (2, 3, 'scraper', 0, '/de/%C3%A9', false, NULL))
-SELECT h.domain, r.group_no, r.agents, r.rule_no, r.path, r.allow, r.crawl_delay
+SELECT h.domain, r.group_no::BIGINT AS group_no, r.agents, r.rule_no, r.path, r.allow, r.crawl_delay
 FROM h JOIN r ON r.kind = length(h.domain) % 7""")
 def robots_rule_rows(spark: SparkSession, folder: str) -> DataFrame:
     return robots_rules(_robots(spark, folder)).withColumn("agents", F.array_join("agents", ","))
@@ -321,7 +321,7 @@ WITH l AS (SELECT concat('u', user_id % 100, '/', event_id // 400) AS url, event
 a AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY event_id) AS attempt FROM l),
 f AS (SELECT *, status_code IN (200, 404) OR attempt = 3 AS final FROM a WHERE attempt <= 3),
 e AS (SELECT url, coalesce(min(attempt) FILTER (final), max(attempt)) AS attempt FROM f GROUP BY url),
-r AS (SELECT f.url, f.attempt, f.status_code, f.status_code = 200 AS success, f.error_message FROM e JOIN f USING (url, attempt))"""
+r AS (SELECT f.url, f.attempt::INTEGER AS attempt, f.status_code, f.status_code = 200 AS success, f.error_message FROM e JOIN f USING (url, attempt))"""
 
 
 def _attempts(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,13 +20,13 @@ def write_json(records: DataFrame, path: str, mode: str = "errorifexists") -> No
     records.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def json_array(records: DataFrame, order: list[str], key: list[str] | None = None) -> DataFrame:
-    """Records of a key (such as a page) as one JSON array text, in order."""
-    fields = [c for c in records.columns if c not in order and c not in (key or [])]
+def json_array(records: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Records of each key, such as a page, as one JSON array text, in order."""
+    fields = [c for c in records.columns if c not in order and c not in key]
     row = F.struct(*order, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("j"))
-    grouped = records.groupBy(*(key or [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    grouped = records.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["j"]), ","), F.lit("]"))
-    return grouped.select(*(key or []), text.alias("records"))
+    return grouped.select(*key, text.alias("records"))
 
 
 def write_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -13,7 +13,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy row work on a small input.
+    """Use all cores for heavy row work on a table just read from files.
 
     Only a scan with fewer parts than half the cores is dealt out anew; a large table is
     read in many parts already and keeps them, without a shuffle.
@@ -31,6 +31,15 @@ def read_html_files(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     )
 
 
+def save_dom(pages: DataFrame, path: str) -> DataFrame:
+    """Write pages with their node column and read them back.
+
+    Parsing is the dearest step; jobs over the same corpus share this table.
+    """
+    pages.write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
 def stream_pages(spark: SparkSession, path: str) -> DataFrame:
     """The same page table, read as files arrive."""
     return spark.readStream.schema(PAGE_SCHEMA).parquet(path)

@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.session import DEFAULTS, scratch_path
 
 
-def stream_table(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of the Parquet files of a folder (a glob works too)."""
+def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int | None = None,
+                 bytes_per_batch: int = 1 << 30) -> DataFrame:
+    """Stream of the Parquet files of a folder (a glob works too), in batches of bounded size.
+
+    The bound also limits the rows of one key that are put in order at a time.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 

@@ -3,10 +3,12 @@ import json
 
 import pytest
 
+from conftest import column, pages_of
+from pageloom.functions.nodes import clean_text
 from pageloom.sinks.export import (
     json_array, markdown_header, markdown_rows, preview_records, read_csv, same_keys, union_records, write_csv, write_json, write_markdown, write_text,
 )
-from pageloom.sources.pages import read_html_files, read_text_files
+from pageloom.sources.pages import read_html_files, read_text_files, save_dom
 
 
 def content(path):
@@ -21,7 +23,7 @@ def test_json(spark, tmp_path):
     write_json(spark.createDataFrame([(1, None, "é")], "a int, b string, c string"), str(tmp_path / "j"))
     assert content(tmp_path / "j") == '{"a":1,"b":null,"c":"é"}\n'
     rows = spark.createDataFrame([("p", 1, "b"), ("p", 0, None)], "page string, no int, v string")
-    assert json.loads(json_array(rows, ["no"], ["page"]).first().records) == [{"v": None}, {"v": "b"}]
+    assert json.loads(json_array(rows, ["page"], ["no"]).first().records) == [{"v": None}, {"v": "b"}]
 
 
 def test_csv_text(spark, tmp_path):
@@ -70,3 +72,9 @@ def test_saved_files(spark, tmp_path):
     (tmp_path / "schema.txt").write_text('{"a":\n"str"}')
     assert read_html_files(spark, str(tmp_path / "*.html")).first().html == "<p>é</p>"
     assert read_text_files(spark, str(tmp_path / "*.txt")).first().content == '{"a":\n"str"}'
+
+
+def test_saved_nodes(spark, tmp_path):
+    pages = pages_of(spark, [("<p class=a>x<script>y</script>z", "u0"), ("", "u1"), (None, "u2")])
+    saved = save_dom(pages.drop("html"), str(tmp_path / "dom"))
+    assert column(saved, clean_text("dom")) == ["xz", "", ""]

@@ -77,10 +77,10 @@ def test_duplicate_create_and_delete(spark):
 
 
 def test_list(spark):
-    state = ledger_state(frame(spark, [event(i, f"t{i:02d}", "create") for i in range(60)]))
-    rows = list_tasks(state).collect()
+    events = frame(spark, [event(i, f"t{i:02d}", "create") for i in range(60)])
+    rows = list_tasks(events).collect()
     assert [r.task_id for r in rows] == [f"t{i:02d}" for i in range(59, 9, -1)] and "records" not in rows[0]
-    assert "records" in list_tasks(state, 2, include_records=True).columns
+    assert "records" in list_tasks(events, 2, include_records=True).columns
 
 
 def test_events_of_a_crawl(spark):
