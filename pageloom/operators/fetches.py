@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.core import col
+from pageloom.functions.nodes import clean_text
 from pageloom.functions.urls import REASON_SAFE, join_url
+from pageloom.operators.dom import parse_html
+from pageloom.operators.robots import with_robots
 from pageloom.operators.safety import check_urls
 from pageloom.session import cut_lineage
 
@@ -45,6 +48,35 @@ def fetch_outcome(log: DataFrame) -> DataFrame:
     )
 
 
+def fetch_results(log: DataFrame, dns: DataFrame, policy: DataFrame | None = None) -> DataFrame:
+    """Results of recorded fetches, safety and robots included.
+
+    ``log(url, status, reason, html, request_error, elapsed_seconds, headers)`` plus any other
+    columns, which stay. Without a ``policy`` robots are ignored. Only pages that count as
+    fetched are parsed: the others reach the parser as NULL.
+    """
+    checked = (
+        check_urls(log.withColumnRenamed("reason", "_phrase"), dns).drop("is_safe")
+        .withColumnsRenamed({"reason": "safety_reason", "_phrase": "reason"})
+    )
+    gated = checked.withColumn("allowed", F.lit(True)) if policy is None else (
+        with_robots(checked, policy).drop("crawl_delay")
+    )
+    sent = (F.col("safety_reason") == REASON_SAFE) & F.col("allowed")
+    answered = sent & F.col("request_error").isNull()
+    timed = gated.withColumns({
+        "elapsed_seconds": F.when(sent, F.col("elapsed_seconds")).otherwise(F.lit(0.0)),
+        "headers": F.when(answered, F.col("headers")).otherwise(F.create_map().cast("map<string,string>")),
+    })
+    done = fetch_outcome(timed)
+    return (
+        done.withColumn("_dom", parse_html(F.when(F.col("success"), F.col("html"))))
+        .withColumn("raw_html", F.when(F.col("success"), F.col("html")).otherwise(""))
+        .withColumn("clean_text", clean_text("_dom"))
+        .drop("_dom", "html")
+    )
+
+
 def fetch_view(results: DataFrame) -> DataFrame:
     """What a caller of a fetch sees: no raw HTML, no headers."""
     return results.select(*FETCH_VIEW)

@@ -8,8 +8,7 @@ from pageloom.functions.core import col, first, let
 from pageloom.functions.text import strip
 from pageloom.functions.urls import domain, split_url, unsplit_url
 
-# Our agent and the delay used where robots give none.
-AGENT = "WebScraperAgent/1.0"
+# Fixed value: the delay used where robots give none.
 DEFAULT_DELAY = 1.0
 
 _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -96,11 +95,12 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     ).select("domain", "group_no", "agents", "rule_no", "rule.path", "rule.allow", "crawl_delay")
 
 
-def robots_policy(robots: DataFrame, agent: str = AGENT) -> DataFrame:
+def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
     """One row per domain: ``mode`` (rules, allow or deny), our ``rules``, ``crawl_delay``.
 
-    Our group is the first that names us, else the first for all agents. Status 404 and
-    network errors (NULL) allow; any status other than 200 and 404 denies.
+    ``agent`` is our user agent, such as ``name/1.0``. Our group is the first that names us,
+    else the first for all agents. Status 404 and network errors (NULL) allow; any other
+    status but 200 denies, as does ``is_safe = false`` where the table has that column.
     """
     token = agent.split("/")[0].lower()
     group = F.struct("rules", "crawl_delay")
@@ -114,13 +114,18 @@ def robots_policy(robots: DataFrame, agent: str = AGENT) -> DataFrame:
         )
         .select("domain", F.coalesce("ours", "any").alias("g"))
     )
+    unsafe = ~F.col("is_safe") if "is_safe" in robots.columns else F.lit(False)
     mode = (
-        F.when(F.col("status") == 200, "rules")
+        F.when(unsafe, "deny")
+        .when(F.col("status") == 200, "rules")
         .when(F.col("status").isNull() | (F.col("status") == 404), "allow")
         .otherwise("deny")
     )
-    return robots.select("domain", "status").join(chosen, "domain", "left").select(
-        "domain", mode.alias("mode"), F.col("g.rules").alias("rules"), F.col("g.crawl_delay").alias("crawl_delay")
+    files = robots.select("domain", mode.alias("mode"))
+    ruled = F.col("mode") == "rules"
+    return files.join(chosen, "domain", "left").select(
+        "domain", "mode", F.when(ruled, F.col("g.rules")).alias("rules"),
+        F.when(ruled, F.col("g.crawl_delay")).alias("crawl_delay"),
     )
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pageloom.functions.urls import domain
+from pageloom.operators.robots import effective_delay, with_robots
 from pageloom.session import cut_lineage
 
 HOT_ROWS = 5_000_000
@@ -21,6 +23,17 @@ def _before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def requests_of(urls: DataFrame, policy: DataFrame, url: str = "url") -> DataFrame:
+    """Requests to schedule from ``urls(request_id, url, arrival_us)``: refused URLs are left out.
+
+    The delay is the domain's crawl delay, or the default.
+    """
+    delay_us = (effective_delay("crawl_delay") * 1_000_000).cast("bigint")
+    return with_robots(urls, policy, url).where("allowed").select(
+        domain(url).alias("domain"), "request_id", "arrival_us", delay_us.alias("delay_us")
+    )
+
+
 def send_schedule(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``start_us`` to ``requests(domain, request_id, arrival_us, delay_us)``.
 

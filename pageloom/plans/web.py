@@ -40,7 +40,7 @@ def url_domain(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", domain("url").alias("domain"))
 
 
-def _dns(pages: DataFrame) -> DataFrame:
+def corpus_dns(pages: DataFrame) -> DataFrame:
     """Addresses of the hosts of the corpus: some private, some with two, some missing."""
     hosts = pages.select(domain("url").alias("host")).distinct().withColumn("n", F.length("host"))
     first = F.when(F.col("n") % 5 == 0, F.concat(F.lit("10.0.0."), "n")).otherwise(F.concat(F.lit("93.184.216."), "n"))
@@ -80,7 +80,7 @@ SELECT page_id, url, reason, reason = 'URL is safe.' AS is_safe FROM r""")
 def url_safety(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     urls = pages.select("page_id", F.expr(_url_variant()).alias("url"))
-    return check_urls(urls, _dns(pages)).select("page_id", "url", "reason", "is_safe")
+    return check_urls(urls, corpus_dns(pages)).select("page_id", "url", "reason", "is_safe")
 
 
 _IP = """CASE WHEN event_id % 5 < 3 THEN concat(10 + event_id % 240, '.', event_id % 256, '.', event_id * 7 % 256, '.', event_id * 13 % 256)
@@ -223,17 +223,18 @@ def redirect_final(spark: SparkSession, folder: str) -> DataFrame:
 # Robots files given to the hosts of the corpus, by the length of the host name.
 _BODIES = {
     0: "User-agent: *\nDisallow: /fr/\nAllow: /fr/8\nCrawl-delay: 2\n",
-    1: "# hello\nUser-agent: webscraperagent\nUser-agent: other\nAllow: /en/1\nDisallow: /en/\nCrawl-delay: 1.5\n"
+    1: "# hello\nUser-agent: samplecrawler\nUser-agent: other\nAllow: /en/1\nDisallow: /en/\nCrawl-delay: 1.5\n"
        "\nUser-agent: *\nDisallow: /\n",
     2: "Disallow: /x\nUser-agent: a\n\nUser-agent: *\nDisallow: /*.pdf$\nDisallow:\nCrawl-delay: 7\n"
-       "User-agent: scraper # us\nDisallow: /de/%C3%A9\n",
+       "User-agent: crawler # us\nDisallow: /de/%C3%A9\n",
 }
+AGENT = "SampleCrawler/1.0"
 _STATUS = {0: 200, 1: 200, 2: 200, 3: 404, 4: 403, 6: 503}
 
 _HOSTS_SQL = """h AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS domain FROM pages)"""
 
 
-def _robots(spark: SparkSession, folder: str) -> DataFrame:
+def corpus_robots(spark: SparkSession, folder: str) -> DataFrame:
     hosts = table(spark, folder, "pages").select(domain("url").alias("domain")).distinct()
     kind = F.length("domain") % 7
     body, status = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -247,14 +248,14 @@ def _robots(spark: SparkSession, folder: str) -> DataFrame:
 WITH {_HOSTS_SQL},
 r(kind, group_no, agents, rule_no, path, allow, crawl_delay) AS (VALUES
   (0, 1, '*', 0, '/fr/', false, 2), (0, 1, '*', 1, '/fr/8', true, 2),
-  (1, 1, 'webscraperagent,other', 0, '/en/1', true, NULL), (1, 1, 'webscraperagent,other', 1, '/en/', false, NULL),
+  (1, 1, 'samplecrawler,other', 0, '/en/1', true, NULL), (1, 1, 'samplecrawler,other', 1, '/en/', false, NULL),
   (1, 2, '*', 0, '/', false, NULL),
   (2, 2, '*', 0, '/%2A.pdf%24', false, 7), (2, 2, '*', 1, '', true, 7),
-  (2, 3, 'scraper', 0, '/de/%C3%A9', false, NULL))
+  (2, 3, 'crawler', 0, '/de/%C3%A9', false, NULL))
 SELECT h.domain, r.group_no::BIGINT AS group_no, r.agents, r.rule_no, r.path, r.allow, r.crawl_delay
 FROM h JOIN r ON r.kind = length(h.domain) % 7""")
 def robots_rule_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return robots_rules(_robots(spark, folder)).withColumn("agents", F.array_join("agents", ","))
+    return robots_rules(corpus_robots(spark, folder)).withColumn("agents", F.array_join("agents", ","))
 
 
 @web.query("robots_allowed", r"""
@@ -266,14 +267,14 @@ SELECT page_id, CASE k WHEN 0 THEN NOT starts_with(path, '/fr/')
   CASE k WHEN 0 THEN 2 END AS crawl_delay FROM p""")
 def robots_allowed(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
-    return with_robots(pages, robots_policy(_robots(spark, folder))).select("page_id", "allowed", "crawl_delay")
+    return with_robots(pages, robots_policy(corpus_robots(spark, folder), AGENT)).select("page_id", "allowed", "crawl_delay")
 
 
 @web.query("effective_delay", f"""
 WITH {_HOSTS_SQL}
 SELECT domain, CASE WHEN length(domain) % 7 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS delay_seconds FROM h""")
 def effective_delays(spark: SparkSession, folder: str) -> DataFrame:
-    policy = robots_policy(_robots(spark, folder))
+    policy = robots_policy(corpus_robots(spark, folder), AGENT)
     return policy.select("domain", effective_delay().alias("delay_seconds"))
 
 

@@ -25,10 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
 def read_html_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Saved pages, one per file: the file path is the URL, the id a hash of it."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.xxhash64("path").alias("page_id"), F.col("path").alias("url"),
-        F.decode("content", encoding).alias("html"),
-    )
+    if encoding.upper() == "UTF-8":
+        html = F.make_valid_utf8(F.col("content").cast("string"))  # bad bytes become marks, not errors
+    else:
+        html = F.decode("content", encoding)
+    return files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), html.alias("html"))
 
 
 def save_dom(pages: DataFrame, path: str) -> DataFrame:

@@ -70,7 +70,9 @@ def test_text_and_preview(spark, tmp_path):
 def test_saved_files(spark, tmp_path):
     (tmp_path / "one.html").write_text("<p>é</p>", encoding="utf-8")
     (tmp_path / "schema.txt").write_text('{"a":\n"str"}')
-    assert read_html_files(spark, str(tmp_path / "*.html")).first().html == "<p>é</p>"
+    assert read_html_files(spark, str(tmp_path / "one.html")).first().html == "<p>é</p>"
+    (tmp_path / "bad.html").write_bytes(b"<p>\xff</p>")
+    assert read_html_files(spark, str(tmp_path / "bad.html")).first().html == "<p>\ufffd</p>"
     assert read_text_files(spark, str(tmp_path / "*.txt")).first().content == '{"a":\n"str"}'
 
 

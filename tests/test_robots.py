@@ -3,24 +3,25 @@ from urllib.robotparser import RobotFileParser
 import pytest
 
 from pageloom.operators.robots import effective_delay, robots_policy, with_robots
+from pageloom.operators.schedule import requests_of
 
-AGENT = "WebScraperAgent/1.0"
+AGENT = "SampleCrawler/1.0"
 BODIES = {
     "first-wins": "User-agent: *\nDisallow: /a\nAllow: /a/b\nCrawl-delay: 2",
     "allow-first": "User-agent: *\nAllow: /a/b\nDisallow: /a",
-    "own-group": "User-agent: scraper\nDisallow: /x\nCrawl-delay: 1.5\n\nUser-agent: *\nDisallow: /",
+    "own-group": "User-agent: crawler\nDisallow: /x\nCrawl-delay: 1.5\n\nUser-agent: *\nDisallow: /",
     "literal": "User-agent: *\nDisallow: /*.pdf$",
     "empty-rule": "User-agent: *\nDisallow:",
     "no-rules": "User-agent: *\n\nUser-agent: *\nDisallow: /a",
     "rule-before-agent": "Disallow: /a\nUser-agent: *\nDisallow: /x",
     "blank-then-rule": "User-agent: *\nDisallow: /x\n\nDisallow: /a",
-    "two-agents": "User-agent: foo\nUser-agent: WebScraper\nDisallow: /a # why\n# c\nCrawl-delay: 5",
+    "two-agents": "User-agent: foo\nUser-agent: SampleCrawl\nDisallow: /a # why\n# c\nCrawl-delay: 5",
     "two-defaults": "User-agent: *\nDisallow: /a\n\nUser-agent: *\nDisallow: /x",
     "encoded": "User-agent: *\nDisallow: /%7Ejoe/\nDisallow: /a%2fb?q=1\nDisallow: /é",
     "blanks": "User-agent : *\r\n  Disallow:   /a  \r\n \r\nAllow: /a\r\nSitemap: x\r\n",
     "rate": "User-agent: *\nRequest-rate: 1/5\n\nUser-agent: other\nDisallow: /",
     "nothing": "hello",
-    "mixed": "User-agent: *\nDisallow: /x\nUser-agent: scraper\nCrawl-delay: 9\nAllow: /\n",
+    "mixed": "User-agent: *\nDisallow: /x\nUser-agent: crawler\nCrawl-delay: 9\nAllow: /\n",
 }
 PATHS = ["/a", "/a/b", "/x/1", "/y", "/f.pdf", "", "/~joe/x", "/%7ejoe/", "/a/b?q=1", "/été", "/?x#y", "/*.pdf$", "/a%2Fb?q=1", "/a+b%zz"]
 
@@ -39,10 +40,22 @@ def test_bodies_agree_with_the_standard_library(spark):
 @pytest.mark.parametrize("status,allowed", [(404, True), (None, True), (401, False), (403, False), (500, False), (302, False)])
 def test_statuses(spark, status, allowed):
     robots = spark.createDataFrame([("e.com", status, "User-agent: *\nDisallow: /")], "domain string, status int, body string")
-    row = with_robots(spark.createDataFrame([("https://E.com/x",)], "url string"), robots_policy(robots)).first()
+    row = with_robots(spark.createDataFrame([("https://E.com/x",)], "url string"), robots_policy(robots, AGENT)).first()
     assert (row.allowed, row.crawl_delay) == (allowed, None)
 
 
 def test_delay(spark):
     df = spark.createDataFrame([(2,), (None,)], "crawl_delay int").select(effective_delay().alias("d"))
     assert [r.d for r in df.collect()] == [2.0, 1.0]
+
+
+def test_unsafe_host_denies(spark):
+    robots = spark.createDataFrame([("e.com", 200, "", False)], "domain string, status int, body string, is_safe boolean")
+    assert robots_policy(robots, AGENT).first().mode == "deny"
+
+
+def test_requests_of_a_policy(spark):
+    robots = spark.createDataFrame([("e.com", 200, "User-agent: *\nDisallow: /x\nCrawl-delay: 2")], "domain string, status int, body string")
+    urls = spark.createDataFrame([(1, "https://e.com/a", 0), (2, "https://e.com/x", 0), (3, "https://f.com/a", 5)], "request_id bigint, url string, arrival_us bigint")
+    got = requests_of(urls, robots_policy(robots, AGENT)).orderBy("request_id").collect()
+    assert [tuple(r) for r in got] == [("e.com", 1, 0, 2_000_000), ("f.com", 3, 5, 1_000_000)]
