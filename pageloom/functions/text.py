@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pageloom.functions.core import col
+from pageloom.functions.core import col, let
 
 # The characters str.strip() treats as blank.
 BLANKS = (
@@ -40,16 +40,18 @@ def normalize_blanks(c: Column | str) -> Column:
 
 
 def truncate(c: Column | str, max_length: int | None = MAX_TEXT) -> Column:
-    c = col(c)
     if not max_length:
-        return c
-    return F.when(F.length(c) > max_length, F.concat(F.left(c, F.lit(max_length)), F.lit(CUT_MARK))).otherwise(c)
+        return col(c)
+    return _cut(col(c), max_length, CUT_MARK)
+
+
+def _cut(c: Column, n: int, mark: str) -> Column:
+    return let(c, lambda t: F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n)), F.lit(mark))).otherwise(t))
 
 
 def preview(c: Column | str, n: int = 500) -> Column:
     """First ``n`` characters, with dots where something was cut."""
-    c = col(c)
-    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
+    return _cut(col(c), n, "...")
 
 
 def redact_cards(c: Column | str) -> Column:

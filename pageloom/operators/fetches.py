@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.core import col
 from pageloom.functions.nodes import clean_text
-from pageloom.functions.urls import REASON_SAFE, join_url
+from pageloom.functions.urls import REASON_SAFE, domain, hostname, join_url, url_reason
 from pageloom.operators.dom import parse_html
-from pageloom.operators.robots import with_robots
-from pageloom.operators.safety import check_urls
+from pageloom.operators.robots import is_allowed
+from pageloom.operators.safety import check_urls, host_verdicts
 from pageloom.session import cut_lineage
 
 # Status codes and messages of an outcome.
@@ -48,20 +48,33 @@ def fetch_outcome(log: DataFrame) -> DataFrame:
     )
 
 
+def _sites(log: DataFrame, dns: DataFrame, policy: DataFrame | None) -> DataFrame:
+    """One row per domain of the log: address verdict and robots policy."""
+    hosts = host_verdicts(dns).withColumnRenamed("host", "_host")
+    sites = (
+        log.select(domain("url").alias("_domain")).distinct()
+        .withColumn("_host", hostname(F.col("_domain"))).join(hosts, "_host", "left").drop("_host")
+    )
+    if policy is None:
+        return sites.withColumns({"mode": F.lit("allow"), "rules": F.lit(None).cast("array<struct<path:string,allow:boolean>>")})
+    rules = policy.select(F.col("domain").alias("_domain"), "mode", "rules")
+    return sites.join(rules, "_domain", "left")
+
+
 def fetch_results(log: DataFrame, dns: DataFrame, policy: DataFrame | None = None) -> DataFrame:
     """Results of recorded fetches, safety and robots included.
 
     ``log(url, status, reason, html, request_error, elapsed_seconds, headers)`` plus any other
     columns, which stay. Without a ``policy`` robots are ignored. Only pages that count as
-    fetched are parsed: the others reach the parser as NULL.
+    fetched are parsed: the others reach the parser as NULL. What is known of a site is
+    joined up first, one row per domain, so that the rows with the HTML move at most once,
+    and not at all when the site table turns out small enough to broadcast.
     """
-    checked = (
-        check_urls(log.withColumnRenamed("reason", "_phrase"), dns).drop("is_safe")
-        .withColumnsRenamed({"reason": "safety_reason", "_phrase": "reason"})
-    )
-    gated = checked.withColumn("allowed", F.lit(True)) if policy is None else (
-        with_robots(checked, policy).drop("crawl_delay")
-    )
+    sites = _sites(log, dns, policy)
+    gated = log.withColumn("_domain", domain("url")).join(sites, "_domain", "left").withColumns({
+        "safety_reason": url_reason("url", F.col("resolved"), F.col("blocked_ip")),
+        "allowed": is_allowed("url", F.col("mode"), F.col("rules")),
+    }).drop(*sites.columns)
     sent = (F.col("safety_reason") == REASON_SAFE) & F.col("allowed")
     answered = sent & F.col("request_error").isNull()
     timed = gated.withColumns({

@@ -138,6 +138,15 @@ def robots_path(url: Column | str) -> Column:
     return let(quote(tail), lambda t: F.when(t == "", F.lit("/")).otherwise(t))
 
 
+def is_allowed(url: Column | str, mode: Column, rules: Column) -> Column:
+    """Whether a policy row lets us fetch a URL; a domain without a row does."""
+    decided = let(
+        robots_path(url),
+        lambda path: F.coalesce(first(F.filter(rules, lambda r: path.startswith(r["path"])))["allow"], F.lit(True)),
+    )
+    return F.when(mode == "deny", False).when(mode == "rules", decided).otherwise(True)
+
+
 def with_robots(urls: DataFrame, policy: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed`` and ``crawl_delay``.
 
@@ -147,12 +156,7 @@ def with_robots(urls: DataFrame, policy: DataFrame, url: str = "url") -> DataFra
     joined = urls.withColumn("_domain", domain(url)).join(
         policy.withColumnRenamed("domain", "_domain"), "_domain", "left"
     )
-    decided = let(
-        robots_path(url),
-        lambda path: F.coalesce(first(F.filter("rules", lambda r: path.startswith(r["path"])))["allow"], F.lit(True)),
-    )
-    allowed = F.when(F.col("mode") == "deny", False).when(F.col("mode") == "rules", decided).otherwise(True)
-    return joined.withColumn("allowed", allowed).drop("_domain", "mode", "rules")
+    return joined.withColumn("allowed", is_allowed(url, F.col("mode"), F.col("rules"))).drop("_domain", "mode", "rules")
 
 
 def effective_delay(crawl_delay: Column | str = "crawl_delay", default: float = DEFAULT_DELAY) -> Column:
