@@ -41,15 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     unset folder is an error, since a machine-local path would lose data with its node.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    configured = spark.conf.get("spark.checkpoint.dir", "")
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pageloom-"))
+    return configured or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,10 +1,12 @@
 import glob
 import json
+from types import SimpleNamespace
 
 import pytest
 
 from conftest import column, pages_of
 from pageloom.functions.nodes import clean_text
+from pageloom.session import scratch_path, shared_dir
 from pageloom.sinks.export import (
     json_array, markdown_header, markdown_rows, preview_records, read_csv, same_keys, union_records, write_csv, write_json, write_markdown, write_text,
 )
@@ -50,10 +52,10 @@ def test_markdown(spark, tmp_path):
     assert markdown_header(["a"]) == "| a |\n| --- |"
 
 
-@pytest.mark.parametrize("value", [6.55, 0.0, 1e7, 1.5e15, 1e16, 2.5e-5, 0.0001, 123456789.125, -1e22, 1e-7, float("nan"), float("inf")])
-def test_markdown_floats(spark, value):
-    row = markdown_rows(spark.createDataFrame([(value,)], "v double"), ["v"]).first()
-    assert row.line == f"| {value} |"
+def test_markdown_floats(spark):
+    values = [6.55, 0.0, 1e7, 1.5e15, 1e16, 2.5e-5, 0.0001, 123456789.125, -1e22, 1e-7, float("nan"), float("inf"), -2.5]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    assert [r.line for r in markdown_rows(df, ["v"], ["i"]).orderBy("i").collect()] == [f"| {v} |" for v in values]
 
 
 def test_markdown_cells(spark):
@@ -80,3 +82,22 @@ def test_saved_nodes(spark, tmp_path):
     pages = pages_of(spark, [("<p class=a>x<script>y</script>z", "u0"), ("", "u1"), (None, "u2")])
     saved = save_dom(pages.drop("html"), str(tmp_path / "dom"))
     assert column(saved, clean_text("dom")) == ["xz", "", ""]
+
+
+class _Session:
+    """A session whose setting and master can be chosen."""
+
+    def __init__(self, spark, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = SimpleNamespace(
+            master=master, getCheckpointDir=spark.sparkContext.getCheckpointDir, setCheckpointDir=spark.sparkContext.setCheckpointDir
+        )
+
+
+def test_shared_folder(spark):
+    assert shared_dir(_Session(spark, "/shared/place", "yarn")) == "/shared/place"
+    assert scratch_path(_Session(spark, "/shared/place", "yarn"), "x").startswith("/shared/place/x-")
+    with pytest.raises(ValueError):
+        shared_dir(_Session(spark, "", "yarn"))
+    local = shared_dir(_Session(spark, "", "local[2]"))
+    assert local == spark.sparkContext.getCheckpointDir() == shared_dir(_Session(spark, "", "local[2]"))

@@ -17,10 +17,6 @@ def fields(spark, expression):
     return registry(spark.range(1).withColumnRenamed("id", "schema_id"), expression).orderBy("field_no").collect()
 
 
-def names(spark, expression):
-    return [(f["name"], f["type"], f["required"]) for f in fields(spark, expression)]
-
-
 def test_presets(spark):
     product = fields(spark, preset_schema(F.lit(" Products")))
     assert [f["name"] for f in product] == ["title", "price", "currency", "rating", "in_stock", "description", "url"]
@@ -28,33 +24,45 @@ def test_presets(spark):
     assert fields(spark, preset_schema(F.lit("pizza"))) == []
 
 
-@pytest.mark.parametrize("spec,expected", [
+SPECS = [
     ("title:str,price:float,in_stock:bool,rating:float?", [("title", "str", True), ("price", "float", True), ("in_stock", "bool", True), ("rating", "float", False)]),
     (" a : STRING ,, b:list[str]? ", [("a", "str", True), ("b", "list[str]", False)]), ("a:int,b:str,a:bool", [("a", "bool", True), ("b", "str", True)]),
     ("title:str,price", []), ("a-b:str", []), ("1a:str", []), ("a:list?", []), ("a:weird", []), ("", []), ("é_1:int", [("é_1", "int", True)]), ("a:str:x", []),
-])
-def test_spec(spark, spec, expected):
-    assert names(spark, spec_schema(F.lit(spec))) == expected
+]
+
 
+def read_all(spark, cases, schema):
+    df = spark.createDataFrame([(spec,) for spec, _ in cases], "spec string").select("spec", schema.alias("s"))
+    return {r.spec: [(f.name, f.type, f.required) for f in r.s or []] for r in df.collect()}
 
-@pytest.mark.parametrize("spec,expected", [
+
+def test_spec(spark):
+    assert read_all(spark, SPECS, spec_schema("spec")) == dict(SPECS)
+
+
+MAPS = [
     ('{"name": "string", "quantity": "int", "available": "bool"}', [("name", "str", True), ("quantity", "int", True), ("available", "bool", True)]),
     ('{"x": "weird", "a-b": " Float? ", "n": null, "z": 1}', [("x", "str", False), ("a-b", "float", False), ("n", "str", False), ("z", "str", False)]),
     ("[1]", []), ("nope", []),
-])
-def test_map(spark, spec, expected):
-    assert names(spark, map_schema(F.lit(spec))) == expected
+]
 
 
-@pytest.mark.parametrize("spec,content,source,n", [
+def test_map(spark):
+    assert read_all(spark, MAPS, map_schema("spec")) == dict(MAPS)
+
+
+RESOLVED = [
     ("product", None, "preset", 7), ("x.json", '{"item":"str","cost":"float"}', "file", 2), ("x.json", None, "none", None), ("x.json", "[1]", "none", None),
     ("x.json", "{}", "none", None), ('{"a":"int"}', None, "json", 1), ("{}", None, "none", None), ("{bad}", None, "none", None), ("a:int,b:str", None, "spec", 2),
     ("nonexistent_preset_xyz", None, "none", None), (None, None, "none", None), ("../../sensitive_config.json", None, "none", None),
-])
-def test_resolution_order(spark, spec, content, source, n):
-    df = spark.createDataFrame([(spec, content)], "spec string, content string").select(resolve_schema("spec", F.col("content")).alias("r"))
-    r = df.first().r
-    assert (r.source, r.schema and len(r.schema), r.error is None) == (source, n, n is not None)
+]
+
+
+def test_resolution_order(spark):
+    df = spark.createDataFrame([case[:2] for case in RESOLVED], "spec string, content string")
+    got = [r.r for r in df.select(resolve_schema("spec", F.col("content")).alias("r")).collect()]
+    for case, r in zip(RESOLVED, got):
+        assert (r.source, r.schema and len(r.schema), r.error is None) == (case[2], case[3], case[3] is not None), case
 
 
 def test_requests(spark):
@@ -111,12 +119,15 @@ def test_many_schemas(spark):
     assert got == [({"a": 'x"y'}, []), ({"a": 2, "c": None}, []), ({"a": []}, []), (None, ["a: not a valid int"]), (None, ["not an object"]), ({"b": "é", "f": None}, [])]
 
 
-@pytest.mark.parametrize("text,expected", [
-    (f'{FENCE}json\n[1]\n{FENCE}', "[1]"), (f"{FENCE}\n[1]\n{FENCE}", "[1]"), ("  [1]\n", "[1]"), ("", ""), (None, ""), (f'[1] {FENCE}', "[1]"),
+FENCED = [
+    (f"{FENCE}json\n[1]\n{FENCE}", "[1]"), (f"{FENCE}\n[1]\n{FENCE}", "[1]"), ("  [1]\n", "[1]"), ("", ""), (None, ""), (f"[1] {FENCE}", "[1]"),
     (f"{FENCE}json[1]{FENCE}", "[1]"), (f"a {FENCE}json\n[1]", f"a {FENCE}json\n[1]"),
-])
-def test_fences(spark, text, expected):
-    assert spark.range(1).select(strip_fences(F.lit(text).cast("string"))).first()[0] == expected
+]
+
+
+def test_fences(spark):
+    df = spark.createDataFrame(FENCED, "t string, e string").select("t", strip_fences("t").alias("got"))
+    assert {r.t: r.got for r in df.collect()} == dict(FENCED)
 
 
 def answers(spark, texts):
