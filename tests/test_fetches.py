@@ -1,55 +1,51 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from pageloom.operators.fetches import backoff_total, is_transient, resolve_redirects, resolve_retries
 from pageloom.operators.schedule import send_schedule
 
 
-def follow(spark, responses, seed, dns=()):
-    got = resolve_redirects(
-        spark.createDataFrame([(seed,)], "url string"),
-        spark.createDataFrame(responses, "url string, status int, reason string, location string"),
-        spark.createDataFrame([("example.com", "93.184.216.34"), *dns], "host string, ip string"),
-    ).first()
-    return got.url, got.status_code, got.success, got.error_message
-
-
 U = "https://example.com"
 
 
-def test_redirect_to_blocked_address(spark):
-    url, code, ok, message = follow(spark, [(f"{U}/redirect", 302, "Found", "http://169.254.169.254/latest/meta-data/")], f"{U}/redirect")
-    assert (url, code, ok) == ("http://169.254.169.254/latest/meta-data/", 400, False)
-    assert message.startswith("Safety violation") and "169.254.169.254" in message
-
-
-def test_safe_redirect(spark):
-    rows = [(f"{U}/start", 301, "Moved", "/final-page"), (f"{U}/final-page", 200, "OK", None)]
-    assert follow(spark, rows, f"{U}/start") == (f"{U}/final-page", 200, True, None)
-
-
-@pytest.mark.parametrize("hops,expected", [
-    (5, (f"{U}/5", 200, True, None)), (6, (f"{U}/5", 400, False, "Too many redirects (exceeded limit of 5)")),
-])
-def test_redirect_limit(spark, hops, expected):
-    rows = [(f"{U}/{i}", 302, "Found", f"/{i + 1}") for i in range(hops)] + [(f"{U}/{hops}", 200, "OK", None)]
-    assert follow(spark, rows, f"{U}/0") == expected
-
-
-def test_redirect_ends(spark):
-    assert follow(spark, [(f"{U}/a", 302, "Found", None)], f"{U}/a") == (f"{U}/a", 302, False, "Redirect response missing Location header.")
-    assert follow(spark, [(f"{U}/a", 404, "Not Found", None)], f"{U}/a") == (f"{U}/a", 404, False, "HTTP 404: Not Found")
-    assert follow(spark, [(f"{U}/b", 200, "OK", None)], f"{U}/a")[1:3] == (500, False)
-    assert follow(spark, [(f"{U}/a", 302, "Found", "/a")], f"{U}/a")[1] == 400
+def hops(name, n):
+    """A chain of n redirects that ends in a page."""
+    return [(f"{U}/{name}/{i}", 302, "Found", f"/{name}/{i + 1}") for i in range(n)] + [(f"{U}/{name}/{n}", 200, "OK", None)]
+
+
+def test_redirects(spark):
+    responses = [
+        (f"{U}/redirect", 302, "Found", "http://169.254.169.254/latest/meta-data/"),
+        (f"{U}/start", 301, "Moved", "/final-page"), (f"{U}/final-page", 200, "OK", None),
+        (f"{U}/nowhere", 302, "Found", None), (f"{U}/gone", 404, "Not Found", None), (f"{U}/self", 302, "Found", "/self"),
+        (f"{U}/lost", 307, "Temporary", "http://lost.example/"), *hops("five", 5), *hops("six", 6),
+    ]
+    unsafe = "Safety violation: Hostname '169.254.169.254' resolved to blocked/private IP '169.254.169.254'."
+    limit = "Too many redirects (exceeded limit of 5)"
+    expected = {
+        "/redirect": ("http://169.254.169.254/latest/meta-data/", 1, 400, False, unsafe),
+        "/start": (f"{U}/final-page", 1, 200, True, None), "/final-page": (f"{U}/final-page", 0, 200, True, None),
+        "/nowhere": (f"{U}/nowhere", 0, 302, False, "Redirect response missing Location header."),
+        "/gone": (f"{U}/gone", 0, 404, False, "HTTP 404: Not Found"), "/self": (f"{U}/self", 5, 400, False, limit),
+        "/lost": ("http://lost.example/", 1, 400, False, "Safety violation: Could not resolve hostname 'lost.example'."),
+        "/five/0": (f"{U}/five/5", 5, 200, True, None), "/six/0": (f"{U}/six/5", 5, 400, False, limit),
+        "/six/1": (f"{U}/six/6", 5, 200, True, None), "/never": (f"{U}/never", 0, 500, False, "Request failed: no response recorded"),
+    }
+    got = resolve_redirects(
+        spark.createDataFrame([(U + path,) for path in expected], "url string"),
+        spark.createDataFrame(responses, "url string, status int, reason string, location string"),
+        spark.createDataFrame([("example.com", "93.184.216.34")], "host string, ip string"),
+    )
+    assert {r.start_url[len(U):]: tuple(r)[1:] for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("status,error,expected", [
-    (503, None, True), (404, "HTTP 404: Not Found", False), (412, "HTTP 412: Precondition Failed", True), (408, "HTTP 408: Request Timeout", True), (None, None, False),
-])
-def test_transient(spark, status, error, expected):
-    assert spark.range(1).select(is_transient(F.lit(status).cast("int"), F.lit(error).cast("string"))).first()[0] is expected
+def test_transient(spark):
+    cases = {
+        (503, None): True, (404, "HTTP 404: Not Found"): False, (412, "HTTP 412: Precondition Failed"): True,
+        (408, "HTTP 408: Request Timeout"): True, (None, None): False,
+    }
+    df = spark.createDataFrame(list(cases), "s int, e string").select("s", "e", is_transient("s", "e").alias("t"))
+    assert {(r.s, r.e): r.t for r in df.collect()} == cases
 
 
 def test_retries(spark):
