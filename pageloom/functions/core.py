@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def col(c: Column | str) -> Column:
@@ -23,3 +23,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def first(array: Column) -> Column:
     """First element, NULL for an empty array."""
     return F.get(array, F.lit(0))
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join rows with facts of one row per key, ready for a key that most rows share.
+
+    Adaptive execution splits a hot key only if both sides come straight from a shuffle.
+    Facts out of an aggregate are partitioned by the key already and would skip theirs, so
+    they get the key as a new expression; shuffling them again costs one row per key.
+    """
+    fresh = facts.withColumn("_key", F.concat(F.col(key).cast("string"), F.lit(""))).drop(key)
+    return rows.withColumn("_key", F.col(key).cast("string")).join(fresh, "_key", how).drop("_key")

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import col, let
+from pageloom.functions.core import col, join_facts, let
 from pageloom.functions.text import strip
 
 # Texts read as true and false.
@@ -235,7 +235,7 @@ def page_scope(enforced: DataFrame, page: str = "page_id") -> DataFrame:
     Only the ids of bad pages are joined against the rows.
     """
     bad = enforced.where(F.size("errors") > 0).select(page).distinct()
-    return enforced.join(bad, page, "left_anti").drop("errors")
+    return join_facts(enforced, bad, page, "left_anti").drop("errors")
 
 
 def row_scope(enforced: DataFrame) -> tuple[DataFrame, DataFrame]:

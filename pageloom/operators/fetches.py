@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import col
+from pageloom.functions.core import col, join_facts
 from pageloom.functions.nodes import clean_text
 from pageloom.functions.urls import REASON_SAFE, domain, hostname, join_url, url_reason
 from pageloom.operators.dom import parse_html
@@ -71,7 +71,7 @@ def fetch_results(log: DataFrame, dns: DataFrame, policy: DataFrame | None = Non
     and not at all when the site table turns out small enough to broadcast.
     """
     sites = _sites(log, dns, policy)
-    gated = log.withColumn("_domain", domain("url")).join(sites, "_domain", "left").withColumns({
+    gated = join_facts(log.withColumn("_domain", domain("url")), sites, "_domain").withColumns({
         "safety_reason": url_reason("url", F.col("resolved"), F.col("blocked_ip")),
         "allowed": is_allowed("url", F.col("mode"), F.col("rules")),
     }).drop(*sites.columns)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.core import col
+from pageloom.functions.core import col, join_facts
 
 EVENT_SCHEMA = (
     "seq bigint, task_id string, kind string, status string, url string, "
@@ -30,7 +30,7 @@ def ledger_state(events: DataFrame, include_records: bool = True) -> DataFrame:
     """
     deleted = events.where("kind = 'delete'").groupBy("task_id").agg(F.max("seq").alias("_gone"))
     alive = (
-        events.where("kind <> 'delete'").join(deleted, "task_id", "left")
+        join_facts(events.where("kind <> 'delete'"), deleted, "task_id")
         .where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone")))
     )
     created = F.col("kind") == "create"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.core import col, first, let
+from pageloom.functions.core import col, first, join_facts, let
 from pageloom.functions.text import strip
 from pageloom.functions.urls import domain, split_url, unsplit_url
 
@@ -153,9 +153,8 @@ def with_robots(urls: DataFrame, policy: DataFrame, url: str = "url") -> DataFra
     The policy has one row per domain with its rules as an array, so a URL meets one row,
     not one per rule; the first rule whose path starts the URL's decides.
     """
-    joined = urls.withColumn("_domain", domain(url)).join(
-        policy.withColumnRenamed("domain", "_domain"), "_domain", "left"
-    )
+    rules = policy.select(F.col("domain").alias("_domain"), "mode", "rules", "crawl_delay")
+    joined = join_facts(urls.withColumn("_domain", domain(url)), rules, "_domain")
     return joined.withColumn("allowed", is_allowed(url, F.col("mode"), F.col("rules"))).drop("_domain", "mode", "rules")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pageloom.functions.core import join_facts
 from pageloom.functions.ips import ip_blocked
 from pageloom.functions.urls import REASON_SAFE, url_host, url_reason
 
@@ -21,8 +22,7 @@ def check_urls(urls: DataFrame, dns: DataFrame, url: str = "url", strict: bool =
     hosts = host_verdicts(dns, strict).withColumnRenamed("host", "_host")
     reason = url_reason(url, F.col("resolved"), F.col("blocked_ip"), strict)
     return (
-        urls.withColumn("_host", url_host(url))
-        .join(hosts, "_host", "left")
+        join_facts(urls.withColumn("_host", url_host(url)), hosts, "_host")
         .withColumn("reason", reason)
         .withColumn("is_safe", F.col("reason") == REASON_SAFE)
         .drop("_host", "blocked_ip", "resolved")
