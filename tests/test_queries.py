@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pageloom.plans import CATALOGS
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -41,7 +42,7 @@ def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(name for catalog in CATALOGS for name in catalog.queries))
 def test_query(spark, db, name):
     df = queries()[name](spark, FOLDER)
     got = [tuple(r) for r in df.collect()]
