@@ -33,8 +33,10 @@ ship_by_value(__name__)
 WORDS = 5
 BINS = 128
 BANDS = 32
-#: A pair at the threshold agrees in 0.75 of its bins, give or take 0.038; five times that may be lacking.
-SLACK = 0.19
+#: Bins of the second signature, of one byte each, by which candidates are compared before their texts are read.
+SKETCH = 512
+#: A pair at the threshold agrees in 0.75 of these bins, give or take 0.019; five times that may be lacking.
+SLACK = 0.096
 BLOCK_ROWS = 2048
 
 
@@ -63,14 +65,15 @@ def shingle_sets(texts, table: np.ndarray, hasher: Hasher) -> list[np.ndarray]:
     return out
 
 
-def donors() -> np.ndarray:
+def donors(bins: int) -> np.ndarray:
     """The fixed random sequence of bins that each empty bin asks."""
-    return np.random.default_rng(20240607).integers(0, BINS, (1024, BINS))
+    return np.random.default_rng(20240607).integers(0, bins, (1024, bins))
 
 
 def signature(hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Least hash of each bin; empty bins take another bin's value."""
-    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    bins = asked.shape[1]
+    edges = np.arange(bins, dtype=np.uint64) << np.uint64(64 - bins.bit_length() + 1)
     at = np.searchsorted(hashes, edges)
     filled = np.diff(at, append=len(hashes)) > 0
     value = hashes[np.minimum(at, len(hashes) - 1)]
@@ -104,11 +107,11 @@ FINGERPRINTS = "doc_id bigint, n_shingles bigint, set_hash bigint, sig binary, k
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, set_hash, sig, keys)`` of ``docs(doc_id, text)``; empty sets have no keys.
 
-    ``sig`` holds 16 bits of each bin's value.
+    ``sig`` holds 8 bits of the value of each of ``SKETCH`` bins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hasher, asked = spaced_words(), Hasher(), donors()
+        table, hasher, asked, asked_more = spaced_words(), Hasher(), donors(BINS), donors(SKETCH)
         for batch in batches:
             ids = batch.column(0)
             for texts in text_chunks(batch.column(1)):
@@ -117,7 +120,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 set_hash = np.array([mix(mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64)
                 some = np.flatnonzero(sizes)
                 values = np.array([signature(sets[i], asked) for i in some], np.uint64).reshape(-1, BINS)
-                short = mix(values).astype("<u2")
+                short = mix(np.array([signature(sets[i], asked_more) for i in some], np.uint64).reshape(-1, SKETCH)).astype(np.uint8)
                 sigs, keys = [None] * len(sets), [None] * len(sets)
                 for i, s, k in zip(some.tolist(), short, band_keys(values).astype(np.int64)):
                     sigs[i], keys[i] = s.tobytes(), k
@@ -129,15 +132,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, FINGERPRINTS)
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """``(key, node, crowd)`` of the rows of ``members(key, node)`` whose bucket has another member.
+
+    Keys are range-partitioned, so that a bucket that most documents share spreads over tasks.
+    ``crowd`` is the size of the bucket as far as one Arrow batch sees it, and a row at the edge
+    of a batch is kept in any case: a lone member is harmless later on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            if not len(keys):
+                continue
+            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+            crowd = np.repeat(np.diff(cuts), np.diff(cuts))
+            keep = crowd > 1
+            keep[0] = keep[-1] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crowd, pa.int64())], ["key", "node", "crowd"]).filter(pa.array(keep))
+
+    parts = members.repartitionByRange("key", "node").sortWithinPartitions("key")
+    return parts.mapInArrow(run, "key bigint, node bigint, crowd bigint")
+
+
 def _stars(members: DataFrame) -> DataFrame:
-    """Spokes ``(key, a, b)`` of each bucket of ``members(key, node)``: the centre and every other member.
+    """Spokes ``(key, centre, node)`` of each bucket of ``members(key, node, crowd)``: the centre and every other member.
 
-    Buckets are cut at the borders of range partitions, so that a bucket that most documents
-    share spreads over tasks; each part has its own centre, and the parts' centres form a star.
+    The centre is the member that shares most places with others over all its buckets: an original
+    shares more buckets with each of its copies than they do among themselves. Buckets are cut at
+    the borders of range partitions; each part has its own centre, and the parts' centres form a star.
     """
-    # by a hash of the node, so that centres aren't tied to the order of ids
-    parts = members.withColumn("rank", F.xxhash64("node"))
-    parts = parts.repartitionByRange("key", "rank", "node").sortWithinPartitions("key", "rank", "node")
+    rank = members.groupBy("node").agg(F.sum("crowd").alias("_places")).select("node", (-F.col("_places")).alias("rank"))
+    parts = join_facts(members.select("key", "node"), rank, "node", "inner").withColumn("tie", F.xxhash64("node"))
+    parts = parts.repartitionByRange("key", "rank", "tie", "node").sortWithinPartitions("key", "rank", "tie", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = centre = None
@@ -185,7 +212,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             if n:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(n, BINS) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, SKETCH) for c in ("sa", "sb"))
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield batch.select(["a", "b"]).filter(keep)
 
@@ -193,14 +220,11 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _least_agreement(percent: int) -> int:
-    return int(BINS * (percent / 100 - SLACK))
+    return int(SKETCH * (percent / 100 - SLACK))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold."""
-    pairs = saved(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = saved(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets reach the threshold; ``texts`` hold the documents of all pairs."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -225,7 +249,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    # merge joins at every size: a hot document's rows can be split, and no text is broadcast
+    both = pairs.distinct().join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the documents in some pairs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return saved(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -255,7 +287,7 @@ def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
         node, comp, size = (block.column(c).to_numpy() for c in ("node", "component_id", "n_shingles"))
         part = block.column("part").to_numpy()
         i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
-        sigs = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<u2").reshape(len(node), BINS)
+        sigs = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(node), SKETCH)
         out = []
         for x in np.flatnonzero(part == i):
             other = (part == j) & (comp != comp[x]) & (node > node[x] if i == j else True)
@@ -302,12 +334,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = saved(
         prints.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash", "n_shingles")
         .agg(F.min(whole).alias("x")).select("set_hash", "x.doc_id", "x.n_shingles", "x.sig", "x.keys"), "nodes")
-    members = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    members = saved(_shared(nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))), "shared")
     spokes = saved(_stars(members), "stars")
-    stars = _agreeing(_ordered(spokes, "centre", "node").distinct(), nodes, percent)
-    links = saved(_confirmed(stars, docs, percent), "links")
+    stars = saved(_agreeing(_ordered(spokes, "centre", "node").distinct(), nodes, percent), "candidates")
+    links = saved(_confirmed(stars, _texts(docs, stars), percent), "links")
     labels = components(links)
-    more = _confirmed(_across(spokes, nodes, labels, percent), docs, percent)
+    others = saved(_across(spokes, nodes, labels, percent).distinct(), "candidates")
+    more = _confirmed(others, _texts(docs, others), percent)
     labels = components(links.union(more))
     classes = nodes.select("set_hash", F.col("n_shingles").alias("n"), F.col("doc_id").alias("id")).join(labels, "id", "left").select(
         "set_hash", "n", F.coalesce("component_id", "id").alias("component_id"))
