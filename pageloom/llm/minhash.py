@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pageloom.functions.core import join_facts
 from pageloom.llm.tables import components, saved
@@ -350,3 +350,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = join_facts(rows.withColumn("set", F.concat_ws(":", "set_hash", "n_shingles")), facts, "set")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each component of near-duplicates, with the columns of ``docs``.
+
+    Repeated rows of a kept document leave one row. Rows without a doc_id all stay.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    plain = [F.to_json(c) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in docs.dtypes]
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(*plain).alias("_tie"))
+    some = rows.where("_id is not null").join(kept.withColumnRenamed("doc_id", "_id"), "_id", "left_semi")
+    first = Window.partitionBy("_id").orderBy("_tie")
+    some = some.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("row.*")
+    return some.unionByName(rows.where("_id is null").select("row.*"))

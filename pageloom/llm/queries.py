@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from pageloom.llm.cube import mixed
+from pageloom.llm.eliasfano import token_digests
 from pageloom.llm.language import languages
 from pageloom.llm.minhash import near_duplicates
 from pageloom.llm.wumanber import contamination
@@ -73,3 +77,18 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
 def wu_manber_hits(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, folder, "benchmark")).drop("text")
+
+
+@llm.query("op3_elias_fano_ids")
+def elias_fano_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@llm.query("op8_cube_mix")
+def cube_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents"))
+
+
+@llm.query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
