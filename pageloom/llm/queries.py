@@ -10,6 +10,7 @@ from pageloom.llm.cube import mixed
 from pageloom.llm.eliasfano import token_digests
 from pageloom.llm.language import languages
 from pageloom.llm.minhash import near_duplicates
+from pageloom.llm.secrets import secrets
 from pageloom.llm.wumanber import contamination
 from pageloom.plans.catalog import Catalog, table
 
@@ -92,3 +93,8 @@ def cube_mix(spark: SparkSession, folder: str) -> DataFrame:
 @llm.query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+@llm.query("op7_entropy_secrets")
+def entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets(table(spark, folder, "documents"))
