@@ -9,8 +9,10 @@ import corpus_pipeline
 from pageloom.llm.cube import mixed
 from pageloom.llm.eliasfano import token_digests
 from pageloom.llm.language import languages
+from pageloom.llm.licenses import license_families
 from pageloom.llm.minhash import near_duplicates
 from pageloom.llm.secrets import secrets
+from pageloom.llm.toxicity import severities
 from pageloom.llm.wumanber import contamination
 from pageloom.plans.catalog import Catalog, table
 
@@ -98,3 +100,13 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 @llm.query("op7_entropy_secrets")
 def entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets(table(spark, folder, "documents"))
+
+
+@llm.query("op4_ordinal_toxicity")
+def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return severities(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@llm.query("op9_license_families")
+def license_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return license_families(table(spark, folder, "documents"))
