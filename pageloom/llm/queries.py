@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from pageloom.llm.chat import chat_roles
 from pageloom.llm.cube import mixed
 from pageloom.llm.eliasfano import token_digests
+from pageloom.llm.hnsw import near_vectors
 from pageloom.llm.language import languages
 from pageloom.llm.licenses import license_families
 from pageloom.llm.minhash import near_duplicates
@@ -110,3 +112,26 @@ def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @llm.query("op9_license_families")
 def license_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return license_families(table(spark, folder, "documents"))
+
+
+@llm.query("op1_chat_roles")
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_roles(table(spark, folder, "conversations"))
+
+
+@llm.query("op2_hnsw_links", """
+WITH RECURSIVE links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id
+  AND list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.9
+), reach AS (
+  SELECT a AS id, a AS r FROM links UNION SELECT id, b FROM reach JOIN links ON r = a
+), roots AS (
+  SELECT id, min(r) AS root FROM reach GROUP BY id
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN roots ON id = vec_id
+""")
+def hnsw_links(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
