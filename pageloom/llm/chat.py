@@ -29,6 +29,8 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role, then role + 3 for a line that goes on
 #: Conversations that the model is learned from, by a hash of the id.
 SAMPLE_CONVERSATIONS = 20_000
+#: Share of turns that are taken to begin with a speaker marker, and without a gap, beside those counted.
+MARKED_SHARE = 0.005
 #: Rows of a part, about: a conversation with more is solved in several tasks.
 PART_ROWS = 50_000
 # fixed values: speaker markers at the start of a line
@@ -159,6 +161,9 @@ def learn(turns: DataFrame) -> Model:
             first[r.b] += r.n
         else:
             following[r.a, r.b] += r.n
+    for k in range(len(ROLES)):  # turns may begin with their marker, and without a gap, where no training turn does
+        shown[0][k, k + 1] += MARKED_SHARE * shown[0][k].sum() + 1
+        shown[1][k, 0] += MARKED_SHARE * shown[1][k].sum() + 1
     return Model(first, following, shown)
 
 
