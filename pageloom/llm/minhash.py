@@ -35,8 +35,8 @@ BINS = 128
 BANDS = 32
 #: Bins of the second signature, of one byte each, by which candidates are compared before their texts are read.
 SKETCH = 512
-#: A pair at the threshold agrees in 0.75 of these bins, give or take 0.019; five times that may be lacking.
-SLACK = 0.096
+#: A pair at the threshold agrees in 0.75 of these bins, give or take 0.019; 4.2 times that may be lacking.
+SLACK = 0.08
 BLOCK_ROWS = 2048
 
 
@@ -267,7 +267,7 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Possible pairs between different components of a bucket, found in blocks of bounded size."""
     inner = spokes.select("key", F.col("centre").alias("node")).distinct().union(spokes.select("key", "node")).distinct()
-    facts = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sig").join(
+    facts = nodes.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "keys").join(
         labels.select(F.col("id").alias("node"), "component_id"), "node", "left")
     facts = facts.withColumn("component_id", F.coalesce("component_id", "node"))
     members = saved(inner.join(facts.select("node", "component_id"), "node"), "members")
@@ -276,11 +276,11 @@ def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
     ).where("lo <> hi").select("key", "size")
     open_ = saved(join_facts(members, saved(buckets, "buckets"), "key", "inner"), "open")
     parts = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    rows = open_.join(facts.select("node", "n_shingles", "sig"), "node").withColumn("parts", parts).withColumn(
+    rows = open_.join(facts.select("node", "n_shingles", "sig", "keys"), "node").withColumn("parts", parts).withColumn(
         "part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                       "part", "node", "component_id", "n_shingles", "sig")
+                       "part", "node", "component_id", "n_shingles", "sig", "keys")
     least = _least_agreement(percent)
 
     def compare(block: pa.Table) -> pa.RecordBatch:
@@ -288,6 +288,8 @@ def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
         part = block.column("part").to_numpy()
         i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
         sigs = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(node), SKETCH)
+        keys = np.concatenate([c.flatten().to_numpy() for c in block.column("keys").chunks]).reshape(len(node), BANDS)
+        band = (keys == block.column("key")[0].as_py()).argmax(axis=1)
         out = []
         for x in np.flatnonzero(part == i):
             other = (part == j) & (comp != comp[x]) & (node > node[x] if i == j else True)
@@ -295,6 +297,7 @@ def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
             y = np.flatnonzero(other)
             if len(y):
                 y = y[(sigs[y] == sigs[x]).sum(axis=1) >= least]
+                y = y[(keys[y] == keys[x]).argmax(axis=1) == band[x]]  # a pair leaves the first bucket that it shares, no other
                 out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
