@@ -20,6 +20,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_json(text: Column) -> Column:
+    """The whole text is one JSON value.
+
+    The parser stops after the first value. A text that goes on after it breaks as the only
+    element of a list, or as the only field of an object, or gives the list a second element.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce((F.size(listed) == 1) & field.isNotNull(), F.lit(False))
+
+
+def one_per_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row per key: the least by ``order``, then by the other columns. Combines before its shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    ranks = [o.alias(f"_{i}") for i, o in enumerate(order)]
+    return rows.groupBy(key).agg(F.min(F.struct(*ranks, *rest)).alias("_row")).select(key, *[f"_row.{c}" for c in rest])
+
+
 def first(array: Column) -> Column:
     """First element, NULL for an empty array."""
     return F.get(array, F.lit(0))

@@ -75,11 +75,16 @@ def safe_elements(dom: Column | str, remove_images: bool = False) -> Column:
     if not remove_images:
         return clean(live)
     return let(
-        F.filter(live, lambda e: e["tag"] == "img"),
-        lambda imgs: clean(F.filter(live, lambda e: ~_inside(imgs, e["pos"]))),
+        _open_images(live),
+        lambda imgs: clean(F.filter(live, lambda e: (e["tag"] != "img") & ~_inside(imgs, e["pos"]))),
     )
 
 
+def _open_images(elements: Column) -> Column:
+    """Images with something inside: those left open in the markup. Others are dropped by their tag alone."""
+    return F.filter(elements, lambda e: (e["tag"] == "img") & (e["stop"] > e["pos"]))
+
+
 def _inside(elements: Column, pos: Column) -> Column:
     return F.exists(elements, lambda a: (a["pos"] <= pos) & (a["stop"] >= pos))
 
@@ -146,7 +151,6 @@ def sanitized_html(dom: Column | str, remove_images: bool = False) -> Column:
         live = F.filter(nodes, lambda n: n["live"])
         if not remove_images:
             return live
-        imgs = F.filter(dom["els"], lambda e: e["tag"] == "img")
-        return let(imgs, lambda found: F.filter(live, lambda n: ~_inside(found, n["pos"])))
+        return let(_open_images(dom["els"]), lambda found: F.filter(live, lambda n: ~_inside(found, n["pos"])))
 
     return let(safe_elements(dom, remove_images), write)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pageloom.functions.core import col, let
-from pageloom.functions.ips import in_ipv4_nets, ip_blocked, ipv4_literal, ipv4_text, looks_like_ipv6
+from pageloom.functions.ips import in_ipv4_nets, ip_blocked, ipv4_literal, ipv4_text, ipv6_hex, looks_like_ipv6
 from pageloom.functions.text import strip
 
 # Schemes and host names with a meaning of their own.
@@ -153,6 +153,16 @@ def url_host(url: Column | str) -> Column:
     return hostname(split_url(strip(col(url))).netloc)
 
 
+def _bad_brackets(netloc: Column) -> Column:
+    """Brackets that don't hold an IPv6 or IPvFuture address, with a port at most after them."""
+    place = F.regexp_extract(netloc, r"([^@]*)$", 1)
+    inside = F.regexp_extract(place, r"^\[([^\]]*)\](:.*)?$", 1)
+    future = inside.rlike(r"^v[0-9a-fA-F]+\..+$")
+    address = ipv6_hex(inside).isNotNull()
+    any_bracket = F.instr(netloc, "[") + F.instr(netloc, "]") > 0
+    return any_bracket & ~(future | F.coalesce(address, F.lit(False)))
+
+
 def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: bool = False) -> Column:
     """Reason of the safety verdict, checks in order.
 
@@ -163,7 +173,6 @@ def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: boo
 
     def verdict(p: Column) -> Column:
         netloc = p.netloc
-        open_b, close_b = F.instr(netloc, "[") > 0, F.instr(netloc, "]") > 0
 
         def by_host(host: Column) -> Column:
             def as_address(value: Column) -> Column:
@@ -186,7 +195,7 @@ def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: boo
             )
 
         return (
-            F.when(open_b != close_b, F.lit(REASON_PARSE))
+            F.when(_bad_brackets(netloc), F.lit(REASON_PARSE))
             .when(~p.scheme.isin(ALLOWED_SCHEMES), F.format_string(REASON_SCHEME, p.scheme))
             .otherwise(let(hostname(netloc), by_host))
         )

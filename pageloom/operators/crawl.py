@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import first
+from pageloom.functions.core import first, one_per_key
 from pageloom.functions.nodes import element_text
 from pageloom.functions.text import strip
 from pageloom.functions.urls import join_url, valid_href
@@ -54,7 +54,7 @@ def crawl_chains(
 ) -> DataFrame:
     """Follow next links from every URL of ``seeds(url)`` at once.
 
-    ``edges(url, success, next_url)`` has one row per page. A chain ends at ``max_pages``,
+    ``edges(url, success, next_url)`` are pages; repeated URLs count once. A chain ends at ``max_pages``,
     without a next link, at a URL it has met, or at a failed page (which counts as visited).
     The result is one row per visit: seed, page_no from 1, url, success.
 
@@ -65,7 +65,9 @@ def crawl_chains(
     """
     if not 1 <= max_pages <= MOST_PAGES:
         raise ValueError(f"max_pages must be between 1 and {MOST_PAGES}")
-    step = cut_lineage(edges.select(F.col("url").alias("_at"), "success", "next_url"))
+    # a page that was fetched again counts once: a successful fetch with a link first
+    once = one_per_key(edges.select("url", "success", "next_url"), "url", ~F.coalesce("success", F.lit(False)), F.col("next_url").isNull())
+    step = cut_lineage(once.withColumnRenamed("url", "_at"))
     chains = seeds.select("url").distinct().select(
         F.col("url").alias("seed"), "url",
         F.array().cast("array<struct<url:string,success:boolean>>").alias("visits"),

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import col, join_facts, let
+from pageloom.functions.core import col, is_json, join_facts, let
 from pageloom.functions.text import strip
 
 # Texts read as true and false.
@@ -24,7 +24,7 @@ def strip_fences(text: Column | str) -> Column:
 
 def parse_response(text: Column | str) -> Column:
     """VARIANT of a model answer, NULL when it is no JSON."""
-    return F.try_parse_json(strip_fences(text))
+    return let(strip_fences(text), lambda t: F.when(is_json(t), F.try_parse_json(t)))
 
 
 def as_items(value: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import col, join_facts
+from pageloom.functions.core import col, join_facts, one_per_key
 from pageloom.functions.nodes import clean_text
 from pageloom.functions.urls import REASON_SAFE, domain, hostname, join_url, url_reason
 from pageloom.operators.dom import parse_html
@@ -112,7 +112,9 @@ def resolve_redirects(
     join on the URL with a table of one row per URL. A finished seed keeps a join key of its own that matches nothing:
     the keys stay spread over all partitions, where NULL would put them into one.
     """
-    recorded = responses.select(
+    # a URL that was answered more than once counts once: the answer with the least status
+    once = one_per_key(responses.select("url", "status", "reason", "location"), "url", F.col("status").isNull())
+    recorded = once.select(
         "url", "status", "reason",
         F.when(F.coalesce("location", F.lit("")) != "", join_url("url", "location")).alias("target"),
     )
@@ -125,7 +127,7 @@ def resolve_redirects(
         .withColumnRenamed("reason", "verdict").join(recorded, "url", "left")
         .withColumnRenamed("url", "_at")
     )
-    chain = seeds.select(
+    chain = seeds.select("url").distinct().select(
         F.col("url").alias("start_url"), "url",
         F.lit(0).alias("hops"), F.lit(False).alias("done"),
         F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("error_message"),

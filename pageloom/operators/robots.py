@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.core import col, first, join_facts, let
+from pageloom.functions.core import col, first, join_facts, let, one_per_key
 from pageloom.functions.text import strip
 from pageloom.functions.urls import domain, split_url, unsplit_url
 
@@ -102,6 +102,7 @@ def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
     else the first for all agents. Status 404 and network errors (NULL) allow; any other
     status but 200 denies, as does ``is_safe = false`` where the table has that column.
     """
+    robots = one_per_key(robots, "domain", F.col("status").isNull())  # a domain's files count once: the least status first
     token = agent.split("/")[0].lower()
     group = F.struct("rules", "crawl_delay")
     for_all = F.array_contains("agents", "*")

@@ -12,8 +12,6 @@ from pageloom.functions.urls import domain
 from pageloom.operators.robots import effective_delay, with_robots
 from pageloom.session import cut_lineage
 
-HOT_ROWS = 5_000_000
-
 
 def _running(window):
     return window.rowsBetween(Window.unboundedPreceding, 0)
@@ -34,31 +32,11 @@ def requests_of(urls: DataFrame, policy: DataFrame, url: str = "url") -> DataFra
     )
 
 
-def send_schedule(requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def send_schedule(requests: DataFrame) -> DataFrame:
     """Add ``start_us`` to ``requests(domain, request_id, arrival_us, delay_us)``.
 
-    ``delay_us`` is one value per domain. While the largest domain is small a window per
-    domain does it in one shuffle; otherwise the schedule is made in two levels, so that no
-    task sorts a whole hot domain.
-    """
-    largest = requests.groupBy("domain").count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= hot_rows:
-        return _by_domain(requests)
-    return _two_level(requests)
-
-
-def _by_domain(requests: DataFrame) -> DataFrame:
-    ordered = Window.partitionBy("domain").orderBy("arrival_us", "request_id")
-    shift = F.row_number().over(ordered) * F.col("delay_us")
-    return (
-        requests.withColumn("_shift", shift)
-        .withColumn("start_us", F.col("_shift") + F.max(F.col("arrival_us") - F.col("_shift")).over(_running(ordered)))
-        .drop("_shift")
-    )
-
-
-def _two_level(requests: DataFrame) -> DataFrame:
-    """Running maximum over range partitions, then over one summary row per part.
+    ``delay_us`` is one value per domain. Running maximum over range partitions, then over one
+    summary row per part, so that no task sorts a whole domain.
 
     A range shuffle on (domain, arrival, id) cuts hot domains into parts of even size. The
     parts are written to the shared folder once, since both levels must see the same cut.

@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import col, let
+from pageloom.functions.core import col, is_json, let, one_per_key
 from pageloom.functions.text import strip
 
 # Type names with their meaning. A trailing "?" makes a type optional.
@@ -134,7 +134,7 @@ def map_schema(spec: Column | str) -> Column:
 
     NULL when the text is no JSON object.
     """
-    entries = F.map_entries(F.from_json(col(spec), "map<string,string>"))
+    entries = F.map_entries(F.when(is_json(col(spec)), F.from_json(col(spec), "map<string,string>", {"allowSingleQuotes": "false"})))
 
     def pair(e: Column) -> Column:
         given = F.lower(strip(F.coalesce(e["value"], F.lit(""))))
@@ -163,13 +163,13 @@ def resolve_schema(spec: Column | str, file_content: Column | None = None) -> Co
     def pick(found: Column) -> Column:
         nothing = F.lit(None).cast(SCHEMA_TYPE)
         return (
-            F.when(spec.isNull(), answer("none", nothing, F.lit("Schema input cannot be None.")))
+            F.when(spec.isNull(), answer("none", nothing, F.lit("No schema is given.")))
             .when(found["preset"].isNotNull(), answer("preset", found["preset"]))
             .when(content.isNotNull() & (F.size(found["file"]) > 0), answer("file", found["file"]))
             .when(content.isNotNull() & (F.size(found["file"]) == 0),
-                  answer("none", nothing, F.lit("Cannot create dynamic schema with no valid fields.")))
+                  answer("none", nothing, F.lit("The schema has no usable field.")))
             .when(content.isNotNull(),
-                  answer("none", nothing, F.format_string("JSON schema file '%s' must contain a JSON object.", clean)))
+                  answer("none", nothing, F.format_string("The schema file '%s' holds no JSON object.", clean)))
             .when(is_json & (F.size(found["json"]) > 0), answer("json", found["json"]))
             .when(F.size(found["spec"]) > 0, answer("spec", found["spec"]))
             .otherwise(answer("none", nothing, F.format_string("Unrecognized schema '%s'.", spec)))
@@ -207,7 +207,7 @@ def resolve_request(preset: Column | str, fields: Column | str) -> Column:
 
 def with_schema_files(specs: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``content`` of the schema file a spec names, from ``files(path, content)``."""
-    return specs.withColumn("path", strip("spec")).join(files, "path", "left").drop("path")
+    return specs.withColumn("path", strip("spec")).join(one_per_key(files.select("path", "content"), "path"), "path", "left").drop("path")
 
 
 def registry(specs: DataFrame, schema: Column | str = "schema", keys: tuple[str, ...] = ("schema_id",)) -> DataFrame:

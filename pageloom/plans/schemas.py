@@ -16,7 +16,6 @@ from pageloom.operators.schemas import (
 from pageloom.plans.catalog import Catalog, sql_text, table
 from pageloom.plans.crawls import ANSWER, ITEMS_SQL, answers, page_texts
 from pageloom.plans.html import clean_text_sql
-from pageloom.sources.pages import spread
 
 schemas = Catalog()
 
@@ -94,8 +93,8 @@ def schema_map_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ANY = """CASE event_id % 9 WHEN 0 THEN ' Product' WHEN 1 THEN concat('f', user_id, '.json') WHEN 2 THEN concat(' {"a', user_id, '": "int"} ')
-      WHEN 3 THEN concat('a', user_id, ':int,b:str?') WHEN 4 THEN 'nonexistent_preset_xyz' WHEN 5 THEN '{"a":' WHEN 6 THEN '{}'
-      WHEN 7 THEN NULL ELSE '../../sensitive_config.json' END"""
+      WHEN 3 THEN concat('a', user_id, ':int,b:str?') WHEN 4 THEN 'no_such_boat' WHEN 5 THEN '{"a":' WHEN 6 THEN '{}'
+      WHEN 7 THEN NULL ELSE '../harbour/tides.json' END"""
 
 
 @schemas.query("schema_resolve", f"""
@@ -104,8 +103,8 @@ s AS (SELECT event_id, spec, CASE WHEN k = 0 THEN 'preset' WHEN k = 1 AND user_i
     WHEN k = 3 THEN 'spec' ELSE 'none' END AS source, user_id, k FROM e)
 SELECT event_id AS schema_id, source, CASE source WHEN 'preset' THEN 'title,price,currency,rating,in_stock,description,url'
     WHEN 'file' THEN 'item,cost' WHEN 'json' THEN 'a' || user_id WHEN 'spec' THEN 'a' || user_id || ',b' END AS names,
-  CASE WHEN spec IS NULL THEN 'Schema input cannot be None.'
-    WHEN k = 1 AND user_id % 3 = 2 THEN 'JSON schema file ''f' || user_id || '.json'' must contain a JSON object.'
+  CASE WHEN spec IS NULL THEN 'No schema is given.'
+    WHEN k = 1 AND user_id % 3 = 2 THEN 'The schema file ''f' || user_id || '.json'' holds no JSON object.'
     WHEN source = 'none' THEN 'Unrecognized schema ''' || spec || '''.' END AS error FROM s""")
 def schema_resolve(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
@@ -167,7 +166,7 @@ WITH r AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN 't' || event_id EN
 
 
 def _products(spark: SparkSession, folder: str) -> DataFrame:
-    events = spread(table(spark, folder, "events"))
+    events = table(spark, folder, "events")
     return events.select("event_id", F.try_parse_json(F.expr(_PRODUCT)).alias("item"))
 
 
@@ -185,7 +184,7 @@ SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{"k":' || k || '}' WHEN event_
   CASE WHEN event_id % 4 = 2 AND k > 1 THEN 'k: not a valid bool' WHEN event_id % 4 = 3 THEN 'k: not a valid str; w: missing' ELSE '' END AS errors FROM r""")
 def enforced_each(spark: SparkSession, folder: str) -> DataFrame:
     spec = F.expr("CASE event_id % 4 WHEN 0 THEN 'k:int' WHEN 1 THEN 'k:float,z:str?' WHEN 2 THEN 'k:bool' ELSE 'k:str,w:int' END")
-    items = spread(table(spark, folder, "events")).select(
+    items = table(spark, folder, "events").select(
         "event_id", F.try_parse_json("props").alias("item"), spec_schema(spec).alias("schema")
     )
     return enforce_each(items).select("event_id", "record", F.concat_ws("; ", "errors").alias("errors"))
@@ -194,7 +193,7 @@ def enforced_each(spark: SparkSession, folder: str) -> DataFrame:
 @schemas.query("enforce_events_props", r"""
 SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, NULL::VARCHAR[] AS tags, '' AS errors FROM events""")
 def enforce_events_props(spark: SparkSession, folder: str) -> DataFrame:
-    items = spread(table(spark, folder, "events")).select("event_id", F.try_parse_json("props").alias("item"))
+    items = table(spark, folder, "events").select("event_id", F.try_parse_json("props").alias("item"))
     records = enforce(items, spec_fields(spark, "k:int,tags:list[str]?"), ("event_id",))
     return records.withColumn("errors", F.concat_ws("; ", "errors"))
 
@@ -206,7 +205,7 @@ SELECT a.event_id AS page_id, i AS item_no, CASE i WHEN 0 THEN a.title ELSE b.ti
 FROM r a JOIN r b ON b.event_id = a.event_id + 1 CROSS JOIN (VALUES (0), (1)) n(i) WHERE a.errors = '' AND b.errors = ''""")
 def enforce_page_scope(spark: SparkSession, folder: str) -> DataFrame:
     both = f"concat('[', {_PRODUCT}, ',', {_PRODUCT.replace('event_id', '(event_id + 1)')}, ']')"
-    responses = spread(table(spark, folder, "events")).select(F.col("event_id").alias("page_id"), F.expr(both).alias("text"))
+    responses = table(spark, folder, "events").select(F.col("event_id").alias("page_id"), F.expr(both).alias("text"))
     records = extract_answers(responses, preset_fields(spark, "product"))
     return records.select("page_id", "item_no", "title", "price")
 
@@ -276,10 +275,10 @@ _REQUESTS_SQL = f"""{clean_text_sql()}, r AS (SELECT c.page_id, e.event_id AS qu
 
 @schemas.query("qa_guard", f"""
 WITH {_REQUESTS_SQL}
-SELECT page_id, question_id, {_qa_prompt_sql(500)} AS prompt, length(left(clean_text, 500))::INTEGER AS content_length
+SELECT page_id, question_id, {_qa_prompt_sql(100000)} AS prompt, length(left(clean_text, 100000))::INTEGER AS content_length
 FROM r WHERE page_id % 7 <> 0 AND clean_text <> ''""")
 def qa_guard(spark: SparkSession, folder: str) -> DataFrame:
-    return qa_prompts(_requests(spark, folder), max_text=500)
+    return qa_prompts(_requests(spark, folder))
 
 
 @schemas.query("qa_answers", f"""

@@ -30,8 +30,8 @@ def json_array(records: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def write_csv(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header in each part; quotes are doubled, NULL and empty are bare."""
-    records.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    """CSV with a header in each part; quotes are doubled, NULL and empty are bare. No records give empty files."""
+    records.write.mode(mode).options(**{**CSV_OPTIONS, "header": not records.isEmpty()}).csv(path)
 
 
 def read_csv(spark, path: str, schema: str) -> DataFrame:

@@ -12,16 +12,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy row work on a table just read from files.
-
-    Only a scan with fewer parts than half the cores is dealt out anew; a large table is
-    read in many parts already and keeps them, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def read_html_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Saved pages, one per file: the file path is the URL, the id a hash of it."""
     files = spark.read.format("binaryFile").load(path)

@@ -25,9 +25,9 @@ def test_presets(spark):
 
 
 SPECS = [
-    ("title:str,price:float,in_stock:bool,rating:float?", [("title", "str", True), ("price", "float", True), ("in_stock", "bool", True), ("rating", "float", False)]),
+    ("boat:str,seats:int,full:bool?,fare:float", [("boat", "str", True), ("seats", "int", True), ("full", "bool", False), ("fare", "float", True)]),
     (" a : STRING ,, b:list[str]? ", [("a", "str", True), ("b", "list[str]", False)]), ("a:int,b:str,a:bool", [("a", "bool", True), ("b", "str", True)]),
-    ("title:str,price", []), ("a-b:str", []), ("1a:str", []), ("a:list?", []), ("a:weird", []), ("", []), ("é_1:int", [("é_1", "int", True)]), ("a:str:x", []),
+    ("boat:str,fare", []), ("a-b:str", []), ("1a:str", []), ("a:list?", []), ("a:weird", []), ("", []), ("é_1:int", [("é_1", "int", True)]), ("a:str:x", []),
 ]
 
 
@@ -41,7 +41,8 @@ def test_spec(spark):
 
 
 MAPS = [
-    ('{"name": "string", "quantity": "int", "available": "bool"}', [("name", "str", True), ("quantity", "int", True), ("available", "bool", True)]),
+    ('{"seats": "int", "boat": "string", "fare": "float?"}', [("seats", "int", True), ("boat", "str", True), ("fare", "float", False)]),
+    ("{'a':'int'}", []), ('{"a":"int"} x}', []), ('{"a":"int"} , {"b":"str"}', []), ('{"a":"int"}, "b": 1', []),
     ('{"x": "weird", "a-b": " Float? ", "n": null, "z": 1}', [("x", "str", False), ("a-b", "float", False), ("n", "str", False), ("z", "str", False)]),
     ("[1]", []), ("nope", []),
 ]
@@ -54,7 +55,7 @@ def test_map(spark):
 RESOLVED = [
     ("product", None, "preset", 7), ("x.json", '{"item":"str","cost":"float"}', "file", 2), ("x.json", None, "none", None), ("x.json", "[1]", "none", None),
     ("x.json", "{}", "none", None), ('{"a":"int"}', None, "json", 1), ("{}", None, "none", None), ("{bad}", None, "none", None), ("a:int,b:str", None, "spec", 2),
-    ("nonexistent_preset_xyz", None, "none", None), (None, None, "none", None), ("../../sensitive_config.json", None, "none", None),
+    ("no_such_boat", None, "none", None), (None, None, "none", None), ("../harbour/tides.json", None, "none", None),
 ]
 
 
@@ -156,3 +157,12 @@ def test_answers(spark):
 def test_answers_without_schema(spark):
     rows = normalize_records(parse_responses(answers(spark, ['[{"title":"Any Item","price":"$15"}]', '{"a":1}', "x"]))).orderBy("page_id").collect()
     assert [(r.page_id, r.item_no, json.loads(r.item.toJson())) for r in rows] == [(0, 0, {"title": "Any Item", "price": "$15"}), (1, 0, {"a": 1})]
+
+
+def test_an_answer_is_json_as_a_whole(spark):
+    cases = {
+        '[1,2]': True, '[1,2] trailing': False, '{"a":1} {"a":2}': False, '1, 2': False, '{"a":1}, "b": 2': False, '"x"': True, 'null': True,
+        FENCE + 'json\n{"a":1}\n' + FENCE: True, '{"a":1}\n' + FENCE + '\nand more': False, '': False, '] [': False, '1], [2': False, '{"a":[1}': False,
+    }
+    df = parse_responses(spark.createDataFrame([(t,) for t in cases], "text string"))
+    assert {r.text: r.good for r in df.select("text", F.col("value").isNotNull().alias("good")).collect()} == cases
