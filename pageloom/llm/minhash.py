@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         prints.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash", "n_shingles")
         .agg(F.min(whole).alias("x")).select("set_hash", "x.doc_id", "x.n_shingles", "x.sig", "x.keys"), "nodes")
     members = saved(_shared(nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))), "shared")
-    spokes = saved(_stars(members), "stars")
+    spokes = _stars(members)
     stars = saved(_agreeing(_ordered(spokes, "centre", "node").distinct(), nodes, percent), "candidates")
     links = saved(_confirmed(stars, _texts(docs, stars), percent), "links")
     labels = components(links)

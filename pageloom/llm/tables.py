@@ -28,13 +28,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = saved(links.select("a", "b").distinct(), "links")
     while True:
-        least = links.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = saved(least, "least")
-        if least.where("n > 1").isEmpty():
+        least = links.groupBy("b").agg(F.min("a").alias("m"))
+        moved = join_facts(links.select("a", "b"), least, "b", "inner").where("a <> m")
+        up = moved.select(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
+        links = saved(least.select(F.col("m").alias("a"), "b", F.lit(False).alias("moved")).union(up).distinct(), "links")
+        if links.where("moved").isEmpty():
             break
-        moved = join_facts(links, least.select("b", "m"), "b", "inner")
-        up = moved.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        links = saved(least.select(F.col("m").alias("a"), "b").union(up).distinct(), "links")
     parents = links.select(F.col("b").alias("id"), F.col("a").alias("parent"))
     while True:
         above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
