@@ -8,7 +8,7 @@ from pageloom.functions.core import col, join_facts, one_per_key
 from pageloom.functions.nodes import clean_text
 from pageloom.functions.urls import REASON_SAFE, domain, hostname, join_url, url_reason
 from pageloom.operators.dom import parse_html
-from pageloom.operators.robots import is_allowed
+from pageloom.operators.robots import is_allowed, with_robots
 from pageloom.operators.safety import check_urls, host_verdicts
 from pageloom.session import cut_lineage
 
@@ -104,10 +104,11 @@ def is_transient(status: Column | str, error: Column | str) -> Column:
 
 
 def resolve_redirects(
-    seeds: DataFrame, responses: DataFrame, dns: DataFrame, max_redirects: int = 5
+    seeds: DataFrame, responses: DataFrame, dns: DataFrame, max_redirects: int = 5, policy: DataFrame | None = None
 ) -> DataFrame:
     """Follow recorded redirects from ``seeds(url)`` over ``responses(url, status, reason, location)``.
 
+    Each hop must be safe, and allowed by the robots ``policy`` if there is one.
     Every URL that can be met is checked once and kept in the shared folder, so a hop is one
     join on the URL with a table of one row per URL. A finished seed keeps a join key of its own that matches nothing:
     the keys stay spread over all partitions, where NULL would put them into one.
@@ -122,11 +123,12 @@ def resolve_redirects(
         seeds.select("url").union(recorded.select("url"))
         .union(recorded.where(F.col("target").isNotNull()).select("target")).distinct()
     )
-    nodes = cut_lineage(
-        check_urls(met, dns).select("url", "is_safe", "reason")
-        .withColumnRenamed("reason", "verdict").join(recorded, "url", "left")
-        .withColumnRenamed("url", "_at")
-    )
+    checked = check_urls(met, dns).select("url", "is_safe", F.col("reason").alias("verdict"))
+    if policy is None:
+        checked = checked.withColumn("allowed", F.lit(True))
+    else:
+        checked = with_robots(checked, policy).drop("crawl_delay")
+    nodes = cut_lineage(checked.join(recorded, "url", "left").withColumnRenamed("url", "_at"))
     chain = seeds.select("url").distinct().select(
         F.col("url").alias("start_url"), "url",
         F.lit(0).alias("hops"), F.lit(False).alias("done"),
@@ -135,6 +137,7 @@ def resolve_redirects(
     redirect = F.col("status").isin(REDIRECT_CODES)
     code = (
         F.when(~F.col("is_safe"), 400)
+        .when(~F.col("allowed"), 403)
         .when(F.col("status").isNull(), 500)
         .when(redirect & (F.col("hops") >= max_redirects), 400)
         .when(redirect & F.col("target").isNotNull(), None)
@@ -142,6 +145,7 @@ def resolve_redirects(
     )
     message = (
         F.when(~F.col("is_safe"), F.format_string(MSG_UNSAFE, "verdict"))
+        .when(~F.col("allowed"), F.format_string(MSG_ROBOTS, "url"))
         .when(F.col("status").isNull(), F.lit(MSG_REQUEST % "no response recorded"))
         .when(redirect & (F.col("hops") >= max_redirects), F.lit(MSG_REDIRECTS % max_redirects))
         .when(redirect & F.col("target").isNull(), F.lit(MSG_NO_LOCATION))
@@ -165,6 +169,24 @@ def resolve_redirects(
     )
 
 
+def fetch_followed(
+    seeds: DataFrame, responses: DataFrame, dns: DataFrame, policy: DataFrame | None = None, max_redirects: int = 5
+) -> DataFrame:
+    """Whole fetches of ``seeds(url)``: redirects followed, each hop checked, the last page parsed.
+
+    ``responses(url, status, reason, location, html)``. The chains move narrow rows; of the HTML
+    only pages that end some chain meet a join, and each is parsed once for all its chains.
+    """
+    chains = cut_lineage(resolve_redirects(seeds, responses, dns, max_redirects, policy))
+    ends = chains.where("success").select("url").distinct()
+    answers = responses.where("status = 200").select("url", "status", "reason", "location", "html")
+    pages = one_per_key(answers.join(ends, "url", "left_semi"), "url")  # the answer that the chain met
+    parsed = pages.withColumn("_dom", parse_html("html")).select(
+        "url", F.col("html").alias("raw_html"), clean_text("_dom").alias("clean_text"))
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("raw_html", "clean_text")}
+    return join_facts(chains, parsed, "url").withColumns(blank)
+
+
 def resolve_retries(attempts: DataFrame, keys: list[str], max_retries: int = 3) -> DataFrame:
     """The attempt that counts, per key, of ``attempts(attempt, status_code, error_message)``.
 

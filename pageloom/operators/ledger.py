@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pageloom.functions.core import col, join_facts
+from pageloom.operators.crawl import DEFAULT_PAGES, crawl_chains, crawl_records
+from pageloom.operators.fetches import resolve_retries
 
 EVENT_SCHEMA = (
     "seq bigint, task_id string, kind string, status string, url string, "
@@ -148,6 +150,23 @@ def finish_events(tasks: DataFrame, records: DataFrame, failures: DataFrame | No
     )
 
 
+def crawl_events(
+    tasks: DataFrame, attempts: DataFrame, links: DataFrame, records: DataFrame, failures: DataFrame | None = None,
+    max_pages: int = DEFAULT_PAGES, max_retries: int = 3,
+) -> DataFrame:
+    """Events of whole crawls, one per row of ``tasks(task_no, task_id, url, at)``, from fetch attempts to records.
+
+    A page counts as fetched if the attempt that ends its retries succeeded, ``attempts(url,
+    attempt, status_code, error_message)``; a page without attempts is a failed one. Chains
+    follow ``links(url, next_url)`` up to ``max_pages``, or to the first failed page. Pages
+    without rows in ``records(url, item_no, record)`` add none and end no chain.
+    """
+    fetched = resolve_retries(attempts, ["url"], max_retries).select("url", "success")
+    edges = join_facts(links.select("url", "next_url"), fetched, "url").withColumn("success", F.coalesce("success", F.lit(False)))
+    visits = crawl_chains(tasks.select("url"), edges, max_pages)
+    return start_events(tasks).union(finish_events(tasks, crawl_records(visits, records), failures))
+
+
 def task_view(state: DataFrame) -> DataFrame:
     """State with the records as VARIANT, no times."""
     return state.drop("created_at", "updated_at").withColumn("records", F.try_parse_json(col("records")))

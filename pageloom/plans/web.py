@@ -186,12 +186,12 @@ def transient_flag(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_RESPONSE = """CASE WHEN p.page_id % 31 = 5 THEN 404 WHEN p.page_id % 7 <> 0 THEN 302 ELSE 200 END"""
-_LOCATION = """CASE WHEN p.page_id % 29 = 3 THEN NULL WHEN p.page_id % 7 <> 0 THEN n.url END"""
+RESPONSE = """CASE WHEN p.page_id % 31 = 5 THEN 404 WHEN p.page_id % 7 <> 0 THEN 302 ELSE 200 END"""
+LOCATION = """CASE WHEN p.page_id % 29 = 3 THEN NULL WHEN p.page_id % 7 <> 0 THEN n.url END"""
 
 
 @web.query("redirect_final", rf"""
-WITH RECURSIVE r AS (SELECT p.url, {_RESPONSE} AS status, {_LOCATION} AS target,
+WITH RECURSIVE r AS (SELECT p.url, {RESPONSE} AS status, {LOCATION} AS target,
     length(regexp_extract(p.url, '^https?://([^/?#]*)', 1)) % 11 <> 0 AS safe,
     lower(regexp_extract(p.url, '^https?://([^/?#]*)', 1)) AS host
   FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1),
@@ -209,13 +209,18 @@ SELECT l.start_url, l.url, l.hops,
 FROM l JOIN r ON r.url = l.url""")
 def redirect_final(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
+    return resolve_redirects(pages.select("url"), *redirect_corpus(pages))
+
+
+def redirect_corpus(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Responses and addresses: most pages lead to the one with the following id."""
     following = pages.select((F.col("page_id") - 1).alias("page_id"), "url").alias("n")
     responses = pages.alias("p").join(following, F.expr("n.page_id = p.page_id"), "left").select(
-        "p.url", F.expr(_RESPONSE).alias("status"), F.expr(_LOCATION).alias("location")
+        "p.url", "p.html", F.expr(RESPONSE).alias("status"), F.expr(LOCATION).alias("location")
     ).withColumn("reason", F.expr("CASE status WHEN 200 THEN 'OK' WHEN 404 THEN 'Not Found' ELSE 'Found' END"))
     hosts = pages.select(domain("url").alias("host")).distinct()
     dns = hosts.withColumn("ip", F.expr("CASE WHEN length(host) % 11 = 0 THEN '10.0.0.9' ELSE '93.184.216.34' END"))
-    return resolve_redirects(pages.select("url"), responses, dns)
+    return responses, dns
 
 
 # robots
@@ -305,7 +310,7 @@ def schedule_two_level(spark: SparkSession, folder: str) -> DataFrame:
     return send_schedule(_requests(table(spark, folder, "events"))).drop("delay_us")
 
 
-@web.query("send_schedule_stream", _SCHEDULE)
+@web.query("send_schedule_stream", f"SELECT *, false AS late FROM ({_SCHEDULE})")
 def schedule_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     events = stream_table(spark, f"{folder}/events.parquet*", schema)

@@ -1,8 +1,9 @@
 """Stream forms of the send schedule and the task ledger: one small state per key.
 
-Rows of a key are put in order inside a micro-batch, so results equal the batch operators
-when batches arrive in order. Bound a batch with the source's own limits
-(``maxFilesPerTrigger``, ``maxBytesPerTrigger``). The state needs the RocksDB provider.
+Task states don't depend on the order in which events arrive. Send times are given out at
+once and can't be taken back: a request that comes after a later one was sent is marked
+``late``. Bound a batch with the source's own limits (``maxFilesPerTrigger``,
+``maxBytesPerTrigger``). The state needs the RocksDB provider.
 """
 
 from __future__ import annotations
@@ -17,28 +18,32 @@ from pageloom.session import ship_by_value
 
 ship_by_value(__name__)
 
-SCHEDULE_SCHEMA = "domain string, request_id bigint, arrival_us bigint, start_us bigint"
-STATUS_SCHEMA = "task_id string, seq bigint, status string, url string, records_count int, live boolean"
+SCHEDULE_SCHEMA = "domain string, request_id bigint, arrival_us bigint, start_us bigint, late boolean"
+STATUS_SCHEMA = "task_id string, seq bigint, status string, url string, records_count int, live boolean, version bigint"
+#: Stands for an event that hasn't been seen.
+NEVER = -(1 << 63)
 
 
 class _SendTimes(StatefulProcessor):
-    """State: when the last request of the domain starts."""
+    """State: when the last request of the domain starts, and the last arrival."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "start_us bigint")
+        self.last = handle.getValueState("last", "start_us bigint, arrival_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["arrival_us", "request_id"])
         arrival, delay = batch["arrival_us"].to_numpy(), batch["delay_us"].to_numpy()
         shift = delay.cumsum()
         slack = pd.Series(arrival - shift).cummax()
+        newest = NEVER
         if self.last.exists():
-            slack = slack.clip(lower=self.last.get()[0])
+            sent, newest = self.last.get()
+            slack = slack.clip(lower=sent)
         start = (slack + shift).to_numpy()
-        self.last.update((int(start[-1]),))
+        self.last.update((int(start[-1]), max(int(arrival[-1]), newest)))
         yield pd.DataFrame({
             "domain": key[0], "request_id": batch["request_id"].to_numpy(),
-            "arrival_us": arrival, "start_us": start,
+            "arrival_us": arrival, "start_us": start, "late": arrival < newest,
         })
 
     def close(self) -> None:
@@ -46,38 +51,54 @@ class _SendTimes(StatefulProcessor):
 
 
 def send_schedule_stream(requests: DataFrame) -> DataFrame:
-    """Send times of a request stream ``(domain, request_id, arrival_us, delay_us)``."""
+    """Send times of a request stream ``(domain, request_id, arrival_us, delay_us)``.
+
+    Equal to the batch form while no row is ``late``: such a row is sent after all requests of
+    its domain that came in earlier batches, so filter on it to treat them otherwise.
+    """
     return requests.groupBy("domain").transformWithStateInPandas(
         _SendTimes(), SCHEDULE_SCHEMA, outputMode="Append", timeMode="None"
     )
 
 
 class _TaskStatus(StatefulProcessor):
-    """State: the current row of the task, or none. One row out per micro-batch."""
+    """State: last delete, last update, number of batches; and the creates after that delete.
+
+    All are maxima or sets, so that any order of arrival leads to the same state. One row out
+    per micro-batch.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "seq bigint, status string, url string, records_count int")
+        self.marks = handle.getValueState("marks", "version bigint, gone bigint, seq bigint, status string, records_count int")
+        self.creates = handle.getMapState("creates", "seq bigint", "url string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        current = self.row.get() if self.row.exists() else None
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for e in batch.itertuples():
-            if e.kind == "create" and current is None:
-                current = (int(e.seq), "pending", e.url, 0)
-            elif e.kind == "update" and current is not None:
-                count = 0 if pd.isna(e.records_count) else int(e.records_count)
-                current = (int(e.seq), e.status, current[2], count)
-            elif e.kind == "delete":
-                current = None
-        if current is None:
-            self.row.clear()
-            out = (int(batch["seq"].iloc[-1]), None, None, None)
+        version, gone, seq, status, count = self.marks.get() if self.marks.exists() else (0, NEVER, NEVER, None, 0)
+        for part in rows:
+            deletes, updates = part[part["kind"] == "delete"], part[part["kind"] == "update"]
+            if len(deletes):
+                gone = max(gone, int(deletes["seq"].max()))
+            if len(updates) and updates["seq"].max() > seq:
+                latest = updates.iloc[updates["seq"].to_numpy().argmax()]
+                seq, status = int(latest["seq"]), latest["status"]
+                count = 0 if pd.isna(latest["records_count"]) else int(latest["records_count"])
+            fresh = part[(part["kind"] == "create") & (part["seq"] > gone)]
+            for born, url in zip(fresh["seq"].tolist(), fresh["url"].tolist()):
+                self.creates.updateValue((born,), (url,))
+        births = [k[0] for k in self.creates.keys()]
+        for born in births:
+            if born < gone:
+                self.creates.removeKey((born,))
+        first = min((b for b in births if b > gone), default=None)
+        self.marks.update((version + 1, gone, seq, status, count))
+        if first is None:
+            out = (max(gone, seq), None, None, None)
         else:
-            self.row.update(current)
-            out = tuple(current)
+            url = self.creates.getValue((first,))[0]
+            out = (seq, status, url, count) if seq > first else (first, "pending", url, 0)
         yield pd.DataFrame(
-            [(key[0], *out, current is not None)],
-            columns=["task_id", "seq", "status", "url", "records_count", "live"],
+            [(key[0], *out, first is not None, version + 1)],
+            columns=["task_id", "seq", "status", "url", "records_count", "live", "version"],
         )
 
     def close(self) -> None:
@@ -85,7 +106,11 @@ class _TaskStatus(StatefulProcessor):
 
 
 def ledger_state_stream(events: DataFrame) -> DataFrame:
-    """Changes of task rows from a stream of ledger events; ``live`` is false for a deleted task."""
+    """Changes of task rows from a stream of ledger events; ``live`` is false for a deleted task.
+
+    The row of a task with the highest ``version`` holds; it is that of the batch form over all
+    events so far, in whatever order they came.
+    """
     return (
         events.select("seq", "task_id", "kind", "status", "url", "records_count")
         .groupBy("task_id")

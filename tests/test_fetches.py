@@ -1,7 +1,8 @@
 import random
 
 import pytest
-from pageloom.operators.fetches import backoff_total, is_transient, resolve_redirects, resolve_retries
+from pageloom.operators.fetches import backoff_total, fetch_followed, is_transient, resolve_redirects, resolve_retries
+from pageloom.operators.robots import robots_policy
 from pageloom.operators.schedule import send_schedule
 
 
@@ -39,6 +40,29 @@ def test_redirects(spark):
     assert {r.start_url[len(U):]: tuple(r)[1:] for r in got.collect()} == expected
 
 
+def test_fetch_followed(spark):
+    """Robots are asked at every hop; a page that several chains reach is parsed once; repeated answers count once."""
+    responses = [
+        (f"{U}/a", 302, "Found", "/b", None), (f"{U}/b", 302, "Found", "/page", None), (f"{U}/page", 200, "OK", None, "<p>Hi <b>there</b></p>"),
+        (f"{U}/c", 302, "Found", "/closed/x", None), (f"{U}/closed/x", 200, "OK", None, "<p>no</p>"), (f"{U}/gone", 404, "Gone away", None, "<p>404</p>"),
+    ]
+    seeds = ["/a", "/b", "/page", "/c", "/closed/x", "/gone"]
+    robots = spark.createDataFrame([("example.com", 200, "User-agent: *\nDisallow: /closed/")], "domain string, status int, body string")
+    got = fetch_followed(
+        spark.createDataFrame([(U + s,) for s in seeds], "url string"),
+        spark.createDataFrame(responses * 2, "url string, status int, reason string, location string, html string"),
+        spark.createDataFrame([("example.com", "93.184.216.34")], "host string, ip string"),
+        robots_policy(robots, "bot/1"),
+    ).collect()
+    refused = f"Access to '{U}/closed/x' is restricted by site robots.txt policy."
+    found = ("/page", 200, None, responses[2][4], "Hi there")
+    assert len(got) == len(seeds)
+    assert {r.start_url[len(U):]: (r.url[len(U):], r.status_code, r.error_message, r.raw_html, r.clean_text) for r in got} == {
+        "/a": found, "/b": found, "/page": found, "/c": ("/closed/x", 403, refused, "", ""), "/closed/x": ("/closed/x", 403, refused, "", ""),
+        "/gone": ("/gone", 404, "HTTP 404: Gone away", "", ""),
+    }
+
+
 def test_transient(spark):
     cases = {
         (503, None): True, (404, "HTTP 404: Not Found"): False, (412, "HTTP 412: Precondition Failed"): True,

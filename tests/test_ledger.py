@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 import pytest
 
@@ -93,14 +94,16 @@ def test_events_of_a_crawl(spark):
     }
 
 
-def test_stream_state_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stream_state_over_several_batches(spark, tmp_path, shuffled):
     events = random_events(600)
+    arrived = random.Random(8).sample(events, len(events)) if shuffled else events
     path = str(tmp_path / "events")
     for part in range(3):
-        frame(spark, events[part * 200:(part + 1) * 200]).coalesce(1).write.mode("append").parquet(path)
+        frame(spark, arrived[part * 200:(part + 1) * 200]).coalesce(1).write.mode("append").parquet(path)
     changes = run_available(ledger_state_stream(stream_table(spark, path, EVENT_SCHEMA, files_per_batch=1)), "test-status").collect()
     latest = {}
-    for r in sorted(changes, key=lambda r: r.seq):
+    for r in sorted(changes, key=lambda r: r.version):
         latest[r.task_id] = (r.status, r.url, r.records_count) if r.live else None
     assert {k: v for k, v in latest.items() if v} == {k: v[:3] for k, v in replay(events)[0].items()}
 
@@ -116,4 +119,14 @@ def test_stream_schedule_over_several_batches(spark, tmp_path):
     last, want = {}, {}
     for domain, request, arrival, delay in sorted(rows, key=lambda r: (r[2], r[1])):
         last[domain] = want[request] = max(arrival, last.get(domain, -1000) + delay)
-    assert {r.request_id: r.start_us for r in got} == want
+    assert {r.request_id: r.start_us for r in got} == want and not any(r.late for r in got)
+
+
+def test_stream_schedule_marks_late_requests(spark, tmp_path):
+    schema = "domain string, request_id bigint, arrival_us bigint, delay_us bigint"
+    path = str(tmp_path / "requests")
+    for rows in ([("d", 1, 100, 10), ("d", 2, 300, 10)], [("d", 3, 200, 10), ("d", 4, 400, 10)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken by age
+    got = run_available(send_schedule_stream(stream_table(spark, path, schema, files_per_batch=1)), "test-late").collect()
+    assert {r.request_id: (r.start_us, r.late) for r in got} == {1: (100, False), 2: (300, False), 3: (310, True), 4: (400, False)}
