@@ -311,6 +311,19 @@ def test_vectors(spark):
     assert hnsw.near_vectors(twice.limit(0)).count() == 0
 
 
+def test_copies_of_vectors(spark):
+    """A group of copies is one node; links count every copy, and 0 and -0 are the same."""
+    group = [(100 + i, [1.0, 0.0 if i % 2 else -0.0, 0.0]) for i in range(150)]
+    alone = [(300 + i, [0.0, 0.0, 1.0]) for i in range(3)]
+    rows = [*group, *alone, (7, [1.0, 0.3, 0.0]), (8, [1.0, 0.6, 0.0]), (9, [0.0, 1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_vectors(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    assert {got[i] for i, _ in group} == {(150, 7, False)}
+    assert got[7] == (151, 7, True) and got[8] == (1, 7, False) and got[9] == (0, 9, True)
+    assert [got[i] for i, _ in alone] == [(2, 300, True), (2, 300, False), (2, 300, False)]
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     words = [f"{a}{b}{c}" for a in "kml" for b in "aeiou" for c in "rst"]
