@@ -311,6 +311,17 @@ def test_vectors(spark):
     assert hnsw.near_vectors(twice.limit(0)).count() == 0
 
 
+def test_cut_off_nodes_are_linked_again():
+    random_ = np.random.default_rng(3)
+    graph = hnsw.build(np.arange(400), np.ones(400, np.int64), random_.standard_normal((400, 8)))
+    assert hnsw.reachable(graph).all()
+    lost = np.flatnonzero(np.arange(400) != graph.entry)[::10]
+    graph.layers[0][np.isin(graph.layers[0], lost)] = -1
+    assert not hnsw.reachable(graph)[lost].any()
+    hnsw.connect(graph)
+    assert hnsw.reachable(graph).all()
+
+
 def test_copies_of_vectors(spark):
     """A group of copies is one node; links count every copy, and 0 and -0 are the same."""
     group = [(100 + i, [1.0, 0.0 if i % 2 else -0.0, 0.0]) for i in range(150)]
