@@ -322,6 +322,22 @@ def test_cut_off_nodes_are_linked_again():
     assert hnsw.reachable(graph).all()
 
 
+def test_links_that_the_graph_lost_are_found(spark, monkeypatch):
+    """Graphs whose nodes are mostly cut off, a large group of distinct near vectors and pairs far from it: all links are there."""
+    def cut(graph):
+        graph.layers[0][:, 1:] = -1
+
+    monkeypatch.setattr(hnsw, "connect", cut)
+    random_ = np.random.default_rng(6)
+    base = random_.standard_normal((200, 16))
+    vectors = np.concatenate([base, base[:100] + 0.1 * random_.standard_normal((100, 16)), base[0] + 0.15 * random_.standard_normal((200, 16))])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r.n_links for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)).collect()}
+    x = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
 def test_copies_of_vectors(spark):
     """A group of copies is one node; links count every copy, and 0 and -0 are the same."""
     group = [(100 + i, [1.0, 0.0 if i % 2 else -0.0, 0.0]) for i in range(150)]
