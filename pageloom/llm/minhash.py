@@ -8,7 +8,8 @@ bands of ``BINS / BANDS`` values give the buckets.
 
 Documents with equal sets are one node from the start. A bucket gives one candidate edge per
 member, to its centre. Edges whose signatures can't belong to the threshold are left out
-(``SLACK``), the others are confirmed on the full sets. A star can miss a link between two
+(``SLACK``; pairs with a small set are compared by their hashes), the others are confirmed on the
+full sets. A star can miss a link between two
 members that aren't linked to the centre, so that buckets with members of several components
 are looked at again, in blocks of bounded size: each pair of members from different
 components is compared by signature inside a task, and only possible ones leave it.
@@ -34,9 +35,11 @@ WORDS = 5
 BINS = 128
 BANDS = 32
 #: Bins of the second signature, of one byte each, by which candidates are compared before their texts are read.
-SKETCH = 512
-#: A pair at the threshold agrees in 0.75 of these bins, give or take 0.019; 3.7 times that may be lacking.
-SLACK = 0.07
+SKETCH = 1024
+#: A pair at the threshold agrees in 0.75 of these bins, give or take 0.015 at most; more than five times that may be lacking.
+SLACK = 0.08
+#: Sets up to this size are compared by 32 bits of each hash, exactly: a sketch says little of them.
+SMALL = SKETCH // 4
 BLOCK_ROWS = 2048
 
 
@@ -101,14 +104,30 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key
 
 
+def _hashes(sig: bytes, size: int) -> np.ndarray:
+    """The 32-bit hashes in the signature of a set; a sketch may come before them."""
+    return np.frombuffer(sig, np.uint32, offset=0 if size <= SMALL else SKETCH)
+
+
+def _possible(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether pairs of sets, each as its hashes, may reach the threshold: hashes that collide only add to what is common."""
+    nx, ny = np.array([len(h) for h in x]), np.array([len(h) for h in y])
+    key = lambda h, n: (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | np.concatenate(h).astype(np.uint64)
+    hit = np.isin(key(x, nx), key(y, ny))
+    common = np.bincount(np.repeat(np.arange(len(nx)), nx)[hit], minlength=len(nx))
+    return 100 * common >= percent * (nx + ny - common)
+
+
 FINGERPRINTS = "doc_id bigint, n_shingles bigint, set_hash bigint, sig binary, keys array<bigint>"
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, set_hash, sig, keys)`` of ``docs(doc_id, text)``; empty sets have no keys.
 
-    ``sig`` holds 8 bits of the value of each of ``SKETCH`` bins.
+    ``sig`` holds 8 bits of the value of each of ``SKETCH`` bins, if the set is larger than ``SMALL``,
+    then 32 bits of each hash, if a set of ``SMALL`` can be linked with it.
     """
+    hashed = 100 * SMALL // max(percent, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hasher, asked, asked_more = spaced_words(), Hasher(), donors(BINS), donors(SKETCH)
@@ -120,10 +139,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 set_hash = np.array([mix(mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] if len(s) else 0 for s in sets], np.uint64)
                 some = np.flatnonzero(sizes)
                 values = np.array([signature(sets[i], asked) for i in some], np.uint64).reshape(-1, BINS)
-                short = mix(np.array([signature(sets[i], asked_more) for i in some], np.uint64).reshape(-1, SKETCH)).astype(np.uint8)
                 sigs, keys = [None] * len(sets), [None] * len(sets)
-                for i, s, k in zip(some.tolist(), short, band_keys(values).astype(np.int64)):
-                    sigs[i], keys[i] = s.tobytes(), k
+                for i, k in zip(some.tolist(), band_keys(values).astype(np.int64)):
+                    sketch = mix(signature(sets[i], asked_more)).astype(np.uint8).tobytes() if sizes[i] > SMALL else b""
+                    sigs[i], keys[i] = sketch + (sets[i].astype(np.uint32).tobytes() if sizes[i] <= hashed else b""), k
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(texts.first_row, texts.rows), pa.array(sizes, pa.int64()),
                     pa.array(set_hash.astype(np.int64)), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
@@ -212,11 +231,19 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             if n:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, SKETCH) for c in ("sa", "sb"))
-                keep = pa.array((x == y).sum(axis=1) >= least)
-                yield batch.select(["a", "b"]).filter(keep)
+                sa, sb = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+                na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+                keep = np.zeros(n, np.bool_)
+                small = np.minimum(na, nb) <= SMALL
+                if small.any():
+                    i = np.flatnonzero(small)
+                    keep[i] = _possible([_hashes(sa[k], na[k]) for k in i], [_hashes(sb[k], nb[k]) for k in i], percent)
+                i = np.flatnonzero(~small)
+                x, y = (np.frombuffer(b"".join(s[k][:SKETCH] for k in i), np.uint8).reshape(-1, SKETCH) for s in (sa, sb))
+                keep[i] = (x == y).sum(axis=1) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _least_agreement(percent: int) -> int:
@@ -287,7 +314,15 @@ def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
         node, comp, size = (block.column(c).to_numpy() for c in ("node", "component_id", "n_shingles"))
         part = block.column("part").to_numpy()
         i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
-        sigs = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(node), SKETCH)
+        sig = block.column("sig").to_pylist()
+        large = np.flatnonzero(size > SMALL)
+        sigs = np.zeros((len(node), SKETCH), np.uint8)
+        sigs[large] = np.frombuffer(b"".join(sig[k][:SKETCH] for k in large), np.uint8).reshape(-1, SKETCH)
+        # all hashes of the sets that have them, sorted, with the row of each
+        sets = [_hashes(s, n) for s, n in zip(sig, size)]
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], np.repeat(np.arange(len(node)), [len(h) for h in sets])[order]
         keys = np.concatenate([c.flatten().to_numpy() for c in block.column("keys").chunks]).reshape(len(node), BANDS)
         band = (keys == block.column("key")[0].as_py()).argmax(axis=1)
         out = []
@@ -296,7 +331,16 @@ def _across(spokes: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int
             other &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
             y = np.flatnonzero(other)
             if len(y):
-                y = y[(sigs[y] == sigs[x]).sum(axis=1) >= least]
+                exact = np.minimum(size[y], size[x]) <= SMALL
+                keep = np.zeros(len(y), np.bool_)
+                if exact.any():
+                    lo, hi = np.searchsorted(hashes, sets[x], side="left"), np.searchsorted(hashes, sets[x], side="right")
+                    at = np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())
+                    common = np.bincount(owner[at], minlength=len(node))[y]
+                    keep = exact & (100 * common >= percent * (size[y] + size[x] - common))
+                far = np.flatnonzero(~exact)
+                keep[far] = (sigs[y[far]] == sigs[x]).sum(axis=1) >= least
+                y = y[keep]
                 y = y[(keys[y] == keys[x]).argmax(axis=1) == band[x]]  # a pair leaves the first bucket that it shares, no other
                 out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
@@ -332,7 +376,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     are linked through it. A null doc_id links with equal sets only and never names a component
     that has another id; it stays null otherwise. Other columns of ``docs`` aren't read.
     """
-    prints = saved(fingerprints(docs), "fingerprints")
+    prints = saved(fingerprints(docs, percent), "fingerprints")
     whole = F.struct("doc_id", "n_shingles", "sig", "keys")
     nodes = saved(
         prints.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash", "n_shingles")

@@ -101,6 +101,17 @@ def test_large_bucket_of_unlinked_documents(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(components_of([shingles(t) for t in texts])))
 
 
+def test_short_documents_at_the_threshold(spark):
+    """Sets of 3 and 4 shingles with 3 in common: a sketch says too little of them."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(4000):
+        words = [f"v{i}x{rng.randrange(10**6)}" for _ in range(8)]
+        texts += [" ".join(words[:7]), " ".join(words)]
+    rows = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [i for i in range(len(texts)) if rows[i] != i - i % 2] == []
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(200)} | {(0, i) for i in range(250, 300)} | {(i, 299) for i in range(240, 250)}
