@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,24 @@ FEATURES = (5, 2, 5, 7, 5)  # values of each feature: marker, gap, ending, lengt
 
 def marker_pattern() -> re.Pattern:
     names = "|".join(sorted((n for group in MARKERS.values() for n in group), key=len, reverse=True))
-    return re.compile(rf"^\s*(?:<\|(?:im_start\|>)?|\[|#+\s*|\*\*)?\s*({names})\s*(?:\|>|\]|\*\*)?\s*(:|>|$)\s*", re.I)
+    return re.compile(rf"^\s*(<\|(?:im_start\|>)?|\[|#+\s*|\*\*)?\s*(?P<name>{names})\s*(?P<close>\|>|\]|\*\*)?\s*(?P<end>:|>|$)\s*", re.I)
+
+
+def _cut(found: re.Match) -> int:
+    """Where the text begins after a marker that a delimiter ends; 0 for a name alone on its line, which may be text."""
+    if not (found["end"] or found["close"] in ("|>", "]") or (found[1] or "").lower() == "<|im_start|>"):
+        return 0
+    bold = found[1] == "**" and not found["close"] and found.string.startswith("**", found.end())
+    return re.compile(r"\*\*\s*").match(found.string, found.end()).end() if bold else found.end()
+
+
+class Line(NamedTuple):
+    """A line as it is, the blank lines before it, and where its text begins after a marker (0: there is none), with the marker's role."""
+
+    text: str
+    blank: int
+    cut: int
+    role: int
 
 
 class Reader:
@@ -58,25 +76,29 @@ class Reader:
         self.role = {n: i + 1 for i, r in enumerate(ROLES) for n in MARKERS[r]}
         self.opening = {w: i + 1 for i, group in enumerate(OPENINGS.values()) for w in group}
 
-    def lines(self, text: str | None) -> list[tuple[str, tuple[int, ...]]]:
+    def lines(self, text: str | None) -> list[tuple[Line, tuple[int, ...]]]:
         out = []
+        blank = 0
         gap = True  # a row of the table begins after a gap
         for line in (text or "").split("\n"):
             body = line.strip()
             if not body:
                 gap = True
+                blank += 1
                 continue
+            line = line.rstrip("\r")
             found = self.pattern.match(line)
-            marker = self.role.get(found[1].lower(), 4) if found else 0
+            marker = self.role.get(found["name"].lower(), 4) if found else 0
+            shown = Line(line, blank, _cut(found) if found else 0, marker - 1)
             if found:
                 body = line[found.end():].strip()
             end = {"?": 1, ".": 2, ":": 3, "!": 4}.get(body[-1:], 0)
             first = body.split(maxsplit=1)
             word = re.sub(r"\W", "", first[0].lower()) if first else ""
             length = min(int(np.log2(len(body) + 1)) // 2, 6)
-            out.append((body, (marker, int(gap), end, length, self.opening.get(word, 4 if word else 0))))
-            gap = False
-        return out or [("", (0, 1, 0, 0, 0))]
+            out.append((shown, (marker, int(gap), end, length, self.opening.get(word, 4 if word else 0))))
+            gap, blank = False, 0
+        return out or [(Line("", 0, 0, -1), (0, 1, 0, 0, 0))]
 
 
 class Model:
@@ -179,8 +201,9 @@ def parsed(turns: DataFrame, model: Model) -> DataFrame:
     Rows of a conversation count in the order of turn (null first), then text. ``role_pred`` is the
     role of the row's first line, ``line_roles`` has the first letter of each line's role, upper case
     where a turn begins, and ``rendered`` holds the row's lines, each turn under a ``<|role|>`` header;
-    the rows' texts one after the other are the canonical transcript. Blank lines are left out; a
-    null or blank text is one empty line. Rows without conv_id form one conversation.
+    the rows' texts one after the other are the canonical transcript. Lines are as they were, but for a
+    speaker marker with a delimiter where a turn of its role begins. Blank lines before a turn and at
+    a row's end are left out; a null or blank text is one empty line. Rows without conv_id form one conversation.
     """
     spark = turns.sparkSession
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
@@ -261,10 +284,12 @@ def parsed(turns: DataFrame, model: Model) -> DataFrame:
 
 def _rendered(lines: list, states: np.ndarray) -> tuple[str, str, int, str]:
     marks, out = "", ""
-    for (body, _), state in zip(lines, states.tolist()):
+    for (line, _), state in zip(lines, states.tolist()):
         role = ROLES[state % 3]
         marks += role[0].upper() if state < 3 else role[0]
-        out += (f"<|{role}|>\n" if state < 3 else "") + body + "\n"
+        out += f"<|{role}|>\n" if state < 3 else "\n" * line.blank
+        # only a marker that says what the state says is no text
+        out += line.text[line.cut if state == line.role else 0:] + "\n"
     return ROLES[int(states[0]) % 3], marks, len(lines), out
 
 

@@ -417,6 +417,19 @@ def test_chat(spark, turns):
     assert rows[1].rendered.startswith("<|assistant|>\nSure, it is.\n")
 
 
+def test_rendered_text_is_whole():
+    reader = chat.Reader()
+
+    def shown(text, *states):
+        return chat._rendered(reader.lines(text), np.array(states))[3]
+
+    assert shown("A", 2) == "<|assistant|>\nA\n" and shown("Me", 1) == "<|user|>\nMe\n"
+    assert shown("Question: why?", 2) == "<|assistant|>\nQuestion: why?\n"
+    assert shown("Assistant: code\n\n    if x:\n        y\nAnswer: 42\n\nUser: ok", 2, 5, 5, 5, 1) == (
+        "<|assistant|>\ncode\n\n    if x:\n        y\nAnswer: 42\n<|user|>\nok\n")
+    assert shown("**User:** hi\n[assistant]\n<|im_start|>user\nyes", 1, 2, 1, 4) == "<|user|>\nhi\n<|assistant|>\n\n<|user|>\n\nyes\n"
+
+
 def test_chat_odd_rows(spark, turns):
     odd = spark.createDataFrame([(None, 1, "x", None), (1, None, None, ""), (2, 0, "user", "User: hi\nAssistant: hello"), (2, 0, "user", "User: hi\nAssistant: hello")], turns.schema)
     got = chat.parsed(odd.withColumn("part", F.lit(7)), chat.learn(turns)).collect()
