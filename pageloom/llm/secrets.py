@@ -3,7 +3,8 @@
 Three fixed kinds are found by pattern. The fourth, ``entropy``, looks at every long string: a
 window slides over it, the counts of its characters are kept up to date as one enters and one
 leaves, and with them the sum of ``c * log2(c)``, from which the Shannon entropy of the window
-follows. Each class of characters has its own threshold; strings of the allow-list stay silent.
+follows. Each class of characters has its own threshold, and a run of hex characters between separators
+has that of hex strings in whatever string it is; strings of the allow-list stay silent.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 #: Character classes, narrowest first, and the bits per character that a window of one must reach.
 CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9+/=]+$", 3.8), ("^[A-Za-z0-9_-]+$", 3.8), ("", 3.8))
+#: Each character of a hex run of a window at least that separators, or the ends of the string, set apart from words.
+#: What follows the first four groups of a UUID belongs to an identifier and is judged with its whole string.
+HEX_RUN = r"(?:(?<![A-Za-z0-9])(?<![0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-)(?=[0-9a-fA-F]{20,}(?![A-Za-z0-9]))|(?!^)\G)[0-9a-fA-F]"
 #: Strings that are never reported for their entropy: words joined by separators, and UUIDs.
 ALLOWED = (
     r"^[-_/+=]*[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*$",
@@ -74,14 +78,16 @@ def _weight(count: Column) -> Column:
 
 
 def hot_window(string: Column, least: Column) -> Column:
-    """``struct<first, last>``: starts of the first and last window whose entropy reaches ``least``, null if none does.
+    """``struct<first, last>``: starts of the first and last window whose entropy reaches its threshold, null if none does.
 
-    ``counts`` holds the number of each ASCII character in the window.
+    The threshold is ``least``, that of the string's class, or that of hex strings for a window in a
+    hex run (``HEX_RUN``) with a letter in it: digits alone are mostly a number. ``counts`` holds the number
+    of each ASCII character in the window, ``hex`` and ``digits`` how many of a run and of digits came last.
     """
 
-    def scan(codes: Column) -> Column:
+    def scan(codes: Column, runs: Column) -> Column:
         empty = F.struct(
-            F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"),
+            F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("hex"), F.lit(0).alias("digits"),
             F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
         def step(acc: Column, i: Column) -> Column:
@@ -94,21 +100,28 @@ def hot_window(string: Column, least: Column) -> Column:
             going = F.get(counts, F.greatest(leaving, F.lit(0))) + (entering == leaving).cast("int")
             minus = F.when(leaving >= 0, _weight(going) - _weight(going - 1)).otherwise(F.lit(0.0))
             moved = F.transform(counts, lambda c, k: c + (k == entering).cast("int") - (k == leaving).cast("int"))
-            return F.struct(moved.alias("counts"), (acc["sum"] + plus - minus).alias("sum"), acc["first"].alias("first"), acc["last"].alias("last"), i.alias("i"))
+            digit = entering.between(ord("0"), ord("9"))
+            in_hex = F.get(runs, i) == "!"
+            return F.struct(moved.alias("counts"), (acc["sum"] + plus - minus).alias("sum"),
+                            F.when(in_hex, acc["hex"] + 1).otherwise(F.lit(0)).alias("hex"),
+                            F.when(digit, acc["digits"] + 1).otherwise(F.lit(0)).alias("digits"), acc["first"].alias("first"), acc["last"].alias("last"), i.alias("i"))
 
         def judged(acc: Column, i: Column) -> Column:
             return let(step(acc, i), lambda now: F.struct(
-                now["counts"].alias("counts"), now["sum"].alias("sum"),
+                now["counts"].alias("counts"), now["sum"].alias("sum"), now["hex"].alias("hex"), now["digits"].alias("digits"),
                 F.when(hot(now), F.coalesce(now["first"], now["i"] - (WINDOW - 1))).otherwise(now["first"]).alias("first"),
                 F.when(hot(now), now["i"] - (WINDOW - 1)).otherwise(now["last"]).alias("last")))
 
         def hot(now: Column) -> Column:
-            return (now["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - now["sum"] / WINDOW >= least)
+            in_hex = (now["hex"] >= WINDOW) & (now["digits"] < WINDOW)
+            bits = F.when(in_hex, F.least(F.lit(CLASSES[0][1]), least)).otherwise(least)
+            return (now["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - now["sum"] / WINDOW >= bits)
 
         places = F.sequence(F.lit(0), F.size(codes) - 1)
         return F.aggregate(places, empty, judged, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
-    return let(F.transform(F.split(string, ""), lambda c: F.ascii(c)), scan)
+    marked = F.split(F.regexp_replace(string, HEX_RUN, "!"), "")  # of the same length
+    return let(F.transform(F.split(string, ""), lambda c: F.ascii(c)), lambda codes: let(marked, lambda runs: scan(codes, runs)))
 
 
 def _random(text: Column) -> Column:

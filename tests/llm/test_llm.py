@@ -304,6 +304,15 @@ def test_secrets(spark):
     assert not re.search("Python|Pandas|Arrow", plan.replace("Scan ExistingRDD", ""))
 
 
+def test_hex_secrets_joined_to_names(spark):
+    digest = "c6d07ef7b77e90d3593ad699"  # under 3.8 bits in each window
+    texts = [f"session={digest}", f"sk_{digest}", f"/srv/x9/{digest}", "ts=20240101123045678901", digest]
+    assert max(-sum(c / 20 * math.log2(c / 20) for c in Counter(digest[i:i + 20]).values()) for i in range(5)) < 3.8
+    got = {r.doc_id: r.spans for r in secrets.secrets(docs_of(spark, texts)).collect()}
+    place = lambda t: f"entropy:{t.index(digest)}:{t.index(digest) + 24}"
+    assert [got[i] for i in range(5)] == [place(t) if digest in t else "" for t in texts]
+
+
 def test_vectors(spark):
     random_ = np.random.default_rng(4)
     base = random_.standard_normal((300, 16))
