@@ -1,6 +1,7 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by notice templates.
 
-Paragraphs are lines. Features are words and pairs of words; a multinomial logistic regression over
+Paragraphs are lines, and runs of neighbouring lines that hold more of a template than each shorter
+run in them: notices are often wrapped. Features are words and pairs of words; a multinomial logistic regression over
 them knows the licence families and an ``unknown`` class, learned from corpus paragraphs and from
 sentences that talk of licences without granting one. Its probabilities are calibrated by a
 temperature, and the least probability of a family by a bound on false alarms. A prediction counts
@@ -56,6 +57,8 @@ ROUNDS = 250
 #: Share of unknown training paragraphs that may reach a family.
 FALSE_ALARMS = 0.001
 LEAST_OVERLAP = 0.6
+#: Words of a run's first and last line, and of all lines between, at most: twice the longest template.
+RUN_WORDS = 2 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts)
 
 FOUND = "array<struct<paragraph: int, family: string, probability: double>>"
 
@@ -152,10 +155,56 @@ class Classifier:
         e = np.exp(x - x.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def overlap(self, pairs: np.ndarray, family: int) -> float:
-        """Largest share of a template's word pairs that are in the paragraph."""
-        return max(float(np.isin(t, pairs).mean()) if len(t) else 0.0
-                   for t, f in zip(self.template_pairs, self.template_family) if f == family)
+    def wrapped(self, line: np.ndarray, hashes: np.ndarray, doc: np.ndarray, known: HashIndex) -> list[tuple[int, int, int, int]]:
+        """Runs of neighbouring lines whose words hold enough of a template, and more than the run without its first or last line.
+
+        ``line`` and ``doc`` are those of each word. Gives (first word, end, first line, last line), shorter runs first.
+        """
+        if len(line) < 2:
+            return []
+        pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+        at = known.find(pairs)
+        at[(doc[1:] != doc[:-1]) | (line[1:] - line[:-1] > 1)] = -1
+        places = np.flatnonzero(at >= 0)
+        pair = at[places]
+        inside = np.stack([np.isin(self.pairs, t) for t in self.template_pairs], axis=1)
+        need = np.maximum(np.array([len(t) for t in self.template_pairs]), 1)
+        lines, first = np.unique(line, return_index=True)
+        end, owner = np.r_[first[1:], len(line)], doc[first]
+        block = np.cumsum(np.r_[True, (lines[1:] - lines[:-1] > 1) | (owner[1:] != owner[:-1])])
+        flagged = np.zeros(len(lines), np.bool_)
+        flagged[np.searchsorted(lines, np.r_[line[places], line[places + 1]])] = True
+
+        def held(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            """Distinct pairs of each template between two words."""
+            lo, hi = np.searchsorted(places, start), np.searchsorted(places, stop - 1)
+            n = np.maximum(hi - lo, 0)
+            which = np.repeat(lo + n - np.cumsum(n), n) + np.arange(n.sum())
+            some = np.unique(np.repeat(np.arange(len(start)), n) * len(self.pairs) + pair[which])
+            out = np.zeros((len(start), inside.shape[1]), np.int64)
+            np.add.at(out, some // len(self.pairs), inside[some % len(self.pairs)])
+            return out
+
+        out = []
+        i, step = np.flatnonzero(flagged), 1
+        while len(i):
+            i = i[i + step < len(lines)]
+            i = i[(block[i + step] == block[i]) & (first[i + step] - end[i] <= RUN_WORDS)]
+            a = i[flagged[i + step]]
+            b = a + step
+            start, stop = np.maximum(first[a], end[a] - RUN_WORDS), np.minimum(end[b], first[b] + RUN_WORDS)
+            whole = held(start, stop)
+            more = (whole > held(first[a + 1], stop)) & (whole > held(start, end[b - 1])) & (whole >= LEAST_OVERLAP * need)
+            for k in np.flatnonzero(more.any(axis=1)):
+                out.append((int(start[k]), int(stop[k]), int(lines[a[k]]), int(lines[b[k]])))
+            step += 1
+        return out
+
+    def explained(self, pairs: np.ndarray, family: int) -> tuple[float, np.ndarray]:
+        """Overlap with the family's best template, and the pairs in common with it."""
+        each = [(float(np.isin(t, pairs).mean()), k) for k, (t, f) in enumerate(zip(self.template_pairs, self.template_family)) if f == family and len(t)]
+        share, k = max(each, default=(0.0, -1))
+        return share, np.intersect1d(self.template_pairs[k], pairs) if k >= 0 else pairs[:0]
 
     def finder(self):
         table, hasher = plain_words(), Hasher()
@@ -166,21 +215,46 @@ class Classifier:
             row, words, prow, pairs = grams(lines, table, hasher)
             # a paragraph without any pair of a template can't be confirmed, whatever its probability
             some = np.unique(prow[known_pairs.find(pairs) >= 0])
-            out: list[list] = [[] for _ in range(texts.rows)]
+            hits = []  # (first line, last line, family, probability, overlap, pairs in common)
+
+            def judge(r, h, n):
+                at = features.find(h)
+                both = np.unique(r[at >= 0] * len(self.hashes) + at[at >= 0])
+                p = self._softmax(self.logits(both // len(self.hashes), both % len(self.hashes), n) / self.temperature)
+                best = p[:, :-1].argmax(axis=1)
+                return best, p, np.flatnonzero((p.argmax(axis=1) < p.shape[1] - 1) & (p[:, :-1].max(axis=1) >= self.least))
+
             if len(some):
                 place = np.full(lines.rows, -1)
                 place[some] = np.arange(len(some))
                 r, h = np.r_[place[row], place[prow]], np.r_[words, pairs]
-                r, h = r[r >= 0], h[r >= 0]
-                at = features.find(h)
-                both = np.unique(r[at >= 0] * len(self.hashes) + at[at >= 0])
-                p = self._softmax(self.logits(both // len(self.hashes), both % len(self.hashes), len(some)) / self.temperature)
-                best = p[:, :-1].argmax(axis=1)
-                for k in np.flatnonzero((p.argmax(axis=1) < p.shape[1] - 1) & (p[:, :-1].max(axis=1) >= self.least)):
-                    if self.overlap(pairs[prow == some[k]], best[k]) >= LEAST_OVERLAP:
-                        doc = int(np.searchsorted(texts.offsets, lines.offsets[some[k]], side="right") - 1)
-                        first = int(np.searchsorted(lines.offsets, texts.offsets[doc], side="left"))
-                        out[doc].append({"paragraph": int(some[k]) - first, "family": self.families[best[k]], "probability": float(p[k, best[k]])})
+                best, p, sure = judge(r[r >= 0], h[r >= 0], len(some))
+                for k in sure:
+                    share, common = self.explained(pairs[prow == some[k]], best[k])
+                    if share >= LEAST_OVERLAP:
+                        hits.append((int(some[k]), int(some[k]), int(best[k]), float(p[k, best[k]]), share, common))
+            doc_of = np.searchsorted(texts.offsets, lines.offsets[:-1], side="right") - 1
+            runs = self.wrapped(row, words, doc_of[row], known_pairs)
+            if runs:
+                across = [mix(words[a:b - 1] * np.uint64(3) + words[a + 1:b]) for a, b, _, _ in runs]
+                mine = [np.r_[words[a:b], x] for (a, b, _, _), x in zip(runs, across)]
+                best, p, sure = judge(np.repeat(np.arange(len(runs)), [len(m) for m in mine]), np.concatenate(mine), len(runs))
+                for k in sure:
+                    (_, _, i, j), family = runs[k], int(best[k])
+                    share, common = self.explained(across[k], family)
+                    touched = [x for x in hits if x[0] <= j and x[1] >= i]
+                    # what a shorter run says of the same words with less of a template gives way
+                    worse = [x for x in touched if x[4] < share and np.isin(x[5], common).all()]
+                    if share < LEAST_OVERLAP or any(x[2] == family and not any(x is w for w in worse) for x in touched):
+                        continue
+                    # a run whose words some part explains as well adds nothing
+                    if any(x[4] >= share and np.isin(common, x[5]).all() for x in touched):
+                        continue
+                    hits = [x for x in hits if not any(x is w for w in worse)] + [(i, j, family, float(p[k, family]), share, common)]
+            out: list[list] = [[] for _ in range(texts.rows)]
+            for i, _, family, probability, _, _ in sorted(hits, key=lambda x: x[:3]):
+                first = int(np.searchsorted(lines.offsets, texts.offsets[doc_of[i]], side="left"))
+                out[doc_of[i]].append({"paragraph": i - first, "family": self.families[family], "probability": probability})
             return pa.array(out, pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64())])))
 
         return find
@@ -201,7 +275,7 @@ def learn(docs: DataFrame) -> Classifier:
 def license_families(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_notices, families, notices)`` for each row of ``docs(doc_id, text)``.
 
-    ``notices`` lists the paragraphs (lines from 0) with family and probability; ``families`` joins
+    ``notices`` lists the paragraphs (lines from 0; of a wrapped notice the first) with family and probability; ``families`` joins
     the distinct families in order, and is ``unknown`` where there is none. Null and empty texts
     have no notices. Repeated rows each get their line; other columns aren't read.
     """

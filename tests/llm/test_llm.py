@@ -400,6 +400,14 @@ def test_licenses(spark):
     assert got[2].notices[0].paragraph == 2 and got[6].n_notices == 2
 
 
+def test_wrapped_licenses(spark):
+    texts = ["Some prose here.\n# Licensed under the Apache License,\n# Version 2.0", "x\n\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License.\nEnd.",
+             "Licensed\nunder\nthe\nApache\nLicense,\nVersion\n2.0", "Licensed under the Apache License, Version 2.0\nplain words", "Licensed under the Apache License,\n\nof the town"]
+    got = {r.doc_id: r for r in licenses.license_families(docs_of(spark, texts)).collect()}
+    assert [got[i].families for i in range(5)] == ["Apache-2.0", "CC-BY", "Apache-2.0", "Apache-2.0", "unknown"]
+    assert [[n.paragraph for n in got[i].notices] for i in range(4)] == [[1], [2], [0], [0]]
+
+
 @pytest.fixture(scope="module")
 def turns(spark):
     rng = random.Random(6)
