@@ -13,8 +13,11 @@ from pageloom.llm.hnsw import near_vectors
 from pageloom.llm.language import languages
 from pageloom.llm.licenses import license_families
 from pageloom.llm.minhash import near_duplicates
+from pageloom.llm.phrases import collocations
+from pageloom.llm.quality import qualities
 from pageloom.llm.secrets import secrets
 from pageloom.llm.toxicity import severities
+from pageloom.llm.whitening import whitened
 from pageloom.llm.wumanber import contamination
 from pageloom.plans.catalog import Catalog, table
 
@@ -135,3 +138,49 @@ FROM embeddings LEFT JOIN counts ON a = vec_id LEFT JOIN roots ON id = vec_id
 """)
 def hnsw_links(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@llm.query("op11_whitened_embeddings")
+def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings"))
+
+
+@llm.query("op12_neighbour_quality")
+def neighbour_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return qualities(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@llm.query("op13_toivonen_phrases", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS t(k) WHERE len(w) >= k
+), found AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+), split AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM found WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS p, array_to_string(w[c + 1:k], ' ') AS q
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM split)
+), scores AS (
+  SELECT c.*, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN found x ON x.lang = c.lang AND x.phrase = p JOIN found y ON y.lang = c.lang AND y.phrase = q JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), parts AS (
+  SELECT lang, a AS f, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase FROM split WHERE k > 2
+), held AS (
+  SELECT lang, phrase, max(f) AS f FROM parts GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+WHERE coalesce(100 * h.f < 100 * a, true) QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) <= 2000
+""")
+def toivonen_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
