@@ -8,9 +8,9 @@ counted, so another pass counts the phrases that the frequent ones found so far
 pass before did, until a pass finds no new phrase. By induction over its length no frequent
 phrase is missed, whatever the sample proposed.
 
-What tasks know of a proposal is one bit per hashed phrase in a table of ``1 << PLACE_BITS`` bits,
-whatever the input's size. Phrases that share a bit with a proposed one are counted for nothing;
-no result depends on a hash. Phrases themselves are told apart by their words, and counted
+What tasks know of a proposal is one bit per hashed phrase in a table of at most ``1 << MOST_BITS``
+bits, whatever the input's size. Phrases that share a bit with a proposed one are counted for
+nothing; no result depends on a hash. Phrases themselves are told apart by their words, and counted
 within a task before they are shuffled.
 """
 
@@ -40,8 +40,8 @@ BEST = 2000
 SAMPLE_SHARE = 8
 #: A phrase is proposed at this share of its expected count in the sample, so that few frequent ones are missed.
 SAMPLE_SLACK = 0.25
-#: Size of the table of proposed phrases: 16 MB of bits.
-PLACE_BITS = 27
+#: Size of a table of phrases, as a power of two: sixteen bits a phrase, 32 KB at least and 16 MB at most.
+LEAST_BITS, MOST_BITS = 18, 27
 NO_LANGUAGE = "und"
 _BUCKET = 15  # bits of a place within one bitmap of 4 KB
 _RANKED = 50_000  # phrases ranked within one task
@@ -69,7 +69,7 @@ class Running:
         self.word, self.first = word, mix(word ^ own[self.lang]) if names else word
 
     def lengths(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: whether a phrase starts at a word, and the place of that phrase in the table of bits."""
+        """For each length: whether a phrase starts at a word, and the hash of that phrase."""
         n, h = len(self.start), self.first
         whole = np.ones(n, np.bool_)
         for k in range(1, longest + 1):
@@ -80,7 +80,7 @@ class Running:
                 whole[:m] &= self.linked[k - 2:k - 2 + m]
                 h = h.copy()
                 h[:m] = mix(h[:m] * _STEP + self.word[k - 1:k - 1 + m])
-            yield k, whole, (h >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+            yield k, whole, h
 
     def words(self) -> tuple[np.ndarray, pa.Array]:
         """Code of each word, and the words by code; equal codes are equal words."""
@@ -91,7 +91,12 @@ class Running:
         return found.indices.to_numpy(), found.dictionary.cast(pa.large_string())
 
 
-def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _place(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = _place(h, len(bits).bit_length() + 2)
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -104,7 +109,7 @@ def _wanted(run: Running, longest: int, known: np.ndarray | None, before: list[n
     tables = [] if known is None else [known, *before]
     out: list[np.ndarray] = []
     parts: list[np.ndarray] = []
-    for k, whole, place in run.lengths(longest if tables else 1):
+    for k, whole, h in run.lengths(longest if tables else 1):
         if k == 1:
             take = whole if not before else np.zeros(len(whole), np.bool_)
         else:
@@ -121,7 +126,7 @@ def _wanted(run: Running, longest: int, known: np.ndarray | None, before: list[n
             if chained and k > 1:
                 parts = [take]
             else:
-                parts = [whole & _has(t, place) for t in tables]
+                parts = [whole & _has(t, h) for t in tables]
     return out
 
 
@@ -173,7 +178,8 @@ def _counts(docs: DataFrame, longest: int, known=None, before=(), chained: bool
 
 
 def _table_of(phrases: DataFrame) -> bytes:
-    """Bits of the places of ``phrases(lang, phrase)``; their size is fixed."""
+    """Bits of the places of ``phrases(lang, phrase)``."""
+    size = min(max((16 * phrases.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -184,18 +190,18 @@ def _table_of(phrases: DataFrame) -> bytes:
                 length = np.bincount(words.row, minlength=texts.rows)
                 first = np.cumsum(length) - length
                 out = np.zeros(texts.rows, np.int64)
-                for k, _, place in words.lengths(LONGEST):
+                for k, _, h in words.lengths(LONGEST):
                     mine = np.flatnonzero(length == k)
-                    out[mine] = place[first[mine]]
+                    out[mine] = _place(h[first[mine]], size)
                 yield pa.RecordBatch.from_arrays([pa.array(out)], ["place"])
 
     places = phrases.select("lang", "phrase").mapInArrow(run, "place bigint")
     maps = places.groupBy(F.shiftright("place", _BUCKET).alias("at")).agg(
         F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << _BUCKET) - 1)).alias("bits"))
-    size = 1 << (_BUCKET - 3)
-    out = bytearray(1 << (PLACE_BITS - 3))
-    for r in maps.toLocalIterator():
-        out[r.at * size:(r.at + 1) * size] = r.bits
+    part = 1 << (_BUCKET - 3)
+    out = bytearray(1 << (size - 3))
+    for r in maps.collect():
+        out[r.at * part:(r.at + 1) * part] = r.bits
     return bytes(out)
 
 
@@ -208,7 +214,9 @@ def _proposal(docs: DataFrame, longest: int, least: int, share: int) -> DataFram
     known = spark.sparkContext.broadcast(_table_of(words))
     # shorter than the longest only: these decide what is counted
     longer = _counts(sample, longest - 1, known, chained=True).where((F.col("k") > 1) & (F.col("f") >= often))
-    return saved(words.union(longer).select("lang", "k", "phrase"), "proposed")
+    proposed = saved(words.union(longer).select("lang", "k", "phrase"), "proposed")
+    known.destroy()
+    return proposed
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, share: int = SAMPLE_SHARE) -> DataFrame:
