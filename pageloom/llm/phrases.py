@@ -4,9 +4,10 @@ A sample of the documents proposes phrases, closed under parts. The full pass co
 and every longer phrase whose first part (all words but the last) and rest (all but the first)
 are proposed: that is the proposal and its negative border, as far as they occur. A frequent
 phrase that was not proposed is a border failure. It may lead to frequent phrases that were not
-counted, so another pass counts the phrases that the frequent ones found so far allow and no
-pass before did, until a pass finds no new phrase. By induction over its length no frequent
-phrase is missed, whatever the sample proposed.
+counted, so another pass counts the phrases that the frequent ones allow and the first pass did
+not, and takes every phrase it counts as frequent where longer ones are decided. All words were
+counted by the full pass, so by induction over its length no frequent phrase is missed after
+that, whatever the sample proposed: the set is closed.
 
 What tasks know of a proposal is one bit per hashed phrase in a table of at most ``1 << MOST_BITS``
 bits, whatever the input's size. Phrases that share a bit with a proposed one are counted for
@@ -39,12 +40,13 @@ BEST = 2000
 #: One document of so many, by a hash of its id, is in the sample.
 SAMPLE_SHARE = 8
 #: A phrase is proposed at this share of its expected count in the sample, so that few frequent ones are missed.
-SAMPLE_SLACK = 0.25
+SAMPLE_SLACK = 0.5
 #: Size of a table of phrases, as a power of two: sixteen bits a phrase, 32 KB at least and 16 MB at most.
 LEAST_BITS, MOST_BITS = 18, 27
 NO_LANGUAGE = "und"
 _BUCKET = 15  # bits of a place within one bitmap of 4 KB
 _RANKED = 50_000  # phrases ranked within one task
+_CHUNK = 1 << 20  # bytes of text counted at once, or one text
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD = byte_table(lambda b: b not in b" \t" + _PIECE_ENDS)
@@ -100,38 +102,32 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _wanted(run: Running, longest: int, known: np.ndarray | None, before: list[np.ndarray], chained: bool) -> list[np.ndarray]:
+def _wanted(run: Running, lengths: range, known: np.ndarray | None, before: np.ndarray | None, sure: int) -> list[np.ndarray]:
     """For each length the words at which a phrase starts that is to be counted.
 
-    Without ``known`` these are all words alone. With it, longer phrases whose first part and rest
-    are known, but not both in one of ``before``. ``chained``: known words make any phrase of them known.
+    Without ``known`` these are all words alone. With it, also longer phrases whose first part and
+    rest are known, but not both in ``before``. ``known`` has phrases of up to ``sure`` words; of
+    longer ones, and beside ``before``, those that are counted are taken as known.
     """
-    tables = [] if known is None else [known, *before]
     out: list[np.ndarray] = []
-    parts: list[np.ndarray] = []
-    for k, whole, h in run.lengths(longest if tables else 1):
+    for k, whole, h in run.lengths(lengths.stop - 1):
         if k == 1:
-            take = whole if not before else np.zeros(len(whole), np.bool_)
+            take = whole if before is None else np.zeros(len(whole), np.bool_)
         else:
-            both = []
-            for p in parts:
-                b = whole.copy()
-                b[:-1] &= p[:-1] & p[1:]
-                both.append(b)
-            take = both[0]
-            for b in both[1:]:
-                take = take & ~b
-        out.append(np.flatnonzero(take))
-        if k < longest and tables:
-            if chained and k > 1:
-                parts = [take]
-            else:
-                parts = [whole & _has(t, h) for t in tables]
+            take = whole.copy()
+            take[:-1] &= ok[:-1] & ok[1:]
+            if before is not None:
+                take[:-1] &= ~(old[:-1] & old[1:])
+        if known is not None:
+            ok = whole & _has(known, h) if k <= sure else take
+            if before is not None:
+                old, ok = whole & _has(before, h), ok | take
+        out.append(np.flatnonzero(take) if k in lengths else np.empty(0, np.int64))
     return out
 
 
-def _counts(docs: DataFrame, longest: int, known=None, before=(), chained: bool = False) -> DataFrame:
-    """``(lang, k, phrase, f)``: occurrences of the phrases to be counted in ``docs(lang, text)``.
+def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int = LONGEST) -> DataFrame:
+    """``(lang, phrase, f, k)``: occurrences of the phrases to be counted in ``docs(lang, text)``, of some lengths.
 
     ``k`` is the number of words; the row with k = 0 has the number of all words of the language.
     """
@@ -139,24 +135,23 @@ def _counts(docs: DataFrame, longest: int, known=None, before=(), chained: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         read = lambda b: None if b is None else np.frombuffer(b.value, np.uint8)
-        tables = read(known), [read(b) for b in before]
+        tables = read(known), read(before)
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for texts in text_chunks(batch.column(1)):
+            for texts in text_chunks(batch.column(1), _CHUNK):
                 words = Running(texts, langs[texts.first_row:texts.first_row + texts.rows], hasher)
                 if not len(words.start):
                     continue
                 names = pa.array(words.names, pa.string())
 
-                def rows(lang: np.ndarray, k: int, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+                def rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
                     return pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(lang)), pa.array(np.full(len(f), k, np.int32)), phrase.cast(pa.string()), pa.array(f)],
-                        ["lang", "k", "phrase", "f"])
+                        [names.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(f)], ["lang", "phrase", "f"])
 
-                if not before:
+                if 1 in lengths and before is None:
                     n = np.bincount(words.lang, minlength=len(names))
-                    yield rows(np.arange(len(n)), 0, pa.array([""] * len(n)), n.astype(np.int64))
-                wanted = _wanted(words, longest, *tables, chained)
+                    yield rows(np.arange(len(n)), pa.array([""] * len(n)), n.astype(np.int64))
+                wanted = _wanted(words, lengths, *tables, sure)
                 if not any(len(at) for at in wanted):
                     continue
                 code, spelled = words.words()
@@ -171,10 +166,11 @@ def _counts(docs: DataFrame, longest: int, known=None, before=(), chained: bool
                             key * len(spelled) + code[at + j], return_index=True, return_inverse=True, return_counts=True)
                     found = at[first]
                     phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(code[found + j])) for j in range(k)], pa.scalar(" ", pa.large_string()))
-                    yield rows(words.lang[found], k, phrase, f.astype(np.int64))
+                    yield rows(words.lang[found], phrase, f.astype(np.int64))
 
-    schema = "lang string, k int, phrase string, f bigint"
-    return docs.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f bigint")
+    k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("k", k)
 
 
 def _table_of(phrases: DataFrame) -> bytes:
@@ -206,37 +202,38 @@ def _table_of(phrases: DataFrame) -> bytes:
 
 
 def _proposal(docs: DataFrame, longest: int, least: int, share: int) -> DataFrame:
-    """``(lang, k, phrase)`` that may be frequent, as a sample of the documents has it; first its words, then phrases of them."""
-    spark = docs.sparkSession
-    often = max(2, int(SAMPLE_SLACK * least / share))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("phrases"), "doc_id"), F.lit(share)) == 0)
-    words = saved(_counts(sample, 1).where((F.col("k") == 1) & (F.col("f") >= often)), "sample_words")
-    known = spark.sparkContext.broadcast(_table_of(words))
-    # shorter than the longest only: these decide what is counted
-    longer = _counts(sample, longest - 1, known, chained=True).where((F.col("k") > 1) & (F.col("f") >= often))
-    proposed = saved(words.union(longer).select("lang", "k", "phrase"), "proposed")
-    known.destroy()
-    return proposed
+    """``(lang, phrase, f, k)`` that may be frequent, as a sample of the documents has it.
+
+    Its words, then pairs of them, then longer phrases of such pairs. Phrases of the greatest
+    length would decide nothing.
+    """
+    context = docs.sparkSession.sparkContext
+    often = F.col("f") >= max(2, int(SAMPLE_SLACK * least / share))
+    sample = saved(docs.where(F.pmod(F.xxhash64(F.lit("phrases"), "doc_id"), F.lit(share)) == 0).select("lang", "text"), "sample")
+    found = saved(_counts(sample, range(1, 2)).where(often & (F.col("k") > 0)), "proposed")
+    for lengths in (range(2, 3), range(3, longest)):
+        known = context.broadcast(_table_of(found))
+        found = found.union(saved(_counts(sample, lengths, known, sure=lengths.start - 1).where(often), "proposed"))
+        known.destroy()
+    return found
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, share: int = SAMPLE_SHARE) -> DataFrame:
-    """``(lang, k, phrase, f)`` of all phrases of ``docs(doc_id, lang, text)`` with ``f >= least``, exact counts.
+    """``(lang, phrase, f, k)`` of all phrases of ``docs(doc_id, lang, text)`` with ``f >= least``, exact counts.
 
     Rows with k = 0 hold the number of words of a language.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     proposed = _proposal(docs, longest, least, share)
-    tables = [spark.sparkContext.broadcast(_table_of(proposed))]
-    enough = (F.col("f") >= least) | (F.col("k") == 0)
-    found = saved(_counts(docs, longest, tables[0]).where(enough), "frequent")
+    first = context.broadcast(_table_of(proposed))
+    enough, lengths = (F.col("f") >= least) | (F.col("k") == 0), range(1, longest + 1)
+    found = saved(_counts(docs, lengths, first).where(enough), "frequent")
     # a phrase of the greatest length leads to no other
-    leading = F.col("k").between(1, longest - 1)
-    failed = found.where(leading).join(proposed, ["lang", "k", "phrase"], "left_anti")
-    while not failed.isEmpty():
-        tables.append(spark.sparkContext.broadcast(_table_of(found.where(leading))))
-        more = saved(_counts(docs, longest, tables[-1], tables[:-1]).where(enough), "frequent")
-        found, failed = found.union(more), more.where(leading)
-    return found
+    leading = found.where(F.col("k").between(1, longest - 1))
+    if leading.join(proposed, ["lang", "phrase"], "left_anti").isEmpty():
+        return found
+    second = context.broadcast(_table_of(leading))
+    return found.union(saved(_counts(docs, lengths, second, first).where(enough), "frequent"))
 
 
 def _key(lang: str, phrase: Column | str) -> Column:
