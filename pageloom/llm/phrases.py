@@ -170,7 +170,8 @@ def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f bigint")
     k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("k", k)
+    # tasks have combined their rows already; dealt by phrase first, rows need no second table of phrases in the same task
+    return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("k", k)
 
 
 def _table_of(phrases: DataFrame) -> bytes:
