@@ -20,6 +20,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_all(values: list[Column], body: Callable[[list[Column]], Column]) -> Column:
+    """``let`` for several values."""
+    def bind(done: list[Column]) -> Column:
+        if len(done) == len(values):
+            return body(done)
+        return let(values[len(done)], lambda v: bind([*done, v]))
+
+    return bind([])
+
+
+def before(array: Column, k: Column, default: int) -> Column:
+    """Element before place ``k``; ``default`` before the first."""
+    return F.coalesce(F.get(array, k - 1), F.lit(default))
+
+
 def is_json(text: Column) -> Column:
     """The whole text is one JSON value.
 

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from pageloom.functions.core import let
+from pageloom.functions.core import before, let
 
 Predicate = Callable[[Column], Column]
 
@@ -115,37 +115,69 @@ def _read(selector: str) -> list[list[tuple[str, Predicate]]]:
     return alternatives
 
 
+def _counts_below(marks: Column) -> Column:
+    """From ascending ``marks``, an array with the number of marks below each place, up to the last mark."""
+    return F.flatten(F.transform(marks, lambda m, k: F.array_repeat(k, m - before(marks, k, -1))))
+
+
+def _covered(found: Column) -> Column:
+    """For each place of a page, whether an element there lies inside one of ``found``, in document order.
+
+    A sweep: a place is inside if more elements begin before it than have ended before it.
+    """
+    starts = let(F.transform(found, lambda e: e["i"]), _counts_below)
+    ends = let(F.array_sort(F.transform(found, lambda e: e["last"])), _counts_below)
+    return F.zip_with(starts, ends, lambda a, b: F.coalesce(a, F.size(found)) > b)
+
+
+def _first_of_families(found: Column) -> Column:
+    """For each parent, at its place plus one, the least rank of its children among ``found``."""
+    def spread(firsts: Column) -> Column:
+        return F.flatten(F.transform(firsts, lambda x, k: F.concat(
+            F.array_repeat(F.lit(None).cast("int"), x["parent"] - F.coalesce(F.get(firsts, k - 1)["parent"], F.lit(-2)) - 1),
+            F.array(x["nth"]))))
+
+    ranked = F.array_sort(F.transform(found, lambda e: F.struct(e["parent"].alias("parent"), e["nth"].alias("nth"))))
+    return let(let(ranked, lambda rows: F.filter(
+        rows, lambda x, k: F.coalesce(F.get(rows, k - 1)["parent"] != x["parent"], F.lit(True)))), spread)
+
+
+def following(found: Column) -> Column:
+    """For each place of a page the place of the next element of ``found`` after it, up to the last one."""
+    return let(F.transform(found, lambda e: e["i"]), lambda at: F.flatten(
+        F.transform(at, lambda m, k: F.array_repeat(m, m - before(at, k, 0)))))
+
+
 def with_selector(selector: str, els: Column, body: Callable[[Predicate], Column]) -> Column:
     """``body`` gets a predicate that says whether an element matches the selector.
 
-    Elements matched by the left side of a descendant or sibling combinator are computed
-    once per page and bound, so each candidate is only tested against those.
+    What the left side of a descendant or sibling combinator allows is worked out once per
+    page, as an array by place, so that each candidate is one look-up: linear in the page.
     """
     def chain(steps: list[tuple[str, Predicate]], done: Callable[[Predicate], Column]) -> Column:
-        def step(k: int, before: Predicate | None) -> Column:
+        def step(k: int, allowed: Predicate | None) -> Column:
             combinator, compound = steps[k]
 
             def go_on(test: Predicate) -> Column:
                 if k + 1 == len(steps):
                     return done(test)
                 if steps[k + 1][0] in (" ", "~"):
-                    return let(F.filter(els, test), lambda found: link(k + 1, found, None))
+                    by_place = _covered if steps[k + 1][0] == " " else _first_of_families
+                    return let(let(F.filter(els, test), by_place), lambda places: link(k + 1, places, None))
                 return link(k + 1, None, test)
 
-            return go_on(compound if before is None else lambda e: compound(e) & before(e))
+            return go_on(compound if allowed is None else lambda e: compound(e) & allowed(e))
 
-        def link(k: int, found: Column | None, test: Predicate | None) -> Column:
+        def link(k: int, places: Column | None, test: Predicate | None) -> Column:
             combinator = steps[k][0]
             if combinator == " ":
-                before = lambda e: F.exists(found, lambda a: (a["i"] < e["i"]) & (a["last"] >= e["i"]))
+                allowed = lambda e: F.coalesce(F.get(places, e["i"]), F.lit(False))
             elif combinator == "~":
-                before = lambda e: F.exists(
-                    found, lambda a: (a["parent"] == e["parent"]) & (a["nth"] < e["nth"])
-                )
+                allowed = lambda e: F.coalesce(F.get(places, e["parent"] + 1) < e["nth"], F.lit(False))
             else:
                 place = "parent" if combinator == ">" else "prev"
-                before = lambda e: F.coalesce(let(F.get(els, e[place]), test), F.lit(False))
-            return step(k, before)
+                allowed = lambda e: F.coalesce(let(F.get(els, e[place]), test), F.lit(False))
+            return step(k, allowed)
 
         return step(0, None)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import first, let
+from pageloom.functions.core import first, let, let_all
 from pageloom.functions.nodes import element_text
-from pageloom.functions.selectors import Predicate, select, with_selector, with_selectors
+from pageloom.functions.selectors import Predicate, following, select, with_selector, with_selectors
 from pageloom.functions.text import strip
 from pageloom.functions.urls import URL_ATTRIBUTES, join_url
 
@@ -39,24 +39,31 @@ def _of_first(found: Column, value: Value) -> Column:
 def page_records(dom: Column, container: str, fields: dict[str, str], base: Column | None = None) -> Column:
     """Array of record structs, one for each element that matches ``container``.
 
-    Selector parts that look at the whole page are bound once per page, before the items
-    are visited; each field then scans only the slice of its item.
+    Selectors are worked out once per page, before the items are visited. A field's matches
+    become an array that says for each place where the next one is, so an item looks its
+    own up, however large it is and however deep items nest.
     """
     els, txt = dom["els"], dom["txt"]
     parsed = {name: _read_field(spec, txt, base) for name, spec in fields.items()}
     searched = [name for name, (selector, _) in parsed.items() if selector]
 
     def records(tests: list[Predicate]) -> Column:
-        by_name = dict(zip(searched, tests[1:]))
+        def with_places(places: list[Column]) -> Column:
+            by_name = dict(zip(searched, places))
 
-        def record(item: Column) -> Column:
-            inside = F.slice(els, item["i"] + 2, item["last"] - item["i"])
-            return F.struct(*[
-                (_of_first(F.filter(inside, by_name[name]), value) if selector else value(item)).alias(name)
-                for name, (selector, value) in parsed.items()
-            ])
+            def inside(name: str, item: Column) -> Column:
+                at = F.get(by_name[name], item["i"])
+                return F.when(at <= item["last"], F.array(F.get(els, at)))
 
-        return F.transform(F.filter(els, tests[0]), record)
+            def record(item: Column) -> Column:
+                return F.struct(*[
+                    (_of_first(inside(name, item), value) if selector else value(item)).alias(name)
+                    for name, (selector, value) in parsed.items()
+                ])
+
+            return F.transform(F.filter(els, tests[0]), record)
+
+        return let_all([following(F.filter(els, test)) for test in tests[1:]], with_places)
 
     return with_selectors([container, *[parsed[name][0] for name in searched]], els, records)
 

@@ -238,6 +238,37 @@ def selector_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", F.explode(counts).alias("selector", "n"))
 
 
+# Nested blocks around <b>x</b><i>y</i>, each with a <b>z</b> after it; the depth n of a page follows from its id.
+_DEPTH = "(page_id % 40 + 1)"
+_NESTED = f"""concat(repeat('<div>', CAST({_DEPTH} AS INT)), '<b>x</b><i>y</i>', repeat('</div><b>z</b>', CAST({_DEPTH} AS INT)))"""
+_NESTED_COUNTS = {
+    "div b": "n", "div div b": "n - 1", "div ~ b": "n", "b ~ i": "1", "i ~ b": "0", "div > b ~ i": "1", "div div ~ b": "n - 1",
+    "div b, div ~ b": "n + 1", "div i, b": "n + 2",
+}
+
+
+def _nested_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return with_dom(table(spark, folder, "pages").select("page_id", "url", F.expr(_NESTED).alias("html")))
+
+
+@html.query("selector_nested", " UNION ALL ".join(
+    f"SELECT page_id, '{s}' AS selector, ({n})::INTEGER AS n FROM (SELECT page_id, {_DEPTH} AS n FROM pages)" for s, n in _NESTED_COUNTS.items()
+))
+def selector_nested(spark: SparkSession, folder: str) -> DataFrame:
+    counts = F.create_map(*[
+        x for s in _NESTED_COUNTS for x in (F.lit(s), F.size(select(s, F.col("dom")["els"])))
+    ])
+    return _nested_pages(spark, folder).select("page_id", F.explode(counts).alias("selector", "n"))
+
+
+@html.query("extract_nested", f"""
+SELECT page_id, i::INTEGER AS item_no, 'x' AS first, 'y' AS mark, CASE WHEN i < n - 1 THEN 'z' END AS after, NULL::VARCHAR AS missing
+FROM (SELECT page_id, {_DEPTH} AS n, unnest(range({_DEPTH})) AS i FROM pages)""")
+def extract_nested(spark: SparkSession, folder: str) -> DataFrame:
+    fields = {"first": "b", "mark": "div i", "after": "div ~ b", "missing": "i b"}
+    return extract_list(_nested_pages(spark, folder), "div", fields, keys=("page_id",))
+
+
 @html.query("rule_rows", """
 WITH s AS (SELECT event_id, user_id, value FROM events)
 SELECT 'r' || event_id AS rule_id, '.c' || user_id AS container, 'title' AS name, 0 AS field_no,

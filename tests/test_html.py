@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +161,97 @@ def test_worker_code_needs_no_package(spark):
 
     assert b"handle_starttag" in cloudpickle.dumps(dom._read_batch)
     assert with_dom(spark.createDataFrame([(1, "<p>")], "page_id int, html string")).count() == 1
+
+
+# selectors by brute force over random trees
+
+TAGS = ["div", "p", "b", "i"]
+
+
+def random_html(rng, size):
+    out, open_ = [], []
+    for _ in range(size):
+        if open_ and rng.random() < 0.45:
+            out.append(f"</{open_.pop()}>")
+        else:
+            tag = rng.choice(TAGS)
+            out.append(f'<{tag} class="{rng.choice("uvw")}">{rng.choice("xyz")}')
+            if rng.random() < 0.9:
+                open_.append(tag)
+    return "".join(out)
+
+
+def simple_match(e, part):
+    tag, _, cls = part.partition(".")
+    return (not tag or e.tag == tag) and (not cls or cls in e.classes)
+
+
+def brute_match(els, e, steps):
+    """Steps from the right: [(compound, combinator before it)]."""
+    (part, combinator), rest = steps[0], steps[1:]
+    if not simple_match(e, part):
+        return False
+    if not rest:
+        return True
+    others = {
+        " ": lambda a: a.i < e.i <= a.last, ">": lambda a: a.i == e.parent,
+        "~": lambda a: a.parent == e.parent and a.i < e.i, "+": lambda a: a.parent == e.parent and a.nth == e.nth - 1,
+    }[combinator]
+    return any(others(a) and brute_match(els, a, rest) for a in els)
+
+
+def read_steps(selector):
+    tokens = selector.replace(">", " > ").replace("~", " ~ ").replace("+", " + ").split()
+    steps, combinator = [], ""
+    for t in tokens:
+        if t in (">", "~", "+"):
+            combinator = t
+        else:
+            steps.append((t, combinator or " "))
+            combinator = ""
+    return steps[::-1]
+
+
+SELECTORS = ["div b", "div p b", "p.u i", "b ~ i", "div ~ p b", "div b ~ .v", "div > p ~ b i", "p + b i", ".u .v .w", "div ~ div ~ div", "i b + p"]
+
+
+def test_selectors_by_brute_force(spark):
+    rng = random.Random(8)
+    pages = pages_of(spark, [(random_html(rng, n), "http://e.com/") for n in [0, 1, 5, 40, 90, 150, 150, 200]])
+    els = column(pages, F.col("dom")["els"])
+    got = pages.orderBy("page_id").select(*[
+        F.transform(select(s, F.col("dom")["els"]), lambda e: e["i"]).alias(f"s{k}") for k, s in enumerate(SELECTORS)
+    ]).collect()
+    assert any(len(x) > 3 for row in got for x in row)
+    for row, page in zip(got, els):
+        for s, found in zip(SELECTORS, row):
+            assert found == [e.i for e in page if brute_match(page, e, read_steps(s))], s
+
+
+def test_records_of_nested_items_by_brute_force(spark):
+    rng = random.Random(9)
+    pages = pages_of(spark, [(random_html(rng, n), "http://e.com/") for n in [3, 60, 120, 200]])
+    fields = {"f0": "b", "f1": "div .u", "f2": "p ~ i::attr(class)"}
+    got = {(r.page_id, r.item_no): (r.f0, r.f1, r.f2) for r in extract_list(pages, "div, p", fields).collect()}
+    want = {}
+    for page_id, (els, txt) in enumerate(pages.orderBy("page_id").select("dom.els", "dom.txt").collect()):
+        text = lambda e: "".join(t.s.strip() for t in txt[e.t0:e.t0 + e.tn])
+        for no, item in enumerate(e for e in els if e.tag in ("div", "p")):
+            row = []
+            for spec in fields.values():
+                steps = read_steps(spec.split("::")[0])
+                found = [e for e in els if item.i < e.i <= item.last and brute_match(els, e, steps)]
+                row.append((found[0].attrs["class"] if "::" in spec else text(found[0])) if found else None)
+            want[page_id, no] = tuple(row)
+    assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("html", ["<ul>" + "<li><b>x</b></li>" * 50_000 + "</ul>", "<li><b>" * 50_000])
+def test_large_pages_take_linear_time(spark, html):
+    pages = pages_of(spark, [(html, "http://e.com/")]).cache()
+    pages.count()
+    begin = time.time()
+    assert column(pages, F.size(select("li b, li ~ li, ul b", F.col("dom")["els"]))) >= [50_000]
+    extract_list(pages, "li", {"x": "b::attr(href)", "y": "li ~ li b"}).agg(F.count("x"), F.count("y")).collect()
+    assert time.time() - begin < 40  # each would take many minutes if items were tested pair by pair
+    pages.unpersist()
