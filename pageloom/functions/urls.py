@@ -163,11 +163,19 @@ def _bad_brackets(netloc: Column) -> Column:
     return any_bracket & ~(future | F.coalesce(address, F.lit(False)))
 
 
-def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: bool = False) -> Column:
+def literal_address(host: Column) -> Column:
+    """Address of a host that is one itself, in its usual form; NULL for names."""
+    return F.when(looks_like_ipv6(host), host).otherwise(ipv4_text(ipv4_literal(host)))
+
+
+def url_reason(
+    url: Column | str, resolved: Column, blocked: Column, strict: bool = False, literals_looked_up: bool = False
+) -> Column:
     """Reason of the safety verdict, checks in order.
 
     ``resolved``: the host was found in the address table; ``blocked``: one blocked address
-    of it or NULL. Hosts that are addresses themselves need neither.
+    of it or NULL. Hosts that are addresses themselves need neither, unless they were looked
+    up like the others.
     """
     url = col(url)
 
@@ -177,7 +185,10 @@ def url_reason(url: Column | str, resolved: Column, blocked: Column, strict: boo
         def by_host(host: Column) -> Column:
             def as_address(value: Column) -> Column:
                 address = F.when(looks_like_ipv6(host), host).otherwise(ipv4_text(value))
-                hit = F.when(looks_like_ipv6(host), ip_blocked(host, strict)).otherwise(in_ipv4_nets(value))
+                if literals_looked_up:
+                    hit = blocked.isNotNull()
+                else:
+                    hit = F.when(looks_like_ipv6(host), ip_blocked(host, strict)).otherwise(in_ipv4_nets(value))
                 return F.when(hit, F.format_string(REASON_BLOCKED, host, address)).otherwise(REASON_SAFE)
 
             by_name = (

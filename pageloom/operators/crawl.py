@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.core import first, one_per_key
+from pageloom.functions.core import first, join_facts, one_per_key
 from pageloom.functions.nodes import element_text
 from pageloom.functions.text import strip
 from pageloom.functions.urls import join_url, valid_href
@@ -49,48 +49,46 @@ def next_links(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url")) ->
     return pages.select(*keys, next_url(F.col("dom"), F.col("url")).alias("next_url"))
 
 
-def crawl_chains(
-    seeds: DataFrame, edges: DataFrame, max_pages: int = DEFAULT_PAGES, cut_every: int = 5
-) -> DataFrame:
+def _jumps(steps: DataFrame) -> DataFrame:
+    """``(url, target)`` twice as far as ``steps(url, target)``: one join of the table with itself."""
+    onward = steps.select(F.col("url").alias("target"), F.col("target").alias("_far"))
+    return join_facts(steps, onward, "target", "inner").select("url", F.col("_far").alias("target"))
+
+
+def crawl_chains(seeds: DataFrame, edges: DataFrame, max_pages: int = DEFAULT_PAGES) -> DataFrame:
     """Follow next links from every URL of ``seeds(url)`` at once.
 
     ``edges(url, success, next_url)`` are pages; repeated URLs count once. A chain ends at ``max_pages``,
     without a next link, at a URL it has met, or at a failed page (which counts as visited).
     The result is one row per visit: seed, page_no from 1, url, success.
 
-    Each round is one join on the URL. A seed is one row that carries its visits, at most
-    ``max_pages`` of them, so the visited test needs no join. A finished seed joins on a
-    key of its own that matches nothing, which keeps the rows spread. Lineage is cut every
-    few rounds, and the loop ends early once no seed is under way.
+    Next links are a function of the URL, so tables of 1, 2, 4, 8 and 16 steps are enough: each
+    is the one before joined with itself, and gives every visit so far its successor as many
+    pages on. Twenty pages take five joins of the visits, not twenty. In a function's orbit
+    nothing new comes after the first repeat, so a chain is the first visit of each URL.
+    The tables are written to the shared folder; the loop ends once one is empty.
     """
     if not 1 <= max_pages <= MOST_PAGES:
         raise ValueError(f"max_pages must be between 1 and {MOST_PAGES}")
     # a page that was fetched again counts once: a successful fetch with a link first
-    once = one_per_key(edges.select("url", "success", "next_url"), "url", ~F.coalesce("success", F.lit(False)), F.col("next_url").isNull())
-    step = cut_lineage(once.withColumnRenamed("url", "_at"))
-    chains = seeds.select("url").distinct().select(
-        F.col("url").alias("seed"), "url",
-        F.array().cast("array<struct<url:string,success:boolean>>").alias("visits"),
-    )
-    for page_no in range(1, max_pages + 1):
-        at = F.coalesce("url", F.concat(F.lit("\x00"), "seed"))
-        active = F.col("url").isNotNull()
-        met = F.coalesce("success", F.lit(False))
-        visits = F.when(active, F.array_append("visits", F.struct("url", met.alias("success")))).otherwise(
-            F.col("visits")
-        )
-        fresh = ~F.exists("visits", lambda v: v["url"] == F.col("next_url"))
-        chains = (
-            chains.withColumn("_at", at).join(step, "_at", "left")
-            .withColumn("visits", visits)
-            .select("seed", F.when(active & met & fresh, F.col("next_url")).alias("url"), "visits")
-        )
-        if page_no % cut_every == 0 and page_no < max_pages:
-            chains = cut_lineage(chains)
-            if chains.where("url IS NOT NULL").isEmpty():
+    once = cut_lineage(one_per_key(
+        edges.select("url", "success", "next_url"), "url", ~F.coalesce("success", F.lit(False)), F.col("next_url").isNull()))
+    visits = seeds.select("url").distinct().select(F.col("url").alias("seed"), F.lit(0).alias("_at"), "url")
+    # a failed page has no successor
+    steps, stride = once.where("success and next_url is not null").select("url", F.col("next_url").alias("target")), 1
+    while stride < max_pages:
+        moved = F.struct((F.col("_at") + stride).alias("_at"), F.col("target").alias("url"))
+        both = F.array(F.struct("_at", "url"), F.when(F.col("target").isNotNull() & (F.col("_at") + stride < max_pages), moved))
+        visits = join_facts(visits, steps, "url").select("seed", F.explode(F.array_compact(both)).alias("_v")).select("seed", "_v.*")
+        stride *= 2
+        if stride < max_pages:
+            steps = cut_lineage(_jumps(steps))
+            if steps.isEmpty():
                 break
-    return chains.select("seed", F.posexplode("visits").alias("pos", "v")).select(
-        "seed", (F.col("pos") + 1).alias("page_no"), "v.url", "v.success"
+    first_met = visits.groupBy("seed", "url").agg(F.min("_at").alias("_at"))
+    known = once.select("url", F.col("success").alias("_ok"))
+    return join_facts(first_met, known, "url").select(
+        "seed", (F.col("_at") + 1).alias("page_no"), "url", F.coalesce("_ok", F.lit(False)).alias("success")
     )
 
 
@@ -104,5 +102,6 @@ def crawl_records(visits: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def crawl_errors(visits: DataFrame, failed: DataFrame) -> DataFrame:
-    """Visited pages whose extraction failed: ``failed(url, error)``."""
-    return visits.where("success").drop("success").join(failed, "url", "inner")
+    """Visited pages whose extraction failed: ``failed(url, error)``, one error each."""
+    once = one_per_key(failed.select("url", "error"), "url", F.col("error").isNull())
+    return join_facts(visits.where("success").drop("success"), once, "url", "inner")

@@ -8,7 +8,7 @@ from pageloom.functions.core import col, join_facts, one_per_key
 from pageloom.functions.nodes import clean_text
 from pageloom.functions.urls import REASON_SAFE, domain, hostname, join_url, url_reason
 from pageloom.operators.dom import parse_html
-from pageloom.operators.robots import is_allowed, with_robots
+from pageloom.operators.robots import is_allowed, sorted_rules, with_robots
 from pageloom.operators.safety import check_urls, host_verdicts
 from pageloom.session import cut_lineage
 
@@ -56,8 +56,8 @@ def _sites(log: DataFrame, dns: DataFrame, policy: DataFrame | None) -> DataFram
         .withColumn("_host", hostname(F.col("_domain"))).join(hosts, "_host", "left").drop("_host")
     )
     if policy is None:
-        return sites.withColumns({"mode": F.lit("allow"), "rules": F.lit(None).cast("array<struct<path:string,allow:boolean>>")})
-    rules = policy.select(F.col("domain").alias("_domain"), "mode", "rules")
+        policy = log.sparkSession.createDataFrame([], "domain string, mode string, rules array<struct<path:string,allow:boolean>>")
+    rules = policy.select(F.col("domain").alias("_domain"), "mode", sorted_rules(F.col("rules")).alias("rules"))
     return sites.join(rules, "_domain", "left")
 
 

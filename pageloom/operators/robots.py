@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.core import col, first, join_facts, let, one_per_key
+from pageloom.functions.core import col, join_facts, let, one_per_key
 from pageloom.functions.text import strip
 from pageloom.functions.urls import domain, split_url, unsplit_url
 
@@ -88,9 +88,17 @@ def robots_groups(robots: DataFrame) -> DataFrame:
     )
 
 
+def _one_file(robots: DataFrame) -> DataFrame:
+    """A domain's files count once: the least status first, a network error last."""
+    return one_per_key(robots, "domain", F.col("status").isNull())
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
-    """One row per rule: domain, group, agents, ``rule_no`` from 0, path, allow, delay."""
-    return robots_groups(robots).select(
+    """One row per rule: domain, group, agents, ``rule_no`` from 0, path, allow, delay.
+
+    A domain has one file: of several rows the one that ``robots_policy`` reads.
+    """
+    return robots_groups(_one_file(robots)).select(
         "domain", "group_no", "agents", "crawl_delay", F.posexplode("rules").alias("rule_no", "rule")
     ).select("domain", "group_no", "agents", "rule_no", "rule.path", "rule.allow", "crawl_delay")
 
@@ -102,7 +110,7 @@ def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
     else the first for all agents. Status 404 and network errors (NULL) allow; any other
     status but 200 denies, as does ``is_safe = false`` where the table has that column.
     """
-    robots = one_per_key(robots, "domain", F.col("status").isNull())  # a domain's files count once: the least status first
+    robots = _one_file(robots)
     token = agent.split("/")[0].lower()
     group = F.struct("rules", "crawl_delay")
     for_all = F.array_contains("agents", "*")
@@ -139,24 +147,71 @@ def robots_path(url: Column | str) -> Column:
     return let(quote(tail), lambda t: F.when(t == "", F.lit("/")).otherwise(t))
 
 
-def is_allowed(url: Column | str, mode: Column, rules: Column) -> Column:
-    """Whether a policy row lets us fetch a URL; a domain without a row does."""
-    decided = let(
-        robots_path(url),
-        lambda path: F.coalesce(first(F.filter(rules, lambda r: path.startswith(r["path"])))["allow"], F.lit(True)),
-    )
+def sorted_rules(rules: Column) -> Column:
+    """Rules in file order as a struct of ``paths``, ascending and distinct, their least rule numbers
+    ``nos`` with ``allows``, and the distinct ``lengths`` of paths."""
+    numbered = F.transform(rules, lambda r, k: F.struct(r["path"].alias("path"), k.alias("no"), r["allow"].alias("allow")))
+
+    def table(rows: Column) -> Column:
+        field = lambda name: F.transform(rows, lambda r: r[name])
+        return F.struct(
+            field("path").alias("paths"), field("no").alias("nos"), field("allow").alias("allows"),
+            F.array_sort(F.array_distinct(F.transform(rows, lambda r: F.length(r["path"])))).alias("lengths"),
+        )
+
+    least_of_each = lambda rows: F.filter(
+        rows, lambda r, k: F.coalesce(F.get(rows, k - 1)["path"] != r["path"], F.lit(True)))
+    return let(let(F.array_sort(numbered), least_of_each), table)
+
+
+def _place(paths: Column, wanted: Column) -> Column:
+    """Place of a text in an ascending array by halving, or where it would be."""
+    rounds = F.ceil(F.log2(F.size(paths) + 1)).cast("int")
+    ends = F.struct(F.lit(0).alias("lo"), F.size(paths).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        below = F.coalesce(F.get(paths, middle) < wanted, F.lit(False))
+        open_ = at["lo"] < at["hi"]
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(at["lo"]).alias("lo"),
+            F.when(open_ & ~below, middle).otherwise(at["hi"]).alias("hi"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), rounds), ends, halve, lambda at: at["lo"])
+
+
+def first_rule(path: Column, table: Column) -> Column:
+    """``allow`` of the first rule in file order whose path starts ``path``; NULL if none does.
+
+    Each length that a rule's path has gives one prefix to look for, found by halving: the time
+    grows with the lengths and the logarithm of the rules, not with the rules.
+    """
+    def found(prefix: Column) -> Column:
+        return let(_place(table["paths"], prefix), lambda at: F.when(
+            F.get(table["paths"], at) == prefix,
+            F.struct(F.get(table["nos"], at).alias("no"), F.get(table["allows"], at).alias("allow"))))
+
+    short = F.filter(table["lengths"], lambda n: n <= F.length(path))
+    hits = F.transform(short, lambda n: let(F.substring(path, F.lit(1), n), found))
+    return F.array_min(F.filter(hits, lambda h: h.isNotNull()))["allow"]
+
+
+def is_allowed(url: Column | str, mode: Column, table: Column) -> Column:
+    """Whether a policy row lets us fetch a URL, its rules sorted; a domain without a row does."""
+    decided = let(robots_path(url), lambda path: F.coalesce(first_rule(path, table), F.lit(True)))
     return F.when(mode == "deny", False).when(mode == "rules", decided).otherwise(True)
 
 
 def with_robots(urls: DataFrame, policy: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed`` and ``crawl_delay``.
 
-    The policy has one row per domain with its rules as an array, so a URL meets one row,
-    not one per rule; the first rule whose path starts the URL's decides.
+    The policy has one row per domain with its rules in an array, sorted once, so a URL meets one
+    row, not one per rule; the first rule whose path starts the URL's decides.
     """
-    rules = policy.select(F.col("domain").alias("_domain"), "mode", "rules", "crawl_delay")
+    rules = policy.select(F.col("domain").alias("_domain"), "mode", sorted_rules(F.col("rules")).alias("_table"), "crawl_delay")
     joined = join_facts(urls.withColumn("_domain", domain(url)), rules, "_domain")
-    return joined.withColumn("allowed", is_allowed(url, F.col("mode"), F.col("rules"))).drop("_domain", "mode", "rules")
+    return joined.withColumn("allowed", is_allowed(url, F.col("mode"), F.col("_table"))).drop("_domain", "mode", "_table")
 
 
 def effective_delay(crawl_delay: Column | str = "crawl_delay", default: float = DEFAULT_DELAY) -> Column:

@@ -9,6 +9,7 @@ from pageloom.functions.urls import domain, join_url, valid_href
 from pageloom.operators.fetches import (
     backoff_total, fetch_outcome, fetch_view, is_transient, resolve_redirects, resolve_retries,
 )
+from pageloom.operators.nets import address_bits, with_nets
 from pageloom.operators.robots import effective_delay, robots_policy, robots_rules, with_robots
 from pageloom.operators.safety import check_urls
 from pageloom.operators.schedule import send_schedule
@@ -102,6 +103,61 @@ def ip_blocked_events(spark: SparkSession, folder: str) -> DataFrame:
     return ips.withColumn("blocked", ip_blocked("ip"))
 
 
+# Networks of many lengths that lie in one another, some allowed, and IPv6 ones; one row in nine is no network.
+_NET = """CASE event_id % 9 WHEN 0 THEN concat('10.', event_id, '/33') WHEN 1 THEN concat('fd00::', event_id % 97, '/', 120 + event_id % 9)
+      WHEN 2 THEN 'fd00::/8' WHEN 3 THEN concat('64:ff9b::', event_id % 97)
+      ELSE concat(10 + event_id % 240, '.', event_id % 256, '.', event_id * 7 % 256, '.0/', event_id % 25) END"""
+_NET_ACTION = "CASE WHEN event_id % 4 = 1 THEN 'allow' WHEN event_id % 4 = 2 THEN 'block' END"
+_LOOKED_UP = """CASE WHEN event_id % 5 < 3 THEN concat(10 + event_id % 240, '.', event_id % 256, '.', event_id * 7 % 256, '.', event_id * 13 % 256)
+      WHEN event_id % 5 = 3 THEN concat(CASE event_id % 3 WHEN 0 THEN 'FD00::' WHEN 1 THEN '64:ff9b:0::' ELSE 'fe80::1:' END, event_id % 97)
+      ELSE concat('1.2.', event_id) END"""
+
+# addresses as a version and a number: the IPv6 ones of these rows have 16 high bits and 16 low ones that differ
+_NETS_SQL = f"""n AS (SELECT {_NET} AS net, {_NET_ACTION} AS action, event_id, event_id % 9 AS k FROM events),
+nv AS (SELECT net, coalesce(action, 'block') AS action, CASE WHEN k IN (1, 2, 3) THEN 6 ELSE 4 END AS v,
+    CASE k WHEN 1 THEN 120 + event_id % 9 WHEN 2 THEN 8 WHEN 3 THEN 128 ELSE event_id % 25 END AS len,
+    CASE k WHEN 1 THEN ('0xfd00' || '0000' || '0000' || lpad((event_id % 97)::VARCHAR, 4, '0'))::UBIGINT WHEN 2 THEN ('0xfd00' || '000000000000')::UBIGINT
+      WHEN 3 THEN ('0x0064' || 'ff9b' || '0000' || lpad((event_id % 97)::VARCHAR, 4, '0'))::UBIGINT
+      ELSE (((10 + event_id % 240) * 256 + event_id % 256) * 256 + event_id * 7 % 256)::UBIGINT * 256 END AS num
+  FROM n WHERE k <> 0),
+nk AS (SELECT v, len, CASE WHEN v = 4 THEN num >> (32 - len)::UBIGINT WHEN len < 16 THEN num >> (64 - len)::UBIGINT ELSE num >> (128 - len)::UBIGINT END AS p, net, action FROM nv),
+nets AS (SELECT v, len, p, arg_min(net, (action <> 'allow', net)) AS net, arg_min(action, (action <> 'allow', net)) AS action FROM nk GROUP BY ALL),
+a AS (SELECT event_id, {_LOOKED_UP} AS ip, CASE WHEN event_id % 5 < 3 THEN 4 WHEN event_id % 5 = 3 THEN 6 END AS v,
+    CASE WHEN event_id % 5 < 3 THEN (((10 + event_id % 240) * 256 + event_id % 256) * 256 + event_id * 7 % 256)::UBIGINT * 256 + event_id * 13 % 256
+      WHEN event_id % 5 = 3 THEN CASE event_id % 3 WHEN 0 THEN ('0xfd00' || '0000' || '0000' || lpad((event_id % 97)::VARCHAR, 4, '0'))::UBIGINT
+        WHEN 1 THEN ('0x0064' || 'ff9b' || '0000' || lpad((event_id % 97)::VARCHAR, 4, '0'))::UBIGINT
+        ELSE ('0xfe80' || '0000' || '0001' || lpad((event_id % 97)::VARCHAR, 4, '0'))::UBIGINT END END AS num FROM events),
+lens AS (SELECT DISTINCT v, len FROM nets),
+tried AS (SELECT event_id, v, len, CASE WHEN v = 4 THEN num >> (32 - len)::UBIGINT WHEN len < 16 THEN num >> (64 - len)::UBIGINT ELSE num >> (128 - len)::UBIGINT END AS p FROM a JOIN lens USING (v)),
+hit AS (SELECT event_id, arg_max(net, len) AS net, arg_max(action, len) AS action FROM tried JOIN nets USING (v, len, p) GROUP BY event_id)"""
+
+
+def corpus_nets(events: DataFrame) -> DataFrame:
+    return events.select(F.expr(_NET).alias("net"), F.expr(_NET_ACTION).alias("action"))
+
+
+@web.query("ip_nets", f"""
+WITH {_NETS_SQL}
+SELECT event_id, ip, net, action, v IS NULL OR coalesce(action = 'block', false) AS blocked FROM a LEFT JOIN hit USING (event_id)""")
+def ip_nets(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    addresses = events.select("event_id", F.expr(_LOOKED_UP).alias("ip"))
+    known = address_bits("ip").isNotNull()
+    return with_nets(addresses, corpus_nets(events)).withColumn("blocked", ~known | F.coalesce(F.col("action") == "block", F.lit(False)))
+
+
+@web.query("url_safety_nets", f"""
+WITH {_NETS_SQL}
+SELECT event_id, CASE WHEN coalesce(action = 'block', false) THEN format('Hostname ''{{}}'' resolved to blocked/private IP ''{{}}''.', ip, ip)
+    ELSE 'URL is safe.' END AS reason, NOT coalesce(action = 'block', false) AS is_safe
+FROM a LEFT JOIN hit USING (event_id) WHERE v = 4""")
+def url_safety_nets(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    urls = events.where("event_id % 5 < 3").select("event_id", F.expr(f"concat('http://', {_LOOKED_UP}, '/x')").alias("url"))
+    dns = spark.createDataFrame([], "host string, ip string")
+    return check_urls(urls, dns, nets=corpus_nets(events)).drop("url")
+
+
 _REF = """CASE page_id % 10 WHEN 0 THEN '../x.html' WHEN 1 THEN '?p=2' WHEN 2 THEN '//c.org/x' WHEN 3 THEN 'mailto:x@y'
       WHEN 4 THEN './y' WHEN 5 THEN '' WHEN 6 THEN '#f' WHEN 7 THEN '/z/../w' WHEN 8 THEN '../../../../r' ELSE 'q/./s?k=1' END"""
 
@@ -275,6 +331,26 @@ def robots_allowed(spark: SparkSession, folder: str) -> DataFrame:
     return with_robots(pages, robots_policy(corpus_robots(spark, folder), AGENT)).select("page_id", "allowed", "crawl_delay")
 
 
+# Long robots files out of the parts: 500 rules a file, paths that begin one another, some allowed.
+_RULE_SQL = "concat('/', p_partkey * 37 % 1000)"
+
+
+@web.query("robots_long_files", f"""
+WITH r AS (SELECT p_partkey // 500 AS d, p_partkey AS no, {_RULE_SQL} AS path, p_partkey % 3 = 0 AS allow FROM part),
+u AS (SELECT event_id, event_id % 8 AS d, concat('/', event_id * 13 % 20000, '/x') AS path FROM events)
+SELECT event_id, coalesce(arg_min(allow, no), true) AS allowed FROM u LEFT JOIN r ON r.d = u.d AND starts_with(u.path, r.path) GROUP BY event_id""")
+def robots_long_files(spark: SparkSession, folder: str) -> DataFrame:
+    rule = F.concat(F.when(F.expr("p_partkey % 3 = 0"), F.lit("Allow: ")).otherwise(F.lit("Disallow: ")), F.expr(_RULE_SQL))
+    lines = table(spark, folder, "part").select(F.expr("p_partkey div 500").alias("d"), F.struct("p_partkey", rule.alias("rule")).alias("line"))
+    files = lines.groupBy("d").agg(F.array_sort(F.collect_list("line")).alias("lines")).select(
+        F.concat(F.lit("d"), "d", F.lit(".example")).alias("domain"), F.lit(200).alias("status"),
+        F.concat(F.lit("User-agent: *\n"), F.array_join(F.transform("lines", lambda x: x["rule"]), "\n")).alias("body"),
+    )
+    urls = table(spark, folder, "events").selectExpr(
+        "event_id", "concat('https://d', event_id % 8, '.example/', event_id * 13 % 20000, '/x') AS url")
+    return with_robots(urls, robots_policy(files, AGENT)).select("event_id", "allowed")
+
+
 @web.query("effective_delay", f"""
 WITH {_HOSTS_SQL}
 SELECT domain, CASE WHEN length(domain) % 7 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS delay_seconds FROM h""")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from conftest import column, pages_of
@@ -49,7 +51,7 @@ def test_chain_and_page_cap(spark):
 
 def test_longer_crawl_starts_with_the_shorter(spark):
     edges = chain("abcdefghijkl")
-    five, twelve = (visits(spark, edges, max_pages=n, cut_every=2) for n in (5, 12))
+    five, twelve = (visits(spark, edges, max_pages=n) for n in (5, 12))
     assert twelve[:5] == five and len(twelve) == 12
 
 
@@ -77,3 +79,32 @@ def test_records_and_errors(spark):
 def test_pages_of_one_site(spark):
     pages = pages_of(spark, [('<h1>P1</h1><a rel="next" href="/page/2">Next</a>', P1), ("<h1>P2</h1>", "https://example.com/page/2")])
     assert column(next_links(pages), "next_url") == ["https://example.com/page/2", None]
+
+
+def walk(edges, seed, most):
+    """Visits of one seed, page by page."""
+    pages = {}
+    for url, ok, target in edges:
+        pages.setdefault(url, (ok, target))
+    out, met, url = [], set(), seed
+    while url is not None and url not in met and len(out) < most:
+        ok, target = pages.get(url, (False, None))
+        out.append((seed, len(out) + 1, url, ok))
+        met.add(url)
+        url = target if ok else None
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 16, 20])
+def test_random_links_by_walking(spark, most):
+    rng = random.Random(most)
+    edges = [(f"u{i}", rng.random() < 0.95, f"u{rng.randrange(70)}" if rng.random() < 0.97 else None) for i in range(60)]
+    edges += [(f"r{i}", True, f"r{(i + 1) % 19}") for i in range(19)] + [(f"c{i}", True, f"c{i + 1}") for i in range(40)]
+    seeds = [e[0] for e in edges] + ["nowhere"]
+    assert visits(spark, edges, seeds=seeds, max_pages=most) == sorted(v for s in seeds for v in walk(edges, s, most))
+
+
+def test_twenty_pages_take_five_joins_of_the_visits(spark):
+    df = spark.createDataFrame(chain([f"u{i}" for i in range(30)]), "url string, success boolean, next_url string")
+    plan = crawl_chains(spark.createDataFrame([("u0",)], "url string"), df, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 6  # five, and one with the pages for success

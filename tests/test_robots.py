@@ -1,8 +1,9 @@
+import random
 from urllib.robotparser import RobotFileParser
 
 import pytest
 
-from pageloom.operators.robots import effective_delay, robots_policy, with_robots
+from pageloom.operators.robots import effective_delay, robots_policy, robots_rules, with_robots
 from pageloom.operators.schedule import requests_of
 
 AGENT = "SampleCrawler/1.0"
@@ -59,3 +60,24 @@ def test_requests_of_a_policy(spark):
     urls = spark.createDataFrame([(1, "https://e.com/a", 0), (2, "https://e.com/x", 0), (3, "https://f.com/a", 5)], "request_id bigint, url string, arrival_us bigint")
     got = requests_of(urls, robots_policy(robots, AGENT)).orderBy("request_id").collect()
     assert [tuple(r) for r in got] == [("e.com", 1, 0, 2_000_000), ("f.com", 3, 5, 1_000_000)]
+
+
+def test_two_files_of_a_domain_give_the_rules_of_one(spark):
+    rows = [("e.com", 404, "User-agent: *\nDisallow: /no"), ("e.com", 200, "User-agent: a\nDisallow: /x"), ("e.com", 200, "User-agent: b\nDisallow: /y")]
+    robots = spark.createDataFrame(rows, "domain string, status int, body string").repartition(3)
+    assert [(r.agents, r.path) for r in robots_rules(robots).collect()] == [(["a"], "/x")]
+    assert robots_policy(robots, "a/1").first().rules[0].path == "/x"
+
+
+def test_long_files_decide_as_the_first_match_does(spark):
+    rng = random.Random(4)
+    word = lambda: "/" + "".join(rng.choice("abcé%") for _ in range(rng.randint(4, 9))).replace("%", "%41")
+    rules = [(rng.choice(["Allow", "Disallow"]), rng.choice([word(), f"/p{rng.randrange(10 ** 6)}"])) for _ in range(50_000)]
+    body = "User-agent: *\n" + "\n".join(f"{kind}: {path}" for kind, path in rules if path)
+    urls = [f"https://e.com{word()}" for _ in range(150)] + [f"https://e.com/p{rng.randrange(10 ** 6)}/x" for _ in range(300)]
+    policy = robots_policy(spark.createDataFrame([("e.com", 200, body)], "domain string, status int, body string"), AGENT)
+    parser = RobotFileParser()
+    parser.parse(body.splitlines())
+    got = with_robots(spark.createDataFrame([(u,) for u in urls], "url string"), policy).collect()
+    assert len({r.allowed for r in got}) == 2
+    assert {r.url: r.allowed for r in got} == {u: parser.can_fetch(AGENT, u) for u in urls}

@@ -1,4 +1,5 @@
 import ipaddress
+import random
 from urllib.parse import urljoin
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.ips import BLOCKED_NETWORKS, ip_blocked
 from pageloom.functions.urls import domain, join_url, valid_href
+from pageloom.operators.nets import with_blocked, with_nets
 from pageloom.operators.safety import check_urls
 
 DNS = [("example.com", "93.184.216.34"), ("ferry.example", "151.101.0.9"), ("tide.example", "209.216.230.2"), ("foo", "93.184.216.35"),
@@ -98,3 +100,59 @@ def test_valid_href(spark):
     df = spark.createDataFrame([(h,) for h in cases], "h string").select("h", valid_href("h").alias("v"))
     assert {r.h: r.v for r in df.collect()} == cases
     assert spark.range(1).select(valid_href(F.lit(None).cast("string"))).first()[0] is False
+
+
+def test_nets_by_brute_force(spark):
+    rng = random.Random(6)
+    v4 = lambda: str(ipaddress.IPv4Address(rng.choice([10 << 24, 192 << 24]) + rng.randrange(1 << rng.choice([6, 14, 24]))))
+    v6 = lambda: str(ipaddress.IPv6Address((0xFD << 120) + (rng.randrange(1 << 10) << rng.choice([0, 40, 100]))))
+    nets = [f"{v4()}/{rng.randint(4, 32)}" for _ in range(300)] + [f"{v6()}/{rng.randint(4, 128)}" for _ in range(200)] + [v4(), v6()]
+    bad = ["", None, "x/8", "10.0.0.0/33", "10.0.0.0/-1", "10.0.0.0/8/9", "fd00::/129", "10.0.0/8", "1.2.3.4/"]
+    rows = [(n, rng.choice(["allow", "block", None])) for n in nets] + [(n, "block") for n in bad] + [(nets[0], "allow")] * 3
+    ips = [v4() for _ in range(300)] + [v6() for _ in range(200)] + ["8.8.8.8", "::1", "no", "", None, "10.0.0.256", "10.0.0.1", "10.0.0.1"]
+    got = with_nets(
+        spark.createDataFrame(list(enumerate(ips)), "id int, ip string").repartition(4).withColumn("key", F.lit(1)),
+        spark.createDataFrame(rows, "net string, action string").repartition(3),
+    ).collect()
+    known = {}
+    for n, action in rows:
+        if n not in bad:
+            known.setdefault(ipaddress.ip_network(n, strict=False), []).append((action or "block", n))
+    assert len(got) == len(ips)
+    for r in got:
+        try:
+            ip = ipaddress.ip_address(r.ip)
+        except ValueError:
+            assert (r.net, r.action) == (None, None), r
+            continue
+        hits = [n for n in known if n.version == ip.version and ip in n]
+        if not hits:
+            assert (r.net, r.action) == (None, None), r
+        else:
+            action, text_ = min(known[max(hits, key=lambda n: n.prefixlen)], key=lambda x: (x[0] != "allow", x[1]))
+            assert (r.net, r.action) == (text_, action), r
+
+
+def test_blocked_by_a_table_of_nets(spark):
+    nets = spark.createDataFrame([("10.0.0.0/8", None), ("10.1.0.0/16", "allow"), ("::1", "block")], "net string, action string")
+    ips = ["10.0.0.1", "10.1.2.3", "127.0.0.1", "::1", "bad", "::ffff:10.0.0.1"]
+    rows = spark.createDataFrame([(i,) for i in ips], "ip string")
+    assert {r.ip: r.blocked for r in with_blocked(rows, nets).collect()} == dict(zip(ips, [True, False, False, True, True, False]))
+    assert {r.ip: r.blocked for r in with_blocked(rows, nets, mapped=True).collect()}["::ffff:10.0.0.1"]
+    none = spark.createDataFrame([], "net string")
+    assert {r.ip for r in with_blocked(rows, none).where("blocked").collect()} == {"bad"}
+    urls = spark.createDataFrame([("http://10.0.0.1/",), ("http://10.1.0.1/",), ("http://167772161/",), ("http://a.com/",), ("http://b.com",), ("http://[::1]/",)], "url string")
+    dns = spark.createDataFrame([("a.com", "10.9.9.9"), ("a.com", "8.8.8.8"), ("B.com", "127.0.0.1")], "host string, ip string")
+    got = {r.url: r.is_safe for r in check_urls(urls, dns, nets=nets).collect()}
+    assert got == {"http://10.0.0.1/": False, "http://10.1.0.1/": True, "http://167772161/": False, "http://a.com/": False,
+                   "http://b.com": True, "http://[::1]/": False}
+
+
+def test_a_million_nets_need_no_broadcast_and_no_range_join(spark):
+    nets = spark.range(1_000_000).select(F.concat(F.lit("11."), F.expr("id div 65536"), F.lit("."), F.expr("id div 256 % 256"), F.lit("."), F.expr("id % 256"), F.lit("/32")).alias("net"))
+    ips = spark.range(2000).select(F.concat(F.lit("11.0."), F.expr("id % 256"), F.lit("."), F.expr("id % 251")).alias("ip"))
+    found = with_nets(ips, nets)
+    assert found.where("net = concat(ip, '/32')").count() == 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("Cross" in j or "<=" in j or ">=" in j or "ResolvedHint" in j for j in joins)
