@@ -191,19 +191,19 @@ def resolve_retries(attempts: DataFrame, keys: list[str], max_retries: int = 3)
     """The attempt that counts, per key, of ``attempts(attempt, status_code, error_message)``.
 
     Attempts are numbered from 1. The first success, the first failure that is not transient,
-    or the last allowed attempt ends the loop. Only aggregates, so hot keys combine early.
+    or the last allowed attempt ends the loop. Of attempts with one number the least status
+    counts, then the least message. Only aggregates, so hot keys combine early.
     """
     success = F.col("status_code") == 200
     final = success | ~is_transient("status_code", "error_message") | (F.col("attempt") == max_retries)
     row = F.struct("attempt", "status_code", "error_message")
+    # without a final attempt the latest counts; equal numbers are told apart by the row itself
+    latest = F.struct((-F.col("attempt")).alias("back"), row.alias("row"))
     return (
         attempts.where(F.col("attempt") <= max_retries)
         .groupBy(*keys)
-        .agg(
-            F.min_by(row, F.when(final, F.col("attempt"))).alias("ended"),
-            F.max_by(row, "attempt").alias("latest"),
-        )
-        .select(*keys, F.coalesce("ended", "latest").alias("r"))
+        .agg(F.min(F.when(final, row)).alias("ended"), F.min(latest).alias("latest"))
+        .select(*keys, F.coalesce(F.col("ended"), F.col("latest.row")).alias("r"))
         .select(*keys, "r.attempt", "r.status_code", (F.col("r.status_code") == 200).alias("success"),
                 "r.error_message")
     )

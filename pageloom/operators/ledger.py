@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pageloom.functions.core import col, join_facts
+from pageloom.functions.core import col, join_facts, one_per_key
 from pageloom.operators.crawl import DEFAULT_PAGES, crawl_chains, crawl_records
 from pageloom.operators.fetches import resolve_retries
 
@@ -60,7 +60,8 @@ def with_liveness(events: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
 
     That is so when the last create or delete before it was a create. The look-back runs
     within spans of ``seq``, each at most ``span`` rows as ``seq`` is unique; a span's last
-    create or delete is handed on through a summary of one row per task and span.
+    create or delete is handed on through a summary of one row per task and span. Events
+    without a task id are those of one task.
     """
     marked = events.withColumns({
         "_span": F.floor(F.col("seq") / span),
@@ -72,13 +73,14 @@ def with_liveness(events: DataFrame, span: int = SEQ_SPAN) -> DataFrame:
         marked.groupBy("task_id", "_span")
         .agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("seq"))).alias("_end"))
         .withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier))
-        .select("task_id", "_span", "_carried")
+        .select(F.col("task_id").alias("_task"), F.col("_span").alias("_s"), "_carried")
     )
+    mine = F.col("task_id").eqNullSafe(F.col("_task")) & (F.col("_span") == F.col("_s"))
     return (
         marked.withColumn("_near", F.last("_mark", ignorenulls=True).over(local))
-        .join(handed, ["task_id", "_span"])
+        .join(handed, mine)
         .withColumn("live", F.coalesce("_near", "_carried", F.lit("delete")) == "create")
-        .drop("_span", "_mark", "_near", "_carried")
+        .drop("_span", "_mark", "_near", "_carried", "_task", "_s")
     )
 
 
@@ -129,7 +131,7 @@ def finish_events(tasks: DataFrame, records: DataFrame, failures: DataFrame | No
 
     ``records(seed, page_no, item_no, record)``, the record a struct or a JSON text column. A
     task's records become one JSON text, since that is what its row holds; a crawl visits
-    a bounded number of pages.
+    a bounded number of pages. Of several failures of a seed one counts, the least text.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "item_no", F.col(record).alias("_r"))))
     is_text = dict(records.dtypes)[record] == "string"
@@ -141,7 +143,8 @@ def finish_events(tasks: DataFrame, records: DataFrame, failures: DataFrame | No
     if failures is None:
         joined = joined.withColumn("_error", F.lit(None).cast("string"))
     else:
-        joined = joined.join(failures.select(F.col("seed").alias("url"), F.col("error").alias("_error")), "url", "left")
+        once = one_per_key(failures.select(F.col("seed").alias("url"), F.col("error").alias("_error")), "url", F.col("_error").isNull())
+        joined = join_facts(joined, once, "url")
     ok = F.col("_error").isNull()
     return _events(
         joined, 2, "update", F.when(ok, COMPLETED).otherwise(FAILED),

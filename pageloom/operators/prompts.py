@@ -6,6 +6,8 @@ responses with the same keys, another job reads those.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.core import col
@@ -66,16 +68,33 @@ def qa_prompts(requests: DataFrame, text: str = "clean_text", max_text: int = MA
     )
 
 
+def _content_length(text: Column | str, max_text: int) -> Column:
+    return F.when(is_blank(text), 0).otherwise(F.length(model_text(text, max_text)))
+
+
+def page_lengths(pages: DataFrame, key: str = "page_id", text: str = "clean_text", max_text: int = MAX_TEXT) -> DataFrame:
+    """``(page_id, content_length)``: what answers need of a page; 0 for a page without text."""
+    return pages.select(key, _content_length(text, max_text).alias("content_length"))
+
+
 def qa_answers(requests: DataFrame, responses: DataFrame, model: str, text: str = "clean_text",
                max_text: int = MAX_TEXT, keys: tuple[str, ...] = ("page_id", "question_id")) -> DataFrame:
     """Answer of every request from ``responses(keys, text, error)``.
 
     A page without text gets the fixed answer; a failed or missing response gives an empty
-    answer with its error.
+    answer with its error. Of several responses to a request one counts: one without error
+    first, then the least text. Of a page only the length of its text meets the join: requests
+    may have it as ``content_length`` (see ``page_lengths``) in place of the text. Keys may be
+    null, and match null keys.
     """
-    answers = responses.select(*keys, F.col("text").alias("_answer"), F.col("error").alias("_error"))
-    joined = requests.join(answers, list(keys), "left")
-    blank = is_blank(text)
+    one = F.min(F.struct(
+        (F.col("error").isNotNull() | F.col("text").isNull()).alias("failed"), F.col("text").alias("_answer"), F.col("error").alias("_error")))
+    answers = responses.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(one.alias("_r")).select(*[f"_{k}" for k in keys], "_r._answer", "_r._error")
+    length = F.col("content_length") if "content_length" in requests.columns else _content_length(text, max_text)
+    narrow = requests.select(*keys, "question", length.alias("content_length"))
+    blank = F.col("content_length") == 0
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    joined = narrow.join(answers, same, "left")
     error = F.when(~blank & (F.col("_error").isNotNull() | F.col("_answer").isNull()),
                    F.coalesce("_error", F.lit("No response was recorded.")))
     return joined.withColumn("error_message", error).select(
@@ -83,7 +102,8 @@ def qa_answers(requests: DataFrame, responses: DataFrame, model: str, text: str
         F.when(blank, F.lit(NO_CONTENT)).when(F.col("error_message").isNotNull(), F.lit(""))
         .otherwise(strip("_answer")).alias("answer"),
         F.lit(model).alias("model"),
-        F.when(blank, 0).otherwise(F.length(model_text(text, max_text))).alias("content_length"),
+        "content_length",
         F.col("error_message").isNull().alias("success"),
         "error_message",
     )
+

@@ -38,6 +38,8 @@ def send_schedule(requests: DataFrame) -> DataFrame:
     ``delay_us`` is one value per domain. Running maximum over range partitions, then over one
     summary row per part, so that no task sorts a whole domain.
 
+    Requests without a domain are one domain, as every other value is.
+
     A range shuffle on (domain, arrival, id) cuts hot domains into parts of even size. The
     parts are written to the shared folder once, since both levels must see the same cut.
     Within a part the rank and maximum are local; a part's summary (row count, maximum)
@@ -62,6 +64,8 @@ def send_schedule(requests: DataFrame) -> DataFrame:
     )
     slack = F.col("_slack") - F.col("_skip") * F.col("delay_us")
     start = (F.col("_skip") + F.col("_rank")) * F.col("delay_us") + F.greatest(slack, F.col("_floor"))
-    return ranked.join(offsets, ["domain", "_part"]).withColumn("start_us", start).drop(
-        "_part", "_rank", "_slack", "_skip", "_floor"
+    offsets = offsets.select(F.col("domain").alias("_d"), F.col("_part").alias("_p"), "_skip", "_floor")
+    mine = F.col("domain").eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p"))
+    return ranked.join(offsets, mine).withColumn("start_us", start).drop(
+        "_part", "_rank", "_slack", "_skip", "_floor", "_d", "_p"
     )

@@ -8,7 +8,7 @@ from pageloom.operators.enforce import (
     enforce, enforce_each, extract_answers, json_records, normalize_records, parse_responses, records_json,
 )
 from pageloom.operators.prompts import (
-    EXTRACTION_RULES, NO_CONTENT, QA_RULES, ask_all, extraction_prompts, qa_answers, qa_prompts, qa_requests,
+    EXTRACTION_RULES, NO_CONTENT, QA_RULES, ask_all, extraction_prompts, page_lengths, qa_answers, qa_prompts, qa_requests,
 )
 from pageloom.operators.schemas import (
     preset_schema, registry, resolve_request, resolve_schema, map_schema, spec_schema, with_schema_files,
@@ -259,14 +259,15 @@ def prompts_for_questions(spark: SparkSession, folder: str) -> DataFrame:
 _BLANK = "CASE WHEN page_id % 7 = 0 THEN E' \\n\\t' ELSE clean_text END"
 
 
-def _requests(spark: SparkSession, folder: str) -> DataFrame:
+def _requests(spark: SparkSession, folder: str, facts=lambda texts: texts) -> DataFrame:
+    """Questions with the texts of their pages, or what ``facts`` makes of those."""
     texts = page_texts(spark, folder).select(
         "page_id", F.when(F.col("page_id") % 7 == 0, F.lit(" \n\t")).otherwise(F.col("clean_text")).alias("clean_text")
     )
     questions = table(spark, folder, "events").selectExpr(
         "user_id AS page_id", "event_id AS question_id", "concat('What is item ', event_id, '?') AS question"
     )
-    return qa_requests(texts, questions)
+    return qa_requests(facts(texts), questions)
 
 
 _REQUESTS_SQL = f"""{clean_text_sql()}, r AS (SELECT c.page_id, e.event_id AS question_id, 'What is item ' || e.event_id || '?' AS question,
@@ -294,4 +295,4 @@ def answers_to_questions(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN event_id % 10 <> 1 THEN concat(' It is ', event_id, '.\\n') END AS text",
         "CASE WHEN event_id % 10 = 1 THEN 'quota' END AS error",
     )
-    return qa_answers(_requests(spark, folder), responses, "any-model")
+    return qa_answers(_requests(spark, folder, page_lengths), responses, "any-model")

@@ -74,6 +74,7 @@ def test_records_and_errors(spark):
     failed = spark.createDataFrame([("b", "bad")], "url string, error string")
     assert [r.title for r in crawl_records(seen, records).orderBy("page_no").collect()] == ["Item 1", "Item 3"]
     assert [(r.page_no, r.error) for r in crawl_errors(seen, failed).collect()] == [(2, "bad")]
+    assert [(r.page_no, r.error) for r in crawl_errors(seen, failed.union(failed)).collect()] == [(2, "bad")]
 
 
 def test_pages_of_one_site(spark):

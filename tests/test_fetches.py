@@ -101,3 +101,10 @@ def test_small_schedule(spark):
     df = spark.createDataFrame(rows, "domain string, request_id bigint, arrival_us bigint, delay_us bigint")
     assert [r.start_us for r in send_schedule(df).orderBy("request_id").collect()] == [0, 1_000_000, 5_000_000, 6_000_000]
     assert send_schedule(df.limit(0)).count() == 0
+
+
+def test_attempts_with_one_number(spark):
+    rows = [("u", 1, 503, "HTTP 503"), ("u", 1, 429, "b"), ("u", 1, 429, "a"), ("v", 1, 503, "x"), ("v", 1, 404, "y"), ("v", 1, 200, None)]
+    attempts = spark.createDataFrame(rows, "url string, attempt int, status_code int, error_message string").repartition(4)
+    got = {r.url: (r.status_code, r.error_message) for r in resolve_retries(attempts, ["url"]).collect()}
+    assert got == {"u": (429, "a"), "v": (200, None)}

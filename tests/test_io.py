@@ -1,5 +1,8 @@
 import glob
 import json
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -87,11 +90,10 @@ def test_saved_nodes(spark, tmp_path):
 class _Session:
     """A session whose setting and master can be chosen."""
 
-    def __init__(self, spark, folder, master):
+    def __init__(self, spark, folder, master, context_folder=None):
         self.conf = {"spark.checkpoint.dir": folder}
-        self.sparkContext = SimpleNamespace(
-            master=master, getCheckpointDir=spark.sparkContext.getCheckpointDir, setCheckpointDir=spark.sparkContext.setCheckpointDir
-        )
+        get = spark.sparkContext.getCheckpointDir if context_folder is None else (lambda: context_folder or None)
+        self.sparkContext = SimpleNamespace(master=master, getCheckpointDir=get, setCheckpointDir=spark.sparkContext.setCheckpointDir)
 
 
 def test_shared_folder(spark):
@@ -99,5 +101,27 @@ def test_shared_folder(spark):
     assert local == spark.sparkContext.getCheckpointDir() == shared_dir(_Session(spark, "", "local[2]"))
     assert shared_dir(_Session(spark, "/shared/place", "yarn")) == "/shared/place"
     assert scratch_path(_Session(spark, "/shared/place", "yarn"), "x").startswith("/shared/place/x-")
+    # a folder that a job gave its context counts as a choice; on a cluster none is made up
+    assert shared_dir(_Session(spark, "", "yarn", "/given/place")) == "/given/place"
     with pytest.raises(ValueError):
-        shared_dir(_Session(spark, "", "yarn"))
+        shared_dir(_Session(spark, "", "yarn", ""))
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "pageloom.llm"])
+def test_other_queries_stay_without_the_corpus_operators(missing):
+    """A fresh interpreter in which one module can't be imported."""
+    code = f"""
+import sys
+class Block:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing!r} + "."):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Block())
+import __spark_entry__ as e
+names = set(e.queries())
+assert "page_links" in names and set(e.oracle_sql()) <= names
+assert not any(n.startswith("op") or n == "pipeline" for n in names), names
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

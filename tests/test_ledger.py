@@ -7,6 +7,7 @@ import pytest
 from pageloom.operators.ledger import (
     EVENT_SCHEMA, created_tasks, deleted_tasks, finish_events, get_task, ledger_state, list_tasks, start_events, task_view, with_liveness,
 )
+from pageloom.operators.schedule import send_schedule
 from pageloom.streaming.keyed import ledger_state_stream, send_schedule_stream
 from pageloom.streaming.run import run_available, stream_table
 
@@ -130,3 +131,25 @@ def test_stream_schedule_marks_late_requests(spark, tmp_path):
         time.sleep(1.1)  # files are taken by age
     got = run_available(send_schedule_stream(stream_table(spark, path, schema, files_per_batch=1)), "test-late").collect()
     assert {r.request_id: (r.start_us, r.late) for r in got} == {1: (100, False), 2: (300, False), 3: (310, True), 4: (400, False)}
+
+
+def test_events_without_a_task_id_are_kept(spark):
+    events = [event(1, None, "create"), event(2, "a", "create"), event(3, None, "create"), event(4, None, "delete"), event(5, None, "delete"), event(6, "a", "delete")]
+    made = created_tasks(frame(spark, events)).orderBy("seq").collect()
+    assert [(r.seq, r.accepted) for r in made] == [(1, True), (2, True), (3, False)]
+    assert [(r.seq, r.deleted) for r in deleted_tasks(frame(spark, events)).orderBy("seq").collect()] == [(4, True), (5, False), (6, True)]
+
+
+def test_a_seed_that_fails_twice_has_one_event(spark):
+    tasks = spark.createDataFrame([(1, "t1", "u", T0), (2, "t2", "v", T0)], "task_no bigint, task_id string, url string, at timestamp")
+    records = spark.createDataFrame([("v", 1, 0, "{}")], "seed string, page_no int, item_no int, record string")
+    failures = spark.createDataFrame([("u", "b"), ("u", "a"), ("u", None)], "seed string, error string")
+    got = {r.task_id: (r.status, r.records_count, r.error_message) for r in finish_events(tasks, records, failures).collect()}
+    assert got == {"t1": ("failed", 0, "a"), "t2": ("completed", 1, None)}
+    assert finish_events(tasks, records, failures).count() == 2
+
+
+def test_requests_without_a_domain_are_scheduled(spark):
+    rows = [(None, 1, 0, 10), (None, 2, 0, 10), ("a", 3, 0, 5), ("a", 4, 3, 5), (None, 5, 40, 10)]
+    got = send_schedule(spark.createDataFrame(rows, "domain string, request_id bigint, arrival_us bigint, delay_us bigint").repartition(3))
+    assert {r.request_id: r.start_us for r in got.collect()} == {1: 0, 2: 10, 3: 0, 4: 5, 5: 40}
