@@ -9,6 +9,7 @@ each value are packed, the rest is a bit vector with one 1 per value, and the pl
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import sys
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pageloom.llm.tables import saved
-from pageloom.llm.words import Hasher, Texts, text_chunks
+from pageloom.llm.words import Texts, text_chunks
 from pageloom.session import scratch_path, ship_by_value
 
 ship_by_value(__name__)
@@ -33,7 +34,7 @@ SAMPLE = 64
 FILE_IDS = 8 << 20
 END_ID = 0
 #: Distinct pieces of text whose ids a worker process remembers.
-MEMORY_PIECES = 1_500_000
+MEMORY_PIECES = 1_000_000
 LATIN_WORD = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
@@ -144,7 +145,8 @@ class Encoder:
     digits and punctuation (but for apostrophes). A text with other white space than ASCII's, with
     information separators or with a special token is one piece, and so is every text if the
     tokenizer isn't a byte-level BPE of that pattern. A piece of Latin letters, with a blank before
-    them at most, is one word of the pattern and goes to the library's BPE model directly.
+    them at most, is one word of the pattern and goes to the library's BPE model directly. Pieces
+    are remembered by their bytes, not by a hash of them.
     """
 
     def __init__(self, path: str) -> None:
@@ -153,7 +155,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.hasher = Hasher()
         kind = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 punctuation, 4 white space, 0 everything else
         kind[[*range(65, 91), *range(97, 123)]], kind[range(48, 58)], kind[[*range(9, 14), 32]] = 1, 2, 4
         kind[[b for b in range(33, 127) if not kind[b] and b != 39]] = 3
@@ -168,8 +169,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.flat, self.first, self.count = np.empty(0, self.type), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Remembered pieces: place of each by its bytes; places say where their ids are in ``flat``."""
+        self.place: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 16, self.type), 0
+        self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def whole(self, data: np.ndarray) -> np.ndarray:
         """Bytes that make their text one piece."""
@@ -214,49 +217,53 @@ class Encoder:
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their number for each text."""
         start = self.pieces(texts)
-        end = np.append(start[1:], len(texts.data))
-        sums = self.hasher.sums(texts.data.astype(np.uint16) + np.uint16(1))
-        h = self.hasher.slices(sums, start, end)
-        at = self.find(h)
-        if (at < 0).any():
-            if len(self.entry) > MEMORY_PIECES:
-                self.forget()
-                at[:] = -1
-            new = np.flatnonzero(at < 0)
-            _, which = np.unique(h[new], return_index=True)
-            self.learn(h[new[which]], texts.data, start[new[which]], end[new[which]])
-            at = self.find(h)
+        cuts = np.append(start, len(texts.data)).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(texts.data))]).dictionary_encode()
+        _, where, data = found.dictionary.buffers()
+        ends = np.frombuffer(where, np.int64, len(found.dictionary) + 1).tolist()
+        data = data.to_pybytes() if data else b""
+        distinct = [data[a:b] for a, b in zip(ends, ends[1:])]
+        if len(self.place) > MEMORY_PIECES:
+            self.forget()
+        at = np.array([self.place.get(p, -1) for p in distinct], np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.place) + np.arange(len(new))
+        self.learn([distinct[i] for i in new.tolist()])
+        at = at[found.indices.to_numpy()]
         count = self.count[at]
         total = np.cumsum(count)
         ids = self.flat[np.repeat(self.first[at] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
         row = np.searchsorted(texts.offsets, start, side="right") - 1
         return ids, np.bincount(row, weights=count, minlength=texts.rows).astype(np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.entry[at], -1)
-
-    def learn(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        raw = data.tobytes()
-        pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
+    def learn(self, new: list[bytes]) -> None:
+        """Remember pieces that aren't known, in their order."""
+        pieces = [p.decode("utf-8", "replace") for p in new]
         plain = [bool(self.cut and LATIN_WORD.fullmatch(p)) for p in pieces]
         whole = [p for p, one in zip(pieces, plain) if not one]
         encoded = (e.ids for a in range(0, len(whole), 4096) for e in self.tokenizer.encode_batch_fast(whole[a:a + 4096], add_special_tokens=False))
-        model, alphabet = self.tokenizer.model, self.alphabet
-        ids = [
-            np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(alphabet))] if one else next(encoded), self.type)
-            for p, one in zip(pieces, plain)
-        ]
-        count = np.array([len(i) for i in ids], np.int64)
-        self.entry = np.append(self.entry, len(self.first) + np.arange(len(h)))
-        self.first = np.append(self.first, len(self.flat) + np.cumsum(count) - count)
-        self.count = np.append(self.count, count)
-        self.flat = np.concatenate([self.flat, *ids])
-        hashes = np.append(self.hashes, h)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.entry = hashes[order], self.entry[order]
+        tokenize, alphabet, blank = self.tokenizer.model.tokenize, self.alphabet, chr(self.alphabet[32])
+        spelled = lambda p: p.replace(" ", blank) if p.isascii() else p.encode().decode("latin-1").translate(alphabet)
+        ids = [[t.id for t in tokenize(spelled(p))] if one else next(encoded) for p, one in zip(pieces, plain)]
+        n, k = len(self.place), len(new)
+        count = np.fromiter(map(len, ids), np.int64, k)
+        size = int(count.sum())
+        self.flat, self.first, self.count = _room(self.flat, self.used + size), _room(self.first, n + k), _room(self.count, n + k)
+        self.flat[self.used:self.used + size] = np.fromiter(itertools.chain.from_iterable(ids), self.type, size)
+        self.first[n:n + k] = self.used + np.cumsum(count) - count
+        self.count[n:n + k] = count
+        self.used += size
+        self.place.update(zip(new, range(n, n + k)))
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, doubled until it has ``n`` places."""
+    if n <= len(a):
+        return a
+    out = np.empty(max(n, 2 * len(a)), a.dtype)
+    out[:len(a)] = a
+    return out
 
 
 def encoder(path: str) -> Encoder:

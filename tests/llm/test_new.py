@@ -2,16 +2,21 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from pageloom.llm import phrases, quality, whitening
+from pageloom.llm import eliasfano, phrases, quality, whitening
+from pageloom.llm.words import text_chunks
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -232,3 +237,34 @@ def test_filter_knows_every_phrase(spark):
     run = phrases.Running(phrases.Texts(0, data, np.array([0, len(data)])), ["en"], phrases.Hasher())
     has = [phrases._has(bits, h)[:4 - k + 1].tolist() for k, _, h in run.lengths(4)]
     assert has == [[True, False, False, False], [True, False, False], [False, False], [True]]
+
+
+# token ids
+
+def opposite_words():
+    """Two words of 1,024 letters that many polynomial hashes modulo 2^64 can't tell apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_with_one_hash_have_their_own_ids(spark):
+    a, b = opposite_words()
+    texts = [a, b, f"{a} {b}", f"x {b}", a]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = sorted(eliasfano.token_digests(docs, TOKENIZER).collect(), key=lambda r: r.start)
+    library = eliasfano.Encoder(TOKENIZER).tokenizer
+    for r, text in zip(rows, texts):
+        ids = library.encode(text, add_special_tokens=False).ids + [0]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_a_full_memory_of_pieces_starts_again(monkeypatch):
+    monkeypatch.setattr(eliasfano, "MEMORY_PIECES", 50)
+    encode = eliasfano.Encoder(TOKENIZER)
+    rng = random.Random(2)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcé1,") for _ in range(4)) for _ in range(30)) for _ in range(3)]
+        for chunk in text_chunks(pa.array(texts)):
+            ids, counts = encode.encode(chunk)
+            for text, part in zip(texts[chunk.first_row:], np.split(ids, np.cumsum(counts)[:-1])):
+                assert part.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
