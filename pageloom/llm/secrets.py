@@ -1,9 +1,9 @@
 """Secrets in texts, with DataFrame functions only.
 
 Three fixed kinds are found by pattern. The fourth, ``entropy``, looks at every long string: a
-window slides over it, the counts of its characters are kept up to date as one enters and one
-leaves, and with them the sum of ``c * log2(c)``, from which the Shannon entropy of the window
-follows. Each class of characters has its own threshold, and a run of hex characters between separators
+window slides over it, and as one character enters and one leaves, the sum of ``c * log2(c)`` over
+the counts of characters is brought up to date from the counts of these two; the Shannon entropy
+of the window follows from it. Each class of characters has its own threshold, and a run of hex characters between separators
 has that of hex strings in whatever string it is; strings of the allow-list stay silent.
 """
 
@@ -31,7 +31,7 @@ CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9+/=]+$", 3.8), ("^[A-Za-z0-9_-]
 HEX_RUN = r"(?:(?<![A-Za-z0-9])(?<![0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-)(?=[0-9a-fA-F]{20,}(?![A-Za-z0-9]))|(?!^)\G)[0-9a-fA-F]"
 #: Strings that are never reported for their entropy: words joined by separators, and UUIDs.
 ALLOWED = (
-    r"^[-_/+=]*[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*$",
+    r"^[-_/+=]*[A-Za-z][-_/+=A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9=_/+-]+$",
 )
@@ -39,25 +39,45 @@ ALLOWED = (
 SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 
+#: Lengths summed one after the other; longer lists are summed block by block.
+_RUN = 256
+
+
 def _none() -> Column:
     return F.array().cast(SPANS)
 
 
+def _running(lengths: Column) -> Column:
+    """Sums of a list that isn't empty, up to and with each element: within blocks, from the sum of the blocks before."""
+
+    def sums(block: Column, first: Column) -> Column:
+        empty = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out"))
+        return F.aggregate(block, empty, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+        return let(sums(totals, F.lit(0)), lambda ends: F.flatten(
+            F.transform(blocks, lambda b, k: sums(b, F.coalesce(F.get(ends, k - 1), F.lit(0))))))
+
+    places = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int"))
+    return let(F.transform(places, lambda b: F.slice(lengths, b * _RUN + 1, F.lit(_RUN))), joined)
+
+
 def _places(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of the matches of a pattern: the texts between them say where they are."""
 
     def spans(gaps: Column) -> Column:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), hits, lambda g, h: F.struct(
+            F.char_length(g).alias("gap"), F.char_length(h).alias("hit")))
 
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.char_length(pair["gap"])
-            end = begin + F.char_length(pair["hit"])
-            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        def placed(pairs: Column) -> Column:
+            ends = let(F.transform(pairs, lambda p: p["gap"] + p["hit"]), _running)
+            return F.zip_with(pairs, ends, lambda p, end: F.struct(
+                (end - p["hit"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
 
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        found = let(sizes, placed)
         return F.when(F.size(gaps) < 2, _none()).otherwise(keep(found) if keep else found)
 
     return let(F.split(text, pattern, -1), spans)
@@ -81,34 +101,30 @@ def hot_window(string: Column, least: Column) -> Column:
     """``struct<first, last>``: starts of the first and last window whose entropy reaches its threshold, null if none does.
 
     The threshold is ``least``, that of the string's class, or that of hex strings for a window in a
-    hex run (``HEX_RUN``) with a letter in it: digits alone are mostly a number. ``counts`` holds the number
-    of each ASCII character in the window, ``hex`` and ``digits`` how many of a run and of digits came last.
+    hex run (``HEX_RUN``) with a letter in it: digits alone are mostly a number. ``hex`` and ``digits`` say
+    how many of a run and of digits came last.
     """
 
     def scan(codes: Column, runs: Column) -> Column:
-        empty = F.struct(
-            F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("hex"), F.lit(0).alias("digits"),
-            F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+        empty = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("hex"), F.lit(0).alias("digits"),
+                         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
         def step(acc: Column, i: Column) -> Column:
-            entering = F.get(codes, i)
-            leaving = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(-1))
-            counts = acc["counts"]
-            grown = F.get(counts, entering)
-            plus = _weight(grown + 1) - _weight(grown)
-            # the character that leaves is counted with the one that has just entered
-            going = F.get(counts, F.greatest(leaving, F.lit(0))) + (entering == leaving).cast("int")
-            minus = F.when(leaving >= 0, _weight(going) - _weight(going - 1)).otherwise(F.lit(0.0))
-            moved = F.transform(counts, lambda c, k: c + (k == entering).cast("int") - (k == leaving).cast("int"))
+            entering, full = F.get(codes, i), i >= WINDOW
+            # the characters of the window before, and the one that enters
+            near = F.slice(codes, F.greatest(i - WINDOW, F.lit(0)) + 1, F.least(i, F.lit(WINDOW)) + 1)
+            number = lambda code: F.size(F.filter(near, lambda c: c == code))
+            plus = let(number(entering), lambda n: _weight(n) - _weight(n - 1))
+            minus = F.when(full, let(number(F.get(codes, i - WINDOW)), lambda n: _weight(n) - _weight(n - 1))).otherwise(F.lit(0.0))
             digit = entering.between(ord("0"), ord("9"))
             in_hex = F.get(runs, i) == "!"
-            return F.struct(moved.alias("counts"), (acc["sum"] + plus - minus).alias("sum"),
+            return F.struct((acc["sum"] + plus - minus).alias("sum"),
                             F.when(in_hex, acc["hex"] + 1).otherwise(F.lit(0)).alias("hex"),
                             F.when(digit, acc["digits"] + 1).otherwise(F.lit(0)).alias("digits"), acc["first"].alias("first"), acc["last"].alias("last"), i.alias("i"))
 
         def judged(acc: Column, i: Column) -> Column:
             return let(step(acc, i), lambda now: F.struct(
-                now["counts"].alias("counts"), now["sum"].alias("sum"), now["hex"].alias("hex"), now["digits"].alias("digits"),
+                now["sum"].alias("sum"), now["hex"].alias("hex"), now["digits"].alias("digits"),
                 F.when(hot(now), F.coalesce(now["first"], now["i"] - (WINDOW - 1))).otherwise(now["first"]).alias("first"),
                 F.when(hot(now), now["i"] - (WINDOW - 1)).otherwise(now["last"]).alias("last")))
 
@@ -133,7 +149,8 @@ def _random(text: Column) -> Column:
         allowed = lambda s: F.array_contains(F.array(*[s.rlike(p) for p in ALLOWED]), True)
 
         def judged(span: Column, s: Column) -> Column:
-            return let(F.when(~allowed(s), hot_window(s, least(s))), lambda w: F.when(w.isNotNull(), F.struct(
+            mixed = let(least(s), lambda bits: hot_window(s, bits))
+            return let(F.when(~allowed(s), mixed), lambda w: F.when(w.isNotNull(), F.struct(
                 (span["start"] + w["first"]).alias("start"), F.lit(3).alias("kind"), (span["start"] + w["last"] + WINDOW).alias("end"))))
 
         return F.filter(F.zip_with(found, strings, judged), lambda s: s.isNotNull())
@@ -159,7 +176,7 @@ def written(spans: Column) -> Column:
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans)`` for each row of ``docs(doc_id, text)``.
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy)`` for each row of ``docs(doc_id, text)``.
 
     Null and empty texts have no spans; repeated rows each get their line; other columns aren't read.
     """
@@ -169,4 +186,4 @@ def secrets(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
 
     base = F.filter("found", lambda s: s["kind"] < 3)
-    return found.select("doc_id", *map(number, range(len(KINDS))), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(number, range(3)), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), number(3))

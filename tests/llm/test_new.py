@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from pageloom.llm import eliasfano, phrases, quality, whitening
+from pageloom.llm import eliasfano, phrases, quality, secrets, whitening
 from pageloom.llm.words import text_chunks
 from pyspark.sql import functions as F
 
@@ -268,3 +269,52 @@ def test_a_full_memory_of_pieces_starts_again(monkeypatch):
             ids, counts = encode.encode(chunk)
             for text, part in zip(texts[chunk.first_row:], np.split(ids, np.cumsum(counts)[:-1])):
                 assert part.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# secrets
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_places_of_many_matches(spark, n):
+    rng = random.Random(n)
+    text = "é ".join("x" * rng.randint(0, 9) + f"token=abcdefgh{rng.randint(0, 10 ** rng.randint(1, 9))}" for _ in range(n))
+    row = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    pattern = re.compile(r"""(?:token)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""")
+    want = [f"assign:{m.start()}:{m.end()}" for m in pattern.finditer(text)]
+    assert row.n_assign == n and [x for x in row.spans.split(",") if x.startswith("assign")] == want
+
+
+def test_columns_of_secrets_follow_the_contract(spark):
+    assert secrets.secrets(spark.createDataFrame([], "doc_id bigint, text string")).columns == [
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
+
+
+def entropies(string):
+    """Bits of each window, from scratch."""
+    out = []
+    for i in range(len(string) - secrets.WINDOW + 1):
+        counts = Counter(string[i:i + secrets.WINDOW]).values()
+        out.append(-sum(c / secrets.WINDOW * np.log2(c / secrets.WINDOW) for c in counts))
+    return out
+
+
+def test_windows_by_recounting(spark):
+    rng = random.Random(3)
+    strings = ["".join(rng.choice("GHIJKLMNOPQRSTUVWXYZ+/"[:rng.randint(2, 22)]) for _ in range(rng.randint(20, 60))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(strings)), "i int, s string").select("i", secrets.hot_window(F.col("s"), F.lit(3.3)).alias("w"))
+    got = {r.i: r.w and (r.w.first, r.w.last) for r in rows.collect()}
+    for i, s in enumerate(strings):
+        hot = [k for k, bits in enumerate(entropies(s)) if bits >= 3.3 - 1e-9]
+        assert got[i] == ((hot[0], hot[-1]) if hot else None), s
+    assert len({x is None for x in got.values()}) == 2
+
+
+def test_long_strings_take_linear_time(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(200_000)), "ab-" * 200_000, "%x" % rng.getrandbits(800_000),
+             " ".join(f"secret=abcdefgh{i}" for i in range(50_000))]
+    begin = time.time()
+    rows = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {r.doc_id: (r.n_assign, r.n_hex, r.n_entropy) for r in rows}
+    assert found == {0: (0, 0, 1), 1: (0, 0, 0), 2: (0, 1, 1), 3: (50_000, 0, 0)}
+    assert time.time() - begin < 60  # before: minutes for a string of 40,000
