@@ -22,9 +22,11 @@ LIST_LIMIT = 50
 SEQ_SPAN = 1_000_000
 
 
-def ledger_state(events: DataFrame, include_records: bool = True) -> DataFrame:
+def ledger_state(events: DataFrame, include_records: bool = True, with_seq: bool = False) -> DataFrame:
     """Current row of every live task; without records their column is not even read.
 
+    ``with_seq`` adds the numbers of the create and of the last update, NULL without one.
+
     After the last delete of a task, the first create begins its life; later creates are
     refused and updates before it hit nothing. The last update in that life overwrites
     status, count, records and error. Made of aggregates that combine before the shuffle,
@@ -52,6 +54,7 @@ def ledger_state(events: DataFrame, include_records: bool = True) -> DataFrame:
         F.when(changed, F.col("latest.error_message")).alias("error_message"),
         F.col("born.at").alias("created_at"),
         F.when(changed, F.col("latest.at")).otherwise(F.col("born.at")).alias("updated_at"),
+        *([F.col("born.seq").alias("born_seq"), F.when(changed, F.col("latest.seq")).alias("changed_seq")] if with_seq else []),
     )
 
 

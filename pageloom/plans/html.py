@@ -12,7 +12,9 @@ from pageloom.operators.extract import (
     extract_list, extract_single, page_links, record_counts, records_per_page, rule_rows,
 )
 from pageloom.plans.catalog import Catalog, table
+from pageloom.sources.pages import decode_files
 from pageloom.session import cut_lineage, scratch_path
+from pageloom.sinks.documents import write_csv_document, write_json_document
 from pageloom.sinks.export import (
     markdown_rows, preview_records, read_csv, union_records, write_csv, write_json, write_text,
 )
@@ -329,6 +331,52 @@ def export_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(records.schema).json(path)
 
 
+@html.query("export_json_document", r"""
+WITH r AS (SELECT event_id, user_id, event_type, event_id = max(event_id) OVER () AS last FROM events),
+l AS (SELECT unnest(['  {', '    "id": ' || event_id || ',', '    "type": ' || CASE WHEN event_id % 10 = 0 THEN 'null' ELSE '"é \"' || event_type || '\""' END || ',',
+    '    "tags": [', '      ' || user_id || ',', '      -1', '    ]', CASE WHEN last THEN '  }' ELSE '  },' END]) AS line FROM r)
+SELECT line FROM l UNION ALL SELECT unnest(['[', ']']) WHERE EXISTS (SELECT 1 FROM r)""")
+def export_json_document(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "events").select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_id") % 10 != 0, F.concat(F.lit('é "'), "event_type", F.lit('"'))).alias("type"),
+        F.array(F.col("user_id").cast("long"), F.lit(-1).cast("long")).alias("tags"),
+    )
+    path = scratch_path(spark, "json-document")
+    write_json_document(records, path, ["id"])
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@html.query("export_csv_document", r'''
+SELECT event_id || ',"""' || event_type || '"", x",' || CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 3 = 0 THEN 'True' ELSE 'False' END AS line FROM events
+UNION ALL SELECT 'id,type,flag' WHERE EXISTS (SELECT 1 FROM events)''')
+def export_csv_document(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit('"'), "event_type", F.lit('", x')).alias("type"),
+        F.when(F.col("event_id") % 10 != 0, F.col("event_id") % 3 == 0).alias("flag"),
+    )
+    path = scratch_path(spark, "csv-document")
+    write_csv_document(records, path, ["id"])
+    return spark.read.option("lineSep", "\r\n").text(path).withColumnRenamed("value", "line")
+
+
+# Pages as bytes in six forms; what a page says of its own charset is taken out, and one form says it anew.
+@html.query("page_charsets", """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'utf-16-be' WHEN 3 THEN 'cp1252' WHEN 4 THEN 'cp1252' ELSE 'utf-8' END AS charset,
+  CASE page_id % 6 WHEN 0 THEN 'bytes' WHEN 1 THEN 'mark' WHEN 2 THEN 'mark' WHEN 3 THEN 'meta' WHEN 4 THEN 'header' ELSE 'header' END AS found_by,
+  CASE WHEN page_id % 6 = 3 THEN '<meta charset="ISO-8859-1">' ELSE '' END || replace(html, '<meta charset="utf-8">', '') AS html FROM pages""")
+def page_charsets(spark: SparkSession, folder: str) -> DataFrame:
+    k, html_ = F.col("page_id") % 6, F.replace(F.col("html"), F.lit('<meta charset="utf-8">'), F.lit(""))
+    content = (
+        F.when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(html_, "UTF-8"))).when(k == 2, F.encode(html_, "UTF-16"))
+        .when(k == 3, F.encode(F.concat(F.lit('<meta charset="ISO-8859-1">'), html_), "ISO-8859-1"))
+        .when(k == 4, F.encode(html_, "ISO-8859-1")).otherwise(F.encode(html_, "UTF-8"))
+    )
+    pages = table(spark, folder, "pages")
+    headers = pages.select("url", F.when(k == 4, "text/html; charset=latin1").when(k == 5, "text/html;charset='UTF-8'").when(k == 0, "text/html; charset=none-such").alias("content_type"))
+    return decode_files(pages.select("page_id", "url", content.alias("content")), headers).drop("url")
+
+
 @html.query("export_csv_roundtrip", """
 SELECT doc_id, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN ' "' || lang || '", a\\b' END AS tag, text || E'\\n"q", ' AS text FROM documents""")
 def export_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,8 +9,10 @@ from pageloom.operators.enforce import normalize_records, parse_responses
 from pageloom.operators.ledger import (
     created_tasks, deleted_tasks, finish_events, get_task, ledger_state, list_tasks, start_events, task_view,
 )
+from pageloom.operators.snapshots import read_snapshot, save_snapshot
 from pageloom.plans.catalog import Catalog, table
 from pageloom.plans.crawls import ITEMS_SQL, answers
+from pageloom.session import scratch_path
 from pageloom.streaming.keyed import ledger_state_stream
 from pageloom.streaming.run import run_available, stream_table
 
@@ -67,6 +69,22 @@ def ledger_delete(spark: SparkSession, folder: str) -> DataFrame:
     return deleted_tasks(_ledger(spark, folder))
 
 
+@tasks.query("ledger_snapshot", _LEDGER_SQL + """
+SELECT task_id, status, url, records_count, records, error_message, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM state""")
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The state in three steps, each from the snapshot before and the events after it."""
+    events = _ledger(spark, folder)
+    last = events.agg(F.max("seq").alias("seq")).first().seq or 0
+    path = None
+    for share in (3, 2, 1):
+        path = save_snapshot(events.where(F.col("seq") <= last // share), scratch_path(spark, "snapshot"), path)
+    current, _ = read_snapshot(spark, path)
+    return current.select(
+        "task_id", "status", "url", "records_count", "records", "error_message",
+        F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"),
+    )
+
+
 @tasks.query("ledger_state", _LEDGER_SQL + """
 SELECT task_id, status, url, records_count, records, error_message, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM state""")
 def state(spark: SparkSession, folder: str) -> DataFrame:

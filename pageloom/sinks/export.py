@@ -56,7 +56,7 @@ def same_keys(parts: list[DataFrame]) -> DataFrame:
     return union_records(parts).select(*header)
 
 
-def _float_text(c: Column) -> Column:
+def float_text(c: Column) -> Column:
     """A float as 6.55, 10000000.0, 1e+16 or 2.5e-05: exponents from 1e16 up and below 1e-4."""
     shown, size = c.cast("string"), F.abs(c)
     mantissa = F.regexp_replace(F.regexp_extract(shown, "^([^E]*)", 1), r"\.0$", "")
@@ -80,7 +80,7 @@ def _cell(name: str, field: T.StructField) -> Column:
     if isinstance(field.dataType, T.BooleanType):
         text = F.when(c, "True").otherwise("False")
     elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        text = _float_text(c)
+        text = float_text(c)
     else:
         text = c.cast("string")
     shown = F.when(c.isNull(), F.lit("None")).otherwise(text)
