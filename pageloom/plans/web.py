@@ -14,8 +14,9 @@ from pageloom.operators.robots import effective_delay, robots_policy, robots_rul
 from pageloom.operators.safety import check_urls
 from pageloom.operators.schedule import send_schedule
 from pageloom.plans.catalog import Catalog, table
+from pageloom.session import scratch_path
 from pageloom.sources.pages import read_pages, stream_pages
-from pageloom.streaming.keyed import send_schedule_stream
+from pageloom.streaming.keyed import send_schedule_in_order, send_schedule_stream
 from pageloom.streaming.run import run_available, stream_table
 
 web = Catalog()
@@ -393,6 +394,17 @@ def schedule_stream(spark: SparkSession, folder: str) -> DataFrame:
     return run_available(send_schedule_stream(_requests(events)), "send-times")
 
 
+@web.query("send_schedule_in_order", _SCHEDULE)
+def schedule_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The events, then one request without a domain from far ahead that lets the last ones go."""
+    events = table(spark, folder, "events")
+    closing = scratch_path(spark, "closing")
+    last = events.limit(1).withColumn("user_id", F.lit(None).cast(events.schema["user_id"].dataType)).withColumn(
+        "ts", F.lit("2200-01-01 00:00:00").cast(events.schema["ts"].dataType))
+    stream = stream_table(spark, f"{folder}/events.parquet*", events.schema).union(stream_table(spark, closing + "*", events.schema))
+    return run_available(send_schedule_in_order(_requests(stream), "1 day"), "ordered-times", lambda: last.write.parquet(closing))
+
+
 # retries
 
 _ATTEMPTS_SQL = """

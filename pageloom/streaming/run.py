@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.session import DEFAULTS, scratch_path
@@ -24,19 +26,27 @@ def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int |
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, close: Callable[[], None] | None = None) -> DataFrame:
     """Process all available input once, then read the result back.
 
-    Output and stream checkpoint go to the shared folder. Keyed state needs the RocksDB
-    provider, which is set for the session.
+    ``close`` adds the last input, such as a row that moves the watermark past all others; the
+    stream then goes on from its checkpoint. Output and stream checkpoint go to the shared
+    folder. Keyed state needs the RocksDB provider, which is set for the session.
     """
     spark = stream.sparkSession
     spark.conf.set(STATE_PROVIDER, DEFAULTS[STATE_PROVIDER])
     out = scratch_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", out + "-state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", out + "-state")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run()
+    if close:
+        close()
+        run()
     return spark.read.schema(stream.schema).parquet(out)

@@ -1,6 +1,7 @@
 import datetime
 import random
 import time
+from collections import Counter
 
 import pytest
 
@@ -8,7 +9,7 @@ from pageloom.operators.ledger import (
     EVENT_SCHEMA, created_tasks, deleted_tasks, finish_events, get_task, ledger_state, list_tasks, start_events, task_view, with_liveness,
 )
 from pageloom.operators.schedule import send_schedule
-from pageloom.streaming.keyed import ledger_state_stream, send_schedule_stream
+from pageloom.streaming.keyed import ledger_state_stream, send_schedule_in_order, send_schedule_stream
 from pageloom.streaming.run import run_available, stream_table
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -133,6 +134,32 @@ def test_stream_schedule_marks_late_requests(spark, tmp_path):
     assert {r.request_id: (r.start_us, r.late) for r in got} == {1: (100, False), 2: (300, False), 3: (310, True), 4: (400, False)}
 
 
+def test_ordered_stream_of_shuffled_files_equals_the_batch(spark, tmp_path):
+    """Files newest first, ties, a hot domain and one without a name: the times of the batch form; what is older than the wait is dropped."""
+    rng = random.Random(12)
+    second = 1_000_000
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), i, (i // 2 + 1) * second + rng.choice([0, 0, 7]), 2 * second) for i in range(400)]
+    schema = "domain string, request_id bigint, arrival_us bigint, delay_us bigint"
+    path = str(tmp_path / "requests")
+
+    def write(part):
+        time.sleep(1.1)  # files are taken by age
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+
+    for k in (2, 0, 3, 1):  # by hundreds
+        write(rows[k * 100:(k + 1) * 100])
+
+    def close():
+        write([("end", 1000, 10 ** 6 * second, 2 * second)])
+        write([("a", 1001, 300 * second, second)])
+
+    stream = send_schedule_in_order(stream_table(spark, path, schema, files_per_batch=1), "1 hour")
+    got = run_available(stream, "test-ordered", close).collect()
+    want = send_schedule(spark.createDataFrame(rows, schema)).collect()
+    # 1000 waits for a newer request, 1001 is older than the wait allows
+    assert Counter((r.domain, r.request_id, r.start_us) for r in got) == Counter((r.domain, r.request_id, r.start_us) for r in want)
+
+
 def test_events_without_a_task_id_are_kept(spark):
     events = [event(1, None, "create"), event(2, "a", "create"), event(3, None, "create"), event(4, None, "delete"), event(5, None, "delete"), event(6, "a", "delete")]
     made = created_tasks(frame(spark, events)).orderBy("seq").collect()
