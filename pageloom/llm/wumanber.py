@@ -26,7 +26,7 @@ STRETCH = 64
 #: Bytes of item text whose windows are searched in one pass (their tables go to every task); more items take more passes.
 PASS_BYTES = 16 << 20
 
-HITS = "struct<n_words: bigint, covered: array<int>, items: array<bigint>>"
+HITS = "struct<n_words: bigint, covered: array<int>, items: array<string>>"
 
 
 class Patterns:
@@ -89,7 +89,7 @@ class Patterns:
             cut = stop
 
 
-def item_patterns(items: list[tuple[int | None, str | None]]) -> list[Patterns]:
+def item_patterns(items: list[tuple[str | None, str | None]]) -> list[Patterns]:
     """Test strings of benchmark items, one group per window length."""
     by_length: dict[int, dict] = {}
     table, hasher = plain_words(), Hasher()
@@ -137,7 +137,7 @@ def search(texts: Texts, table: np.ndarray, hasher: Hasher, groups: list[Pattern
                 row += 1
     return pa.StructArray.from_arrays(
         [pa.array(counts, pa.int64()), pa.array(covered, pa.list_(pa.int32())),
-         pa.array([sorted(f) for f in found], pa.list_(pa.int64()))], ["n_words", "covered", "items"])
+         pa.array([sorted(f) for f in found], pa.list_(pa.string()))], ["n_words", "covered", "items"])
 
 
 def _searcher(spark: SparkSession, items: list):
@@ -153,7 +153,7 @@ def _searcher(spark: SparkSession, items: list):
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """Add ``n_words, n_hit, n_items, items_sha256, contaminated`` to each row of ``docs``.
 
-    ``items(item_id, text)`` are the benchmark. Words are lower-cased digits, a-z and anything
+    ``items(item_id, text)`` are the benchmark, ids of any type that has a text. Words are lower-cased digits, a-z and anything
     beyond ASCII; a document word inside an occurrence of a window is hit. Null and empty texts
     have no words; items without words match nothing; an item without an id marks words but
     isn't listed; repeated items count once. Columns of ``docs`` with the names of the results
@@ -161,7 +161,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     ``PASS_BYTES`` of item text each, all in one stage over the documents.
     """
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
+    items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text is not null")
     # a pass is named by a hash of the item, so that items are split evenly and none is left out
     bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-2 * bytes_ // PASS_BYTES)) if bytes_ > PASS_BYTES else 1
@@ -184,7 +184,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
         "n_words": F.col("_hits_0.n_words"),
         "n_hit": ends,
         "n_items": F.size("_found.items").cast("bigint"),
-        "items_sha256": F.sha2(F.array_join(F.array_sort(F.transform("_found.items", lambda x: x.cast("string"))), ","), 256),
+        "items_sha256": F.sha2(F.array_join(F.array_sort("_found.items"), ","), 256),
         "contaminated": F.size(c) > 0,
     }
     return out.select(*[f"`{c}`" for c in docs.columns if c not in results], *[v.alias(k) for k, v in results.items()])

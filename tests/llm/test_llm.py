@@ -129,6 +129,14 @@ def test_components(spark):
     assert got == {i: root(i) for i in {x for link in links for x in link}}
 
 
+def test_items_named_by_texts(spark):
+    docs = docs_of(spark, ["x a b c", "d", "c"])
+    items = spark.createDataFrame([("z/2", "A b"), ("Z/10", "b c"), ("", "d"), (None, "c")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in wumanber.contamination(docs, items).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {0: (3, 2, sha("Z/10,z/2")), 1: (1, 1, sha("")), 2: (1, 0, sha(""))}
+
+
 @pytest.mark.parametrize("pass_bytes", [1 << 24, 200])
 def test_contamination(spark, monkeypatch, pass_bytes):
     monkeypatch.setattr(wumanber, "PASS_BYTES", pass_bytes)
