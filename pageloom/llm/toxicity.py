@@ -132,7 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Severity:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     At most about ``SAMPLE_DOCS`` labelled documents are read, toxic ones first; a document with
-    several labels counts as toxic if one says so. Without toxic or without other documents the
+    several labels counts as toxic if one says so, and of several rows of an id the least text is
+    read. Without toxic or without other documents the
     model gives 0 to every text.
     """
     known = saved(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
@@ -143,8 +144,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Severity:
     toxic = min(sizes[True], SAMPLE_DOCS // 2)
     share = F.when(F.col("toxic"), F.lit(toxic / sizes[True])).otherwise(F.lit(min(1.0, (SAMPLE_DOCS - toxic) / sizes[False])))
     sample = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    # bounded by SAMPLE_DOCS ids: the documents' texts stay where they are
-    chosen = saved(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id"), "labelled")
+    # bounded by SAMPLE_DOCS ids: the documents' texts stay where they are, and repeated ids are one row
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    chosen = saved(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "labelled")
     n = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Severity(np.empty(0, np.uint64), np.empty(0), np.empty(0), 0.5)

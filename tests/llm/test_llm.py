@@ -425,6 +425,18 @@ def test_toxicity(spark):
     assert not any(r.toxic for r in toxicity.severities(docs, labels.limit(0)).collect())
 
 
+def test_severity_of_repeated_documents(spark):
+    """A document that is repeated thousands of times under one id counts once."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(("vile", "rotten", "scum") if i % 2 else ("calm", "mild", "kind")) for _ in range(8)) + f" w{i}", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] * 2, "doc_id bigint, toxic int").withColumn("text", F.lit("clash"))
+    again = docs.where("doc_id = 3").select("doc_id", F.explode(F.array_repeat("text", 5000)).alias("text"))
+    one, many = toxicity.learn(docs, labels), toxicity.learn(docs.union(again), labels)
+    assert len(one.hashes) and one.cut == many.cut and np.array_equal(one.hashes, many.hashes)
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.thresholds, many.thresholds)
+
+
 def test_ordinal_thresholds_share_weights():
     random_ = np.random.default_rng(0)
     grade = random_.integers(0, 4, 2000)
