@@ -163,6 +163,27 @@ def test_worker_code_needs_no_package(spark):
     assert with_dom(spark.createDataFrame([(1, "<p>")], "page_id int, html string")).count() == 1
 
 
+def test_a_batch_is_handed_on_in_small_runs_of_pages(spark):
+    """What a worker holds must not grow with the pages of a batch, or with their bytes."""
+    import pyarrow as pa
+    from pageloom.operators import dom
+
+    small = [f"<p>{i}</p>" for i in range(1000)]
+    large = ["<p>" + "x" * 700_000 + "</p>"] * 3
+    html = pa.array([*small, None, *large, "<p>end"])
+    runs = list(dom._read_batch(html))
+    assert sum(map(len, runs)) == len(html) and max(map(len, runs)) == 128
+    assert all(sum(len(x["s"]) for page in run.to_pylist() for x in page["txt"]) < 1 << 20 for run in runs)
+    assert pa.concat_arrays(runs).to_pylist() == dom._read_pages(html.to_pylist()).to_pylist()
+    assert list(dom._read_batch(html.slice(0, 0))) == []
+
+    pages = spark.createDataFrame(list(enumerate(html.to_pylist())), "page_id int, html string").coalesce(1)
+    both = with_dom(with_dom(pages), dom="again")
+    rows = both.select("page_id", clean_text("dom").alias("x"), clean_text("again").alias("y")).collect()
+    assert [(r.page_id, r.x) for r in rows[:1000]] == [(i, str(i)) for i in range(1000)] and rows[-1].x == "end"
+    assert all(r.x == r.y for r in rows) and len(with_dom(pages).take(3)) == 3
+
+
 # selectors by brute force over random trees
 
 TAGS = ["div", "p", "b", "i"]
