@@ -9,10 +9,16 @@ not, and takes every phrase it counts as frequent where longer ones are decided.
 counted by the full pass, so by induction over its length no frequent phrase is missed after
 that, whatever the sample proposed: the set is closed.
 
+Most phrases of the border are rare, so the full pass reads the texts twice. At first phrases are
+hashed to places, and only how often each place occurs is shuffled, two or three bytes a phrase. A
+phrase can't be frequent if all phrases of its place together are not, and only the others are
+spelled out and counted.
+
 What tasks know of a proposal is one bit per hashed phrase in a table of at most ``1 << MOST_BITS``
-bits, whatever the input's size. Phrases that share a bit with a proposed one are counted for
-nothing; no result depends on a hash. Phrases themselves are told apart by their words, and counted
-within a task before they are shuffled.
+bits, whatever the input's size, and so is what they know of frequent places. Phrases that share a
+bit with a proposed one, or a place with others, are counted for nothing; no result depends on a
+hash. Phrases themselves are told apart by their words, and counted within a task before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -47,6 +53,8 @@ NO_LANGUAGE = "und"
 _BUCKET = 15  # bits of a place within one bitmap of 4 KB
 _RANKED = 50_000  # phrases ranked within one task
 _CHUNK = 1 << 20  # bytes of text counted at once, or one text
+_PLACE_TEXT = 64  # bytes of text for each place that phrases are hashed to, so that few rare ones share a frequent place
+_HELD = 1 << 21  # hashed phrases of a task that are counted at once
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD = byte_table(lambda b: b not in b" \t" + _PIECE_ENDS)
@@ -102,14 +110,16 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _wanted(run: Running, lengths: range, known: np.ndarray | None, before: np.ndarray | None, sure: int) -> list[np.ndarray]:
-    """For each length the words at which a phrase starts that is to be counted.
+def _wanted(
+    run: Running, lengths: range, known: np.ndarray | None, before: np.ndarray | None, sure: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the words at which a phrase starts that is to be counted, and the hashes of these phrases.
 
     Without ``known`` these are all words alone. With it, also longer phrases whose first part and
     rest are known, but not both in ``before``. ``known`` has phrases of up to ``sure`` words; of
     longer ones, and beside ``before``, those that are counted are taken as known.
     """
-    out: list[np.ndarray] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for k, whole, h in run.lengths(lengths.stop - 1):
         if k == 1:
             take = whole if before is None else np.zeros(len(whole), np.bool_)
@@ -122,56 +132,127 @@ def _wanted(run: Running, lengths: range, known: np.ndarray | None, before: np.n
             ok = whole & _has(known, h) if k <= sure else take
             if before is not None:
                 old, ok = whole & _has(before, h), ok | take
-        out.append(np.flatnonzero(take) if k in lengths else np.empty(0, np.int64))
+        at = np.flatnonzero(take) if k in lengths else np.empty(0, np.int64)
+        out.append((at, h[at]))
     return out
 
 
-def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int = LONGEST) -> DataFrame:
+def _read(table) -> np.ndarray | None:
+    """The bits of a broadcast table, if there is one."""
+    return None if table is None else np.frombuffer(table.value, np.uint8)
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[Running]:
+    """The texts of batches ``(lang, text)`` by bounded runs; runs without words are left out."""
+    hasher = Hasher()
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for texts in text_chunks(batch.column(1), _CHUNK):
+            words = Running(texts, langs[texts.first_row:texts.first_row + texts.rows], hasher)
+            if len(words.start):
+                yield words
+
+
+def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int = LONGEST, often=None) -> DataFrame:
     """``(lang, phrase, f, k)``: occurrences of the phrases to be counted in ``docs(lang, text)``, of some lengths.
 
     ``k`` is the number of words; the row with k = 0 has the number of all words of the language.
+    With ``often`` only the phrases at its places are counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        read = lambda b: None if b is None else np.frombuffer(b.value, np.uint8)
-        tables = read(known), read(before)
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for texts in text_chunks(batch.column(1), _CHUNK):
-                words = Running(texts, langs[texts.first_row:texts.first_row + texts.rows], hasher)
-                if not len(words.start):
+        tables, kept = (_read(known), _read(before)), _read(often)
+        for words in _running(batches):
+            names = pa.array(words.names, pa.string())
+
+            def rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(f)], ["lang", "phrase", "f"])
+
+            if 1 in lengths and before is None:
+                n = np.bincount(words.lang, minlength=len(names))
+                yield rows(np.arange(len(n)), pa.array([""] * len(n)), n.astype(np.int64))
+            wanted = [at if kept is None else at[_has(kept, h)] for at, h in _wanted(words, lengths, *tables, sure)]
+            if not any(len(at) for at in wanted):
+                continue
+            code, spelled = words.words()
+            code = code.astype(np.int64)
+            for k, at in enumerate(wanted, 1):
+                if not len(at):
                     continue
-                names = pa.array(words.names, pa.string())
-
-                def rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(f)], ["lang", "phrase", "f"])
-
-                if 1 in lengths and before is None:
-                    n = np.bincount(words.lang, minlength=len(names))
-                    yield rows(np.arange(len(n)), pa.array([""] * len(n)), n.astype(np.int64))
-                wanted = _wanted(words, lengths, *tables, sure)
-                if not any(len(at) for at in wanted):
-                    continue
-                code, spelled = words.words()
-                code = code.astype(np.int64)
-                for k, at in enumerate(wanted, 1):
-                    if not len(at):
-                        continue
-                    # equal phrases get equal numbers, word by word; numbers stay below the phrases times the words
-                    key = words.lang[at]
-                    for j in range(k):
-                        _, first, key, f = np.unique(
-                            key * len(spelled) + code[at + j], return_index=True, return_inverse=True, return_counts=True)
-                    found = at[first]
-                    phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(code[found + j])) for j in range(k)], pa.scalar(" ", pa.large_string()))
-                    yield rows(words.lang[found], phrase, f.astype(np.int64))
+                # equal phrases get equal numbers, word by word; numbers stay below the phrases times the words
+                key = words.lang[at]
+                for j in range(k):
+                    _, first, key, f = np.unique(
+                        key * len(spelled) + code[at + j], return_index=True, return_inverse=True, return_counts=True)
+                found = at[first]
+                phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(code[found + j])) for j in range(k)], pa.scalar(" ", pa.large_string()))
+                yield rows(words.lang[found], phrase, f.astype(np.int64))
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f bigint")
+    if often is None:
+        # runs of text have combined their rows already; dealt by phrase first, the many rare ones need no second table in the same task
+        counted = counted.repartition("lang", "phrase")
     k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    # tasks have combined their rows already; dealt by phrase first, rows need no second table of phrases in the same task
-    return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("k", k)
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("k", k)
+
+
+def _bits_of(places: DataFrame, size: int) -> bytes:
+    """A table of ``1 << size`` bits in which those of ``places(place)`` are set."""
+    maps = places.groupBy(F.shiftright("place", _BUCKET).alias("at")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << _BUCKET) - 1)).alias("bits"))
+    part = 1 << (_BUCKET - 3)
+    out = bytearray(1 << (size - 3))
+    for r in maps.collect():
+        out[r.at * part:(r.at + 1) * part] = r.bits
+    return bytes(out)
+
+
+def _often(docs: DataFrame, lengths: range, least: int, known) -> bytes:
+    """Bits of the places that the phrases to be counted in ``docs(lang, text)`` have ``least`` times together, or more.
+
+    Each phrase that is so frequent itself has such a place. There are places in proportion to the
+    text, and so many to a group that a group stays small, whatever the input's size.
+    """
+    size = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    bits = min(max((size // _PLACE_TEXT).bit_length(), LEAST_BITS), 48)
+    low = min(16, bits - 10)  # a place within its group
+    kind = np.min_scalar_type(max(least, 1))
+
+    def grouped(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        place, f = np.unique(np.concatenate(held), return_counts=True)
+        group = place >> low
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = np.append(first, len(place))
+        cut = lambda a: pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(first), [None, pa.py_buffer(ends * a.itemsize), pa.py_buffer(a)]).cast(pa.binary())
+        # a count that is enough alone needs no more
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(group[first]), cut((place & ((1 << low) - 1)).astype(np.uint16)), cut(np.minimum(f, least).astype(kind))],
+            ["group", "places", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, n = _read(known), [], 0
+        for words in _running(batches):
+            for at, h in _wanted(words, lengths, table, None, LONGEST):
+                held.append(_place(h, bits))
+                n += len(at)
+            if n >= _HELD:
+                yield from grouped(held)
+                held, n = [], 0
+        if n:
+            yield from grouped(held)
+
+    def enough(key: tuple, table: pa.Table) -> pa.Table:
+        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        # sums of whole numbers far below 2^53
+        total = np.bincount(joined("places", np.uint16), joined("counts", kind), 1 << low)
+        return pa.table({"place": (key[0].as_py() << low) + np.flatnonzero(total >= least)})
+
+    hashed = docs.select("lang", "text").mapInArrow(run, "group bigint, places binary, counts binary")
+    places = saved(hashed.groupBy("group").applyInArrow(enough, "place bigint"), "places")
+    table = min(max((64 * places.count()).bit_length(), LEAST_BITS), bits, MOST_BITS)
+    return _bits_of(places.select(F.shiftright("place", bits - table).alias("place")), table)
 
 
 def _table_of(phrases: DataFrame) -> bytes:
@@ -192,14 +273,7 @@ def _table_of(phrases: DataFrame) -> bytes:
                     out[mine] = _place(h[first[mine]], size)
                 yield pa.RecordBatch.from_arrays([pa.array(out)], ["place"])
 
-    places = phrases.select("lang", "phrase").mapInArrow(run, "place bigint")
-    maps = places.groupBy(F.shiftright("place", _BUCKET).alias("at")).agg(
-        F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << _BUCKET) - 1)).alias("bits"))
-    part = 1 << (_BUCKET - 3)
-    out = bytearray(1 << (size - 3))
-    for r in maps.collect():
-        out[r.at * part:(r.at + 1) * part] = r.bits
-    return bytes(out)
+    return _bits_of(phrases.select("lang", "phrase").mapInArrow(run, "place bigint"), size)
 
 
 def _proposal(docs: DataFrame, longest: int, least: int, share: int) -> DataFrame:
@@ -228,7 +302,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     proposed = _proposal(docs, longest, least, share)
     first = context.broadcast(_table_of(proposed))
     enough, lengths = (F.col("f") >= least) | (F.col("k") == 0), range(1, longest + 1)
-    found = saved(_counts(docs, lengths, first).where(enough), "frequent")
+    often = context.broadcast(_often(docs, lengths, least, first))
+    found = saved(_counts(docs, lengths, first, often=often).where(enough), "frequent")
     # a phrase of the greatest length leads to no other
     leading = found.where(F.col("k").between(1, longest - 1))
     if leading.join(proposed, ["lang", "phrase"], "left_anti").isEmpty():

@@ -240,6 +240,41 @@ def test_filter_knows_every_phrase(spark):
     assert has == [[True, False, False, False], [True, False, False], [False, False], [True]]
 
 
+def test_rare_phrases_are_not_spelled_out(spark, monkeypatch):
+    rows = [(i, " ".join(f"r{i}x{j}" for j in range(200)) + ". The usual end of it", "en") for i in range(60)]
+    docs, plain, counted = spark.createDataFrame(rows, DOC).repartition(3), phrases._counts, []
+
+    def counts(table, *a, **b):
+        out = plain(table, *a, **b)
+        if table is docs:
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(phrases, "_counts", counts)
+    found = {(r.phrase, r.f) for r in phrases.frequent_phrases(docs, 20).collect()}
+    words = "the usual end of it".split()
+    assert found == {("", 60 * 205)} | {(" ".join(words[i:j]), 60) for i in range(5) for j in range(i + 1, 6)}
+    assert counted and max(counted) < 100  # of 12,000 rare words
+
+
+@pytest.mark.parametrize("least, held", [(6, 1 << 21), (6, 10), (300, 40)])
+def test_places_hold_every_frequent_phrase(spark, monkeypatch, least, held):
+    monkeypatch.setattr(phrases, "_HELD", held)
+    monkeypatch.setattr(phrases, "_CHUNK", 200)
+    rows = [(f"rare{i} word{i % 20}", "en") for i in range(120)] + [("much " * 299, "en"), ("much", "en"), ("much " * 299, "fr")]
+    bits = phrases._often(spark.createDataFrame(rows, "text string, lang string").repartition(3), range(1, 2), least, None)
+    bits = np.frombuffer(bits, np.uint8)
+
+    def has(word, lang):
+        data = np.frombuffer(word.encode(), np.uint8)
+        run = phrases.Running(phrases.Texts(0, data, np.array([0, len(data)])), [lang], phrases.Hasher())
+        return bool(phrases._has(bits, next(run.lengths(1))[2])[0])
+
+    assert has("much", "en") and has("much", "fr") == (least < 300)
+    assert [has(f"word{i}", "en") for i in range(20)] == [least == 6] * 20
+    assert sum(has(f"rare{i}", "en") for i in range(120)) < 10
+
+
 # token ids
 
 def opposite_words():
