@@ -9,7 +9,7 @@ not, and takes every phrase it counts as frequent where longer ones are decided.
 counted by the full pass, so by induction over its length no frequent phrase is missed after
 that, whatever the sample proposed: the set is closed.
 
-Most phrases of the border are rare, so the full pass reads the texts twice. At first phrases are
+Most phrases of the border are rare, so each pass reads its texts twice. At first phrases are
 hashed to places, and only how often each place occurs is shuffled, two or three bytes a phrase. A
 phrase can't be frequent if all phrases of its place together are not, and only the others are
 spelled out and counted.
@@ -53,7 +53,7 @@ NO_LANGUAGE = "und"
 _BUCKET = 15  # bits of a place within one bitmap of 4 KB
 _RANKED = 50_000  # phrases ranked within one task
 _CHUNK = 1 << 20  # bytes of text counted at once, or one text
-_PLACE_TEXT = 64  # bytes of text for each place that phrases are hashed to, so that few rare ones share a frequent place
+_PLACES = 1.5  # places that phrases are hashed to, for as many bytes of text as a frequent one has occurrences; so few rare ones share a frequent place
 _HELD = 1 << 21  # hashed phrases of a task that are counted at once
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -153,11 +153,10 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[Running]:
                 yield words
 
 
-def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int = LONGEST, often=None) -> DataFrame:
-    """``(lang, phrase, f, k)``: occurrences of the phrases to be counted in ``docs(lang, text)``, of some lengths.
+def _counts(docs: DataFrame, lengths: range, often, known=None, before=None, sure: int = LONGEST) -> DataFrame:
+    """``(lang, phrase, f, k)``: occurrences of the phrases to be counted in ``docs(lang, text)``, of some lengths, at the places ``often``.
 
     ``k`` is the number of words; the row with k = 0 has the number of all words of the language.
-    With ``often`` only the phrases at its places are counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +171,7 @@ def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int
             if 1 in lengths and before is None:
                 n = np.bincount(words.lang, minlength=len(names))
                 yield rows(np.arange(len(n)), pa.array([""] * len(n)), n.astype(np.int64))
-            wanted = [at if kept is None else at[_has(kept, h)] for at, h in _wanted(words, lengths, *tables, sure)]
+            wanted = [at[_has(kept, h)] for at, h in _wanted(words, lengths, *tables, sure)]
             if not any(len(at) for at in wanted):
                 continue
             code, spelled = words.words()
@@ -190,9 +189,6 @@ def _counts(docs: DataFrame, lengths: range, known=None, before=None, sure: int
                 yield rows(words.lang[found], phrase, f.astype(np.int64))
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f bigint")
-    if often is None:
-        # runs of text have combined their rows already; dealt by phrase first, the many rare ones need no second table in the same task
-        counted = counted.repartition("lang", "phrase")
     k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("k", k)
 
@@ -208,14 +204,14 @@ def _bits_of(places: DataFrame, size: int) -> bytes:
     return bytes(out)
 
 
-def _often(docs: DataFrame, lengths: range, least: int, known) -> bytes:
+def _often(docs: DataFrame, lengths: range, least: int, known=None, before=None, sure: int = LONGEST) -> bytes:
     """Bits of the places that the phrases to be counted in ``docs(lang, text)`` have ``least`` times together, or more.
 
     Each phrase that is so frequent itself has such a place. There are places in proportion to the
     text, and so many to a group that a group stays small, whatever the input's size.
     """
     size = int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
-    bits = min(max((size // _PLACE_TEXT).bit_length(), LEAST_BITS), 48)
+    bits = min(max(int(_PLACES * size / max(least, 1)).bit_length(), LEAST_BITS), 48)
     low = min(16, bits - 10)  # a place within its group
     kind = np.min_scalar_type(max(least, 1))
 
@@ -232,9 +228,9 @@ def _often(docs: DataFrame, lengths: range, least: int, known) -> bytes:
             ["group", "places", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, n = _read(known), [], 0
+        tables, held, n = (_read(known), _read(before)), [], 0
         for words in _running(batches):
-            for at, h in _wanted(words, lengths, table, None, LONGEST):
+            for at, h in _wanted(words, lengths, *tables, sure):
                 held.append(_place(h, bits))
                 n += len(at)
             if n >= _HELD:
@@ -255,6 +251,15 @@ def _often(docs: DataFrame, lengths: range, least: int, known) -> bytes:
     return _bits_of(places.select(F.shiftright("place", bits - table).alias("place")), table)
 
 
+def _frequent(docs: DataFrame, lengths: range, least: int, name: str, known=None, before=None, sure: int = LONGEST) -> DataFrame:
+    """Rows of ``_counts`` with ``f >= least``, and those with k = 0."""
+    often = docs.sparkSession.sparkContext.broadcast(_often(docs, lengths, least, known, before, sure))
+    counted = _counts(docs, lengths, often, known, before, sure)
+    out = saved(counted.where((F.col("f") >= least) | (F.col("k") == 0)), name)
+    often.destroy()
+    return out
+
+
 def _table_of(phrases: DataFrame) -> bytes:
     """Bits of the places of ``phrases(lang, phrase)``."""
     size = min(max((16 * phrases.count()).bit_length(), LEAST_BITS), MOST_BITS)
@@ -283,12 +288,12 @@ def _proposal(docs: DataFrame, longest: int, least: int, share: int) -> DataFram
     length would decide nothing.
     """
     context = docs.sparkSession.sparkContext
-    often = F.col("f") >= max(2, int(SAMPLE_SLACK * least / share))
+    often = max(2, int(SAMPLE_SLACK * least / share))
     sample = saved(docs.where(F.pmod(F.xxhash64(F.lit("phrases"), "doc_id"), F.lit(share)) == 0).select("lang", "text"), "sample")
-    found = saved(_counts(sample, range(1, 2)).where(often & (F.col("k") > 0)), "proposed")
+    found = _frequent(sample, range(1, 2), often, "proposed").where("k > 0")
     for lengths in (range(2, 3), range(3, longest)):
         known = context.broadcast(_table_of(found))
-        found = found.union(saved(_counts(sample, lengths, known, sure=lengths.start - 1).where(often), "proposed"))
+        found = found.union(_frequent(sample, lengths, often, "proposed", known, sure=lengths.start - 1))
         known.destroy()
     return found
 
@@ -301,15 +306,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = L
     context = docs.sparkSession.sparkContext
     proposed = _proposal(docs, longest, least, share)
     first = context.broadcast(_table_of(proposed))
-    enough, lengths = (F.col("f") >= least) | (F.col("k") == 0), range(1, longest + 1)
-    often = context.broadcast(_often(docs, lengths, least, first))
-    found = saved(_counts(docs, lengths, first, often=often).where(enough), "frequent")
+    lengths = range(1, longest + 1)
+    found = _frequent(docs, lengths, least, "frequent", first)
     # a phrase of the greatest length leads to no other
     leading = found.where(F.col("k").between(1, longest - 1))
     if leading.join(proposed, ["lang", "phrase"], "left_anti").isEmpty():
         return found
     second = context.broadcast(_table_of(leading))
-    return found.union(saved(_counts(docs, lengths, second, first).where(enough), "frequent"))
+    return found.union(_frequent(docs, lengths, least, "frequent", second, first))
 
 
 def _key(lang: str, phrase: Column | str) -> Column:
